@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackyard.llm import decontaminate, hostrules, linededup, mixing, oracles, sharding
+from trackyard.llm import decontaminate, hostrules, linededup, mixing, oracles, sharding, simhash, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.with_components(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(_table(spark, sf_dir, "documents"))
     return placed.select(
@@ -34,12 +39,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "dedup.n_lines", "dedup.n_dropped", F.sha2(F.col("dedup.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.with_repeats_removed(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_mix(_table(spark, sf_dir, "documents")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_vector_sharding, op6_host_rules, op7_wu_manber, op8_line_dedup, op10_pareto_mix)
+    for f in (op3_golay_simhash, op4_vector_sharding, op6_host_rules, op7_wu_manber, op8_line_dedup, op9_suffix_array, op10_pareto_mix)
 }
 ORACLE_SQL: dict[str, str] = {"op6_host_rules": oracles.OP6, "op8_line_dedup": oracles.OP8, "op10_pareto_mix": oracles.OP10}
