@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackyard.llm import decontaminate, hostrules, linededup, mixing, oracles, sharding, simhash, suffixdedup
+from trackyard.llm import decontaminate, hostrules, htmltext, linededup, mixing, ngramtrie, oracles, sharding, simhash, siteprior, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.with_main_text(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngramtrie.with_scores(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.with_components(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -25,6 +35,11 @@ def op4_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_site_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = siteprior.with_posteriors(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "p_doc", "p_host", "p_path", "p_good", "kept")
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.with_verdict(_table(spark, sf_dir, "documents")).select("doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines", "rules.n_repeat_words", "rules.base_failed", "rules.kept")
 
@@ -50,6 +65,9 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_golay_simhash, op4_vector_sharding, op6_host_rules, op7_wu_manber, op8_line_dedup, op9_suffix_array, op10_pareto_mix)
+    for f in (
+        op1_tree_scoring, op2_ngram_trie, op3_golay_simhash, op4_vector_sharding, op5_site_posteriors,
+        op6_host_rules, op7_wu_manber, op8_line_dedup, op9_suffix_array, op10_pareto_mix,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op6_host_rules": oracles.OP6, "op8_line_dedup": oracles.OP8, "op10_pareto_mix": oracles.OP10}
