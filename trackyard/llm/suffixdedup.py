@@ -127,7 +127,8 @@ def _sort_bucket(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sort one bucket of suffixes key by key; keep those with an equal neighbour.
 
     kind 0: its whole stretch occurs again; 1: one of its kind, to be compared string by string with the others of its run; 2: one
-    for all of a stretch that occurs again, to compare with; 3: in the first or last run of the bucket, which may go on in the next.
+    for all of a stretch that occurs again, to compare with; 3: one for each stretch in the first or last run of the bucket, which may go on in
+    the next, with the number of times it was seen, 2 standing for more.
     """
     table = pa.Table.from_batches(parts) if (parts := list(parts)) else None
     if table is None or not table.num_rows:
@@ -145,26 +146,27 @@ def _sort_bucket(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     again = in_group[group] > 1
     mixed = (classes[run] > 1) & (singles[run] > 0)
     for kind, which in (
-        (3, open_),
-        (0, ~open_ & again),
+        (0, again),
         (1, ~open_ & ~again & (in_run[run] > 1)),
         (2, ~open_ & again & mixed & class_starts),
+        (3, open_ & class_starts),
     ):
         at = np.flatnonzero(which)
         for k in range(0, len(at), 50_000):
             own = at[k : k + 50_000]
             found = table.take(pa.array(order[own]))
             found = found.append_column("classes", pa.array(classes[run[own]].astype(np.int64))).append_column("kind", pa.array(np.full(len(own), kind, np.int32)))
+            found = found.append_column("seen", pa.array(np.minimum(in_group[group[own]], 2).astype(np.int32)))
             yield from found.combine_chunks().to_batches()
 
 
 def _across(open_: DataFrame) -> DataFrame:
-    """The kinds of suffixes whose run may lie in several buckets."""
-    groups = open_.groupBy("lead", "sure", "whole").agg(F.count("*").alias("m"), F.min(F.struct("id", "row", "at", "n")).alias("one"))
+    """The kinds of stretches whose run may lie in several buckets: a row for each stretch and bucket, not for each suffix."""
+    groups = open_.groupBy("lead", "sure", "whole").agg(F.sum("seen").alias("m"), F.min(F.struct("id", "row", "at", "n")).alias("one"))
     runs = groups.groupBy("lead", "sure").agg(F.count("*").alias("c"), F.sum("m").alias("t"), F.max((F.col("m") == 1).cast("int")).alias("s")).where("t > 1")
     groups = groups.join(runs, ["lead", "sure"])
     back = groups.select(*[F.col(c).alias(f"_{c}") for c in ("lead", "sure", "whole")], "m", "c")
-    rows = open_.join(back, (F.col("lead") == F.col("_lead")) & (F.col("sure") == F.col("_sure")) & (F.col("whole") == F.col("_whole")))
+    rows = open_.where("seen = 1").join(back, (F.col("lead") == F.col("_lead")) & (F.col("sure") == F.col("_sure")) & (F.col("whole") == F.col("_whole")))
     own = rows.select("sure", "id", "row", "at", "n", F.col("c").alias("classes"), F.when(F.col("m") > 1, 0).otherwise(1).cast("int").alias("kind"))
     one = groups.where("m > 1 AND c > 1 AND s = 1").select("sure", "one.id", "one.row", "one.at", "one.n", F.col("c").alias("classes"), F.lit(2).alias("kind"))
     return own.union(one)
@@ -265,7 +267,7 @@ def with_repeats_removed(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, found.count() // BUCKET)
     dealt = found.repartitionByRange(buckets, "lead", "sure", "whole", "id", "row", "at")
-    marked = scratch.save(dealt.mapInArrow(_sort_bucket, f"lead long, sure long, whole long, id {kind}, row long, at int, n int, classes long, kind int"), "suffix-runs")
+    marked = scratch.save(dealt.mapInArrow(_sort_bucket, f"lead long, sure long, whole long, id {kind}, row long, at int, n int, classes long, kind int, seen int"), "suffix-runs")
     columns = ["sure", "id", "row", "at", "n", "classes", "kind"]
     marked = marked.where("kind < 3").select(columns).union(_across(marked.where("kind = 3")).select(columns))
     marked = scratch.save(marked, "suffix-kinds")
