@@ -120,15 +120,19 @@ class EliasFano:
         """Successor search: the position in [first, end) of the first number not below ``value``; -1 if it is another number."""
         high, low = value >> self.bits, value & np.int64((1 << self.bits) - 1)
         at, stop = np.maximum(self._bucket(high), first), np.minimum(self._bucket(high + 1), end)
-        found = np.full(len(value), -1, np.int64)
+        # Numbers of one high part rise in their low parts: halve the stretch until the successor is found.
+        end_at = stop.copy()
         todo = np.flatnonzero(at < stop)
         while len(todo):
-            here = self.lows(at[todo])
-            same = here == low[todo]
-            found[todo[same]] = at[todo[same]]
-            todo = todo[here < low[todo]]
-            at[todo] += 1
+            middle = (at[todo] + stop[todo]) >> 1
+            less = self.lows(middle) < low[todo]
+            at[todo[less]] = middle[less] + 1
+            stop[todo[~less]] = middle[~less]
             todo = todo[at[todo] < stop[todo]]
+        there = np.flatnonzero(at < end_at)
+        there = there[self.lows(at[there]) == low[there]]
+        found = np.full(len(value), -1, np.int64)
+        found[there] = at[there]
         return found
 
 
