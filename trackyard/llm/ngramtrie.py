@@ -70,6 +70,8 @@ class EliasFano:
         marks = np.zeros((int(high[-1]) if self.n else 0) // 64 * 64 + 128, np.uint8)
         marks[high] = 1
         self.low = mapped(np.concatenate((np.packbits(plane.ravel(), bitorder="little"), np.zeros(16, np.uint8))), file)
+        # Eight bytes from any byte on, read as one number.
+        self.low_words = np.ndarray((len(self.low) - 8,), "<u8", self.low, strides=(1,))
         self.high = mapped(np.packbits(marks, bitorder="little").view(np.uint64), file)
         ones = np.cumsum(np.bitwise_count(self.high).astype(np.int64))
         self.ones = mapped(np.concatenate(([0], ones)), file)
@@ -91,10 +93,7 @@ class EliasFano:
         if not self.bits:
             return np.zeros(len(at), np.int64)
         bit = at * self.bits
-        first = bit >> 3
-        word = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            word |= self.low[first + k].astype(np.uint64) << np.uint64(8 * k)
+        word = self.low_words[bit >> 3]
         return ((word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def get(self, at: np.ndarray) -> np.ndarray:
@@ -137,13 +136,13 @@ class EliasFano:
 
 
 def mapped(values: np.ndarray, file) -> np.ndarray:
-    """``values`` written to ``file`` and mapped from there."""
+    """``values`` written to ``file`` and mapped from there, as a plain array over the mapping."""
     if not values.size:
         return values
     at = file.seek(-(-file.seek(0, 2) // 16) * 16)
     file.write(values.tobytes())
     file.flush()
-    return np.memmap(file, values.dtype, "r", at, values.shape)
+    return np.asarray(np.memmap(file, values.dtype, "r", at, values.shape))
 
 
 class Trie:
@@ -178,14 +177,18 @@ class Trie:
     def context(self, hashes: np.ndarray) -> np.ndarray:
         return _position(self.contexts, hashes)
 
-    def query(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of pairs (position of the context or -1, hash of the word); 0 if the pair isn't seen."""
-        code = np.zeros(len(context), np.uint16)
-        at = _position(self.words, word)
-        known = np.flatnonzero((context >= 0) & (at >= 0))
-        c = context[known]
-        found = self.successors.find(c * np.int64(max(1, len(self.words))) + at[known], self.pointers.get(c), self.pointers.get(c + 1))
-        code[known[found >= 0]] = self.own[found[found >= 0]]
+    def query(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Codes of pairs; 0 if a pair isn't seen. ``contexts`` are positions or -1, each with ``sizes`` pairs; ``at`` gives their words among the hashes ``words``."""
+        known = np.maximum(contexts, 0)
+        there = contexts >= 0
+        first = np.repeat(np.where(there, self.pointers.get(known), 0) if self.pointers.n > 1 else np.zeros(len(known), np.int64), sizes)
+        end = np.repeat(np.where(there, self.pointers.get(known + 1), 0) if self.pointers.n > 1 else np.zeros(len(known), np.int64), sizes)
+        word = _position(self.words, words)[at]
+        code = np.zeros(len(at), np.uint16)
+        ask = np.flatnonzero((first < end) & (word >= 0))
+        value = np.repeat(known, sizes)[ask] * np.int64(max(1, len(self.words))) + word[ask]
+        found = self.successors.find(value, first[ask], end[ask])
+        code[ask[found >= 0]] = self.own[found[found >= 0]]
         return code
 
 
@@ -304,7 +307,7 @@ def _answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known = place >= 0
                 counts = np.where(known, trie.counts[place] if len(trie.counts) else 0, 0)
                 lower = np.where(known, trie.lower[place] if len(trie.lower) else 0, 0).astype(np.uint16)
-                codes = trie.query(np.repeat(place, sizes), words[at])
+                codes = trie.query(place, sizes, words, at)
                 out.append(pack(contexts, counts, lower, codes))
             total, kinds = int(trie.counts.sum()), len(trie.contexts)
         names = ["batch", "shard", "answer", "total", "kinds"]
