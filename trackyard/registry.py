@@ -26,3 +26,6 @@ def register(name: str, sql: str | None = None):
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["a10_argmax_purity_efficiency"](spark, sf_dir)
+
+
+from trackyard.plans import eval_queries, event_queries  # noqa: E402, F401  they register themselves
