@@ -103,15 +103,18 @@ def host_verdicts(scored: DataFrame, host: str = "source", rules: str = "rules",
     return hosts.crossJoin(F.broadcast(prior)).withColumn("rate", rate).withColumn("host_ok", F.col("rate") <= max_rate)
 
 
-def with_verdict(docs: DataFrame, host: str = "source", text: str = "text", out: str = "rules", max_rate: float = 0.5) -> DataFrame:
+def with_verdict(docs: DataFrame, host: str = "source", text: str = "text", out: str = "rules", max_rate: float = 0.5, keep_text: bool = True) -> DataFrame:
     """``docs`` with the struct of :func:`with_metrics` plus ``host_rate`` and ``kept``.
 
     ``kept`` is false where a base rule failed, else the verdict on the host. Metrics are computed once and kept as a table in the shared
     folder; only (host, counts) rows are shuffled to pool them, with map-side sums, so a hot host is no hot task. The
-    verdicts are joined back by host: Spark broadcasts them while they are small and splits a skewed host otherwise.
+    verdicts are joined back by host: sent to all tasks while they are few, else Spark splits a skewed host.
+    Without ``keep_text`` the text is left out of that table and of the result.
     """
-    scored = scratch.save(with_metrics(docs, text, out), "hostrules")
+    measured = with_metrics(docs, text, out)
+    scored = scratch.save(measured if keep_text else measured.drop(text), "hostrules")
     verdict = host_verdicts(scored, host, out, max_rate).select(F.col("host").alias("__host"), F.col("rate").alias("__rate"), F.col("host_ok").alias("__ok"))
+    verdict = scratch.lookup(verdict, "hostrules-hosts")
     m = F.col(out)
     joined = scored.join(verdict, F.col(host).eqNullSafe(F.col("__host")), "left")
     return joined.withColumn(out, m.withField("host_rate", F.col("__rate")).withField("kept", ~m["base_failed"] & F.col("__ok"))).drop("__host", "__rate", "__ok")

@@ -81,7 +81,7 @@ def with_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", te
         F.col("whole").alias("__whole"), F.col("rest").alias("__rest"), F.col("p").alias("__p"), F.col("e_cell").alias("__cell"), F.col("e_before").alias("__before"),
     )
     # Few rows: one a source, and in the cells where targets end one row in `buckets`.
-    per_source = scratch.save(per_source, "mix-sources")
+    per_source = scratch.lookup(per_source, "mix-sources")
     last = (
         drawn.where(F.col("size") > 0).join(per_source, F.col("source").eqNullSafe(F.col("__source")) & (cell(F.col("u")) == F.col("__cell")))
         .select("source", "size", (F.col("u") / (1 - F.col("u")) / (F.col("__p") / (1 - F.col("__p")))).alias("q"), "u", "__before", "__rest")
@@ -90,7 +90,7 @@ def with_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", te
     total = F.col("__before") + F.sum("size").over(upto)
     fits = last.withColumn("total", total).where(F.col("total") - F.col("size") / 2 <= F.col("__rest"))
     cut = fits.groupBy("source").agg(F.max("u").alias("__cut")).withColumnRenamed("source", "__csource")
-    per_source = per_source.join(cut, F.col("__source").eqNullSafe(F.col("__csource")), "left")
+    per_source = scratch.lookup(per_source.join(cut, F.col("__source").eqNullSafe(F.col("__csource")), "left"), "mix-cuts")
     # A u that is not above the last one taken is in; without an ending cell the rest is 0 or the whole source.
     u, c = F.col("__u"), F.col("__cell")
     one_more = F.when(F.col("__rest") <= 0, F.lit(0)).when(c.isNull(), F.lit(0)).when(cell(u) < c, F.lit(1)).when((cell(u) == c) & (u <= F.col("__cut")), F.lit(1)).otherwise(F.lit(0))

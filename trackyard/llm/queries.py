@@ -41,7 +41,7 @@ def op5_site_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hostrules.with_verdict(_table(spark, sf_dir, "documents")).select("doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines", "rules.n_repeat_words", "rules.base_failed", "rules.kept")
+    return hostrules.with_verdict(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False).select("doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines", "rules.n_repeat_words", "rules.base_failed", "rules.kept")
 
 
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:

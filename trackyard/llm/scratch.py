@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a lookup table that are sent to all tasks.
+SMALL = 100_000
 
 _local: list[str] = []
 
@@ -31,3 +35,12 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def lookup(df: DataFrame, tag: str) -> DataFrame:
+    """A lookup table for a join: kept in the shared folder, its rows counted, and sent to all tasks if there are at most :data:`SMALL`.
+
+    The other side is then not shuffled. A larger table is joined by shuffling, and Spark splits skewed keys.
+    """
+    df = save(df, tag)
+    return F.broadcast(df) if df.count() <= SMALL else df

@@ -160,6 +160,7 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     low = paths.join(top.select("h_host", "p_host", "mean"), F.col("host").eqNullSafe(F.col("h_host")))
     low = low.crossJoin(F.broadcast(low.agg(_strength(low, F.col("p_host"), F.col("n"), F.col("k")).alias("path_strength"))))
     site = low.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), "n", "k", "p_host", "mean", "path_strength")
+    site = scratch.lookup(site, "quality-sites")
     joined = rows.join(site, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")))
     others = (F.col("k") - F.col("p_doc") + F.col("path_strength") * F.col("p_host")) / (F.col("n") - 1 + F.col("path_strength"))
     others = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), others))
