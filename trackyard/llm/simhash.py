@@ -226,8 +226,9 @@ def links(prints: DataFrame, group: int = GROUP) -> DataFrame:
     dealt to tiles, pairs of chunks of the key's rows, so that no task compares or holds more than two chunks.
     """
     spark = prints.sparkSession
-    keyed = prints.select("fp").mapInArrow(_key_rows, "key long, fp long, home boolean")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A fingerprint becomes some fifty rows: spread them before, as Spark would deal few small ones to few tasks.
+    keyed = prints.select("fp").repartition(n, "fp").mapInArrow(_key_rows, "key long, fp long, home boolean")
     dealt = keyed.repartition(n, "key").sortWithinPartitions("key")
     found = scratch.save(dealt.mapInArrow(_links(group), "a long, b long, key long"), "simhash-links")
     near = found.where("key IS NULL").select("a", "b")
