@@ -24,6 +24,23 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
         best = int(np.argmax(left @ item))
         left[best] -= item
         place[k] = best
+    return settle(items, place, left)
+
+
+def settle(items: np.ndarray, place: np.ndarray, left: np.ndarray, moves: int = 5000) -> np.ndarray:
+    """Move items from the shard with least to the one with most residual bytes while that brings all residuals nearer to 0, bytes counted eightfold."""
+    scale = np.array([8.0] + [1.0] * (items.shape[1] - 1))
+    size, left = items * scale, left * scale
+    for _ in range(moves):
+        full, free = int(np.argmin(left[:, 0])), int(np.argmax(left[:, 0]))
+        own = np.flatnonzero(place == full)
+        change = (size[own] ** 2).sum(axis=1) - size[own] @ (left[free] - left[full]) if len(own) else np.zeros(0)
+        if not len(own) or change.min() > -1e-16:
+            break
+        k = own[int(np.argmin(change))]
+        left[full] += size[k]
+        left[free] -= size[k]
+        place[k] = free
     return place
 
 
