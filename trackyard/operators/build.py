@@ -65,7 +65,7 @@ def nest_objects(events: DataFrame, objects: DataFrame, name: str, fields: Seque
 
 def unflatten(values: DataFrame, counts: DataFrame, key: str = "event_id") -> DataFrame:
     """Object rows of a flat accumulator: values (at, value) in order and counts (key, first, n) per event give (key, pos, value)."""
-    return counts.select(key, "first", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos")).where("pos >= 0").withColumn("at", F.col("first") + F.col("pos")).join(values, "at").select(key, "pos", "value")
+    return counts.where("n > 0").select(key, "first", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos")).withColumn("at", F.col("first") + F.col("pos")).join(values, "at").select(key, "pos", "value")
 
 
 def to_singleton(df: DataFrame, name: str) -> DataFrame:
