@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from trackyard.llm import scratch
 
 #: Tokens of a batch of documents, and of a shard of the model.
-BATCH, SHARD = 4_000_000, 1_000_000
+BATCH, SHARD = 3_000_000, 1_000_000
+#: Most frequent words that a batch reports, to find the contexts that are too large for one shard.
+HEADS = 1 << 14
 #: What a text ends with; no word is empty.
 END = xxhash.xxh64_intdigest(b"", 42)
 #: Steps of a quantised log10: 1 / 5000 each, down to 10 to the -13.1.
@@ -224,8 +226,11 @@ def _batches(kind: pa.DataType):
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
             lengths = np.fromiter(map(len, tokens), np.int32, len(tokens))
-            data = pack(hashes[order], place[np.concatenate(tokens)], lengths, np.array(held, np.uint8))
-            out = pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([data], pa.binary()), pa.array([size], pa.int64())], names=["batch", "ids", "data", "tokens"])
+            joined = np.concatenate(tokens)
+            data = pack(hashes[order], place[joined], lengths, np.array(held, np.uint8))
+            counts = np.bincount(joined, minlength=len(hashes))
+            heads = np.argpartition(-counts, HEADS)[:HEADS] if len(counts) > HEADS else np.arange(len(counts))
+            out = pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([data], pa.binary()), pa.array([size], pa.int64()), pa.array([hashes[heads].view(np.int64)], pa.list_(pa.int64())), pa.array([counts[heads]], pa.list_(pa.int64()))], names=["batch", "ids", "data", "tokens", "heads", "counts"])
             made += 1
             numbers, ids, held, tokens, size = _Numbers(), [], [], [], 0
             return out
@@ -247,9 +252,12 @@ def _batches(kind: pa.DataType):
 
 
 class _Pairs:
-    """The distinct (context, word) pairs of a batch, in order, and where they go."""
+    """The distinct (context, word) pairs of a batch, in order, and the shards that they go to.
 
-    def __init__(self, data: bytes, shards: int):
+    A context goes to the shard of its hash. One in ``wide`` (hash to parts) is dealt by word to as many shards from there on.
+    """
+
+    def __init__(self, data: bytes, shards: int, wide: dict[int, int]):
         self.hashes, self.tokens, self.lengths, held = unpack(data)
         self.train = np.repeat(held == 0, self.lengths)
         end = int(np.searchsorted(self.hashes, np.uint64(END)))
@@ -257,28 +265,45 @@ class _Pairs:
         pair, self.of_token = np.unique(context * len(self.hashes) + self.tokens, return_inverse=True)
         self.context, self.word = pair // len(self.hashes), pair % len(self.hashes)
         self.count = np.bincount(self.of_token, weights=self.train, minlength=len(pair)).astype(np.int64)
-        shard = (self.hashes >> np.uint64(20)) % np.uint64(shards)
-        own = shard[self.context].astype(np.int64)
+        shard = ((self.hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+        parts = np.ones(len(self.hashes), np.int64)
+        self.wide = [int(k) for k in np.flatnonzero(np.isin(self.hashes, np.array(list(wide), np.uint64)))]
+        for k in self.wide:
+            parts[k] = wide[int(self.hashes[k])]
+        part = (self.hashes[self.word] >> np.uint64(8)).astype(np.int64) % parts[self.context]
+        own = (shard[self.context] + part) % shards
         self.order = np.argsort(own, kind="stable")
         self.bounds = np.searchsorted(own[self.order], np.arange(shards + 1))
+        #: Of each shard the wide contexts that have a part there: their counts are asked for even without a pair.
+        self.also: dict[int, list[int]] = {}
+        for k in self.wide:
+            for p in range(parts[k]):
+                self.also.setdefault(int((shard[k] + p) % shards), []).append(k)
+
+    def of(self, s: int) -> np.ndarray:
+        """Positions of the pairs that go to a shard."""
+        return self.order[self.bounds[s] : self.bounds[s + 1]]
 
 
-def _ask(shards: int):
+def _ask(shards: int, wide: dict[int, int]):
     """Each batch's pairs, a row for each shard that it asks."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for batch, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                pairs = _Pairs(data, shards)
+                pairs = _Pairs(data, shards, wide)
                 rows = []
                 for s in range(shards):
-                    own = pairs.order[pairs.bounds[s] : pairs.bounds[s + 1]]
-                    if len(own):
-                        contexts, sizes = np.unique(pairs.context[own], return_counts=True)
-                        words, at = np.unique(pairs.word[own], return_inverse=True)
-                        small = np.uint16 if len(words) < 1 << 16 else np.uint32
-                        counts = pairs.count[own]
-                        rows.append((s, batch, pack(pairs.hashes[contexts], sizes.astype(np.int32), pairs.hashes[words], at.astype(small), counts.astype(np.uint8 if counts.max() < 256 else np.int64))))
+                    own = pairs.of(s)
+                    contexts, sizes = np.unique(pairs.context[own], return_counts=True)
+                    more = np.setdiff1d(np.array(pairs.also.get(s, []), np.int64), contexts)
+                    contexts, sizes = np.concatenate((contexts, more)), np.concatenate((sizes, np.zeros(len(more), np.int64)))
+                    if not len(contexts):
+                        continue
+                    words, at = np.unique(pairs.word[own], return_inverse=True)
+                    small = np.uint16 if len(words) < 1 << 16 else np.uint32
+                    counts = pairs.count[own]
+                    rows.append((s, batch, pack(pairs.hashes[contexts], sizes.astype(np.int32), pairs.hashes[words], at.astype(small), counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int64))))
                 for k in range(0, len(rows), 64):
                     s, b, d = zip(*rows[k : k + 64], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(b, pa.int64()), pa.array(d, pa.binary())], names=["shard", "batch", "asked"])
@@ -286,8 +311,9 @@ def _ask(shards: int):
     return run
 
 
-def _answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(wide: dict[int, int]):
     """For rows in order of shard: build the shard's trie from what all batches ask, and answer each."""
+    known_wide = np.array(list(wide), np.uint64)
 
     def answer(shard: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
         asked = [unpack(d) for _, d in rows]
@@ -308,38 +334,48 @@ def _answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts = np.where(known, trie.counts[place] if len(trie.counts) else 0, 0)
                 lower = np.where(known, trie.lower[place] if len(trie.lower) else 0, 0).astype(np.uint16)
                 codes = trie.query(place, sizes, words, at)
-                out.append(pack(contexts, counts, lower, codes))
-            total, kinds = int(trie.counts.sum()), len(trie.contexts)
-        names = ["batch", "shard", "answer", "total", "kinds"]
+                out.append(pack(contexts, sizes, counts, lower, codes))
+            shared = np.isin(trie.contexts, known_wide)
+            total, kinds, some = int(trie.counts.sum()), int((~shared).sum()), trie.contexts[shared].view(np.int64).tolist()
+        names = ["batch", "shard", "answer", "total", "kinds", "wide"]
         batches = pa.array([b for b, _ in rows], pa.int64())
         n = len(rows)
-        return pa.RecordBatch.from_arrays([batches, pa.array([shard] * n, pa.int32()), pa.array(out, pa.binary()), pa.array([total] + [0] * (n - 1), pa.int64()), pa.array([kinds] + [0] * (n - 1), pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([batches, pa.array([shard] * n, pa.int32()), pa.array(out, pa.binary()), pa.array([total] + [0] * (n - 1), pa.int64()), pa.array([kinds] + [0] * (n - 1), pa.int64()), pa.array([some] + [[]] * (n - 1), pa.list_(pa.int64()))], names=names)
 
-    at, rows = None, []
-    for part in parts:
-        for shard, batch, data in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-            if shard != at and rows:
-                yield answer(at, rows)
-                rows = []
-            at = shard
-            rows.append((batch, data))
-    if rows:
-        yield answer(at, rows)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for part in parts:
+            for shard, batch, data in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                if shard != at and rows:
+                    yield answer(at, rows)
+                    rows = []
+                at = shard
+                rows.append((batch, data))
+        if rows:
+            yield answer(at, rows)
+
+    return run
 
 
-def _score(shards: int, total: int, kinds: int, kind: pa.DataType):
-    """For rows in order of (batch, shard), a batch's texts first: scores of its documents."""
+def _score(shards: int, wide: dict[int, int], total: int, kinds: int, kind: pa.DataType):
+    """For rows in order of (batch, shard), a batch's texts first: scores of its documents.
+
+    Parts of a wide context add up: their counts, and what each took off for the lower order; a pair's own share of its part becomes its share of the whole.
+    """
 
     def score(ids: list, data: bytes, answers: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        pairs = _Pairs(data, shards)
+        pairs = _Pairs(data, shards, wide)
         n = len(pairs.hashes)
-        counts, lower, own = np.zeros(n), np.ones(n), np.zeros(len(pairs.context))
+        counts, lower, own = np.zeros(n), np.zeros(n), np.zeros(len(pairs.context))
         for shard, answer in answers:
-            contexts, c, low, codes = unpack(answer)
+            contexts, sizes, c, low, codes = unpack(answer)
             at = np.searchsorted(pairs.hashes, contexts)
-            counts[at] = c
-            lower[at] = np.where(low == 0, 1.0, restore(low))
-            own[pairs.order[pairs.bounds[shard] : pairs.bounds[shard + 1]]] = restore(codes)
+            counts[at] += c
+            lower[at] += restore(low) * c
+            own[pairs.of(shard)] = restore(codes) * np.repeat(c, sizes)
+        some = np.maximum(counts, 1)
+        lower = np.where(counts > 0, lower / some, 1.0)
+        own /= some[pairs.context]
         base = (counts + 0.1) / (total + 0.1 * (kinds + 1))
         pair = np.log10(own + lower[pairs.context] * base[pairs.word])
         ends = np.cumsum(pairs.lengths)
@@ -373,9 +409,10 @@ def with_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     Learns from rows whose crc32 of the id as text is no multiple of 10, and scores all. The model interpolates discounted bigrams with the unigrams
     of ``base_score``; the first word and the end of a text have the end before and after them.
 
-    Texts become numbers in batches of up to four million tokens, kept as a table. The model is cut into shards by context word, each a trie
+    Texts become numbers in batches of some three million tokens, kept as a table. The model is cut into shards by context word, each a trie
     (:class:`Trie`) built in one task from the distinct pairs of all batches and mapped from a temporary file of that task. Batches send their distinct pairs, not
-    their tokens, and get codes back, so traffic is a few bytes a token; nothing but two sums goes to the driver and nothing is broadcast. Words are known by their 64-bit XXH64.
+    their tokens, and get codes back, so traffic is a few bytes a token. A context with over half a shard of tokens is dealt by word to several shards, which
+    discount on their own; the list of those, less than two a shard, and two sums are all that goes to the driver. Words are known by their 64-bit XXH64.
 
     A null text is the end alone; a null id counts as the empty string for the split, which holds it out. Rows that repeat an id are scored each.
     """
@@ -384,19 +421,23 @@ def with_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"), held.alias("held"))
     name = rows.schema["id"].dataType.simpleString()
     kind = pa.array([], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]).type
-    batches = scratch.save(rows.mapInArrow(_batches(kind), f"batch long, ids array<{name}>, data binary, tokens long"), "lm-batches")
+    batches = scratch.save(rows.mapInArrow(_batches(kind), f"batch long, ids array<{name}>, data binary, tokens long, heads array<long>, counts array<long>"), "lm-batches")
     total = batches.agg(F.sum("tokens")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(least, -(-total // SHARD))
+    # Contexts of over half a shard: less than two a shard.
+    heads = batches.select(F.explode(F.arrays_zip("heads", "counts")).alias("h")).groupBy("h.heads").agg(F.sum("h.counts").alias("n")).where(F.col("n") * 2 * shards > total).collect()
+    wide = {r["heads"] % (1 << 64): min(shards, -(-r["n"] * 2 * shards // total)) for r in heads}
 
-    asked = batches.select("batch", "data").mapInArrow(_ask(shards), "shard int, batch long, asked binary")
+    asked = batches.select("batch", "data").mapInArrow(_ask(shards, wide), "shard int, batch long, asked binary")
     dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard")
-    answers = scratch.save(dealt.mapInArrow(_answer, "batch long, shard int, answer binary, total long, kinds long"), "lm-answers")
+    answers = scratch.save(dealt.mapInArrow(_answer(wide), "batch long, shard int, answer binary, total long, kinds long, wide array<long>"), "lm-answers")
     sums = answers.agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).first()
-    train, kinds = sums["total"] or 0, sums["kinds"] or 0
+    train = sums["total"] or 0
+    kinds = (sums["kinds"] or 0) + answers.select(F.explode("wide").alias("w")).distinct().count()
 
     none = F.lit(None).cast(f"array<{name}>").alias("ids")
     both = batches.select("batch", F.lit(-1).alias("shard"), "ids", "data").union(answers.select("batch", "shard", none, F.col("answer").alias("data")))
     dealt = both.repartition(least, "batch").sortWithinPartitions("batch", "shard")
-    scored = dealt.mapInArrow(_score(shards, train, kinds, kind), f"id {name}, n_tokens long, n_known long, base_score double, score double, held_out boolean")
+    scored = dealt.mapInArrow(_score(shards, wide, train, kinds, kind), f"id {name}, n_tokens long, n_known long, base_score double, score double, held_out boolean")
     return scored.withColumn("train_tokens", F.lit(train).cast("long"))
