@@ -8,21 +8,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackyard.operators.prefix import running_sums
+from trackyard.sources.tables import lookup
 
 
-def _rank(df: DataFrame, source: list[str], key: str, out: str) -> DataFrame:
-    """Rank from 1 of rows by key within a source, by distributed running sums: a large source is spread over tasks."""
-    return running_sums(df.withColumn("__one", F.lit(1).cast("long")), [F.col(key)], {out: "__one"}, source).drop("__one")
+def _rank(df: DataFrame, source: list[str], key: str) -> DataFrame:
+    """(source, key, __r): rank from 1 by key within a source, by distributed running sums over these columns alone."""
+    return running_sums(df.select(*source, key).withColumn("__one", F.lit(1).cast("long")), [F.col(key)], {"__r": "__one"}, source)
+
+
+def _last_keys(df: DataFrame, source: str, key: str, limits: DataFrame) -> DataFrame:
+    """(__s, __last): of each source the key of its last row within ``limits`` (__s, __limit), null if there is none. One row a source."""
+    ranked = _rank(df, [source], key).join(limits, F.col(source).eqNullSafe(F.col("__s")))
+    return lookup(ranked.groupBy(F.col("__s")).agg(F.max(F.when(F.col("__r") <= F.col("__limit"), F.col(key))).alias("__last")))
+
+
+def _within(df: DataFrame, source: str, key: str, last: DataFrame) -> DataFrame:
+    """``df`` with ``__in``: whether a row is within its source's limit."""
+    joined = df.join(last, F.col(source).eqNullSafe(F.col("__s")), "left")
+    return joined.withColumn("__in", F.coalesce(F.col(key) <= F.col("__last"), F.lit(False))).drop("__s", "__last")
 
 
 def train_test_split(df: DataFrame, source: str, key: str = "event_id", test_size: float = 0.2, round_up: bool = False) -> DataFrame:
-    """``split``: of each source the first int((1 - test_size) * n) rows by key are train, the rest test; ``round_up`` takes the next whole number."""
-    n = df.groupBy(F.col(source).alias("__s")).agg(F.count("*").alias("__n"))
-    ranked = _rank(df, [source], key, "__r").join(n, F.col(source).eqNullSafe(F.col("__s")))
+    """``split``: of each source the first int((1 - test_size) * n) rows by key are train, the rest test; ``round_up`` takes the next whole number.
+
+    Keys are unique within a source. Ranks are made over (source, key) alone; rows themselves are neither sorted nor moved, only compared with their source's last key.
+    """
     # The share of train rows as a ratio of whole numbers, so that no rounding of doubles moves an edge.
     keep = round((1 - test_size) * 1_000_000)
-    cut = F.expr(f"(__n * {keep} + {999_999 if round_up else 0}) div 1000000")
-    return ranked.withColumn("split", F.when(F.col("__r") <= cut, "train").otherwise("test")).drop("__s", "__n", "__r")
+    limits = df.groupBy(F.col(source).alias("__s")).agg(F.count("*").alias("__n")).selectExpr("__s", f"(__n * {keep} + {999_999 if round_up else 0}) div 1000000 AS __limit")
+    marked = _within(df, source, key, _last_keys(df, source, key, limits))
+    return marked.withColumn("split", F.when(F.col("__in"), "train").otherwise("test")).drop("__in")
 
 
 def cap_fraction(raw: DataFrame, kept: DataFrame, fractions: Mapping[str, float], source: str, key: str = "event_id") -> DataFrame:
@@ -31,18 +46,16 @@ def cap_fraction(raw: DataFrame, kept: DataFrame, fractions: Mapping[str, float]
     share = F.lit(1_000_000).cast("long")
     for s, f in fractions.items():
         share = F.when(F.col("__s") == s, F.lit(round(f * 1_000_000)).cast("long")).otherwise(share)
-    caps = n.select("__s", (F.col("__n") * share).alias("__c")).selectExpr("__s", "__c div 1000000 AS __cap")
-    ranked = _rank(kept, [source], key, "__r").join(caps, F.col(source).eqNullSafe(F.col("__s")))
-    return ranked.where("__r <= __cap").drop("__s", "__cap", "__r")
+    limits = n.select("__s", (F.col("__n") * share).alias("__c")).selectExpr("__s", "__c div 1000000 AS __limit")
+    return _within(kept, source, key, _last_keys(kept, source, key, limits)).where("__in").drop("__in")
 
 
 def entry_stop(df: DataFrame, n: int, file: str, key: str = "event_id") -> DataFrame:
-    """The first ``n`` rows over files in order of name, by key within a file: sums over files are few, ranks within a file are local to it."""
-    counts = df.groupBy(F.col(file).alias("__f")).agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)
-    budget = counts.select("__f", (F.lit(n) - F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__left")).where("__left > 0")
-    ranked = _rank(df, [file], key, "__r")
-    return ranked.join(F.broadcast(budget), F.col(file) == F.col("__f")).where("__r <= __left").drop("__f", "__left", "__r")
+    """The first ``n`` rows over files in order of name, by key within a file: the window runs over one row per file."""
+    counts = df.groupBy(F.col(file).alias("__s")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    limits = counts.select("__s", (F.lit(n) - F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__limit"))
+    return _within(df, file, key, _last_keys(df, file, key, limits)).where("__in").drop("__in")
 
 
 def stitch_versions(df: DataFrame, version: str = "version", epoch: str = "epoch") -> DataFrame:
@@ -64,13 +77,12 @@ def shuffle(df: DataFrame, seed: int | str, key: str = "event_id") -> DataFrame:
 
 
 def contiguous_slices(df: DataFrame, n_jobs: int, key: str = "event_id") -> DataFrame:
-    """``slice``: rows in order of key cut at int(linspace(0, n, jobs + 1)), at most one slice a row."""
+    """``slice``: rows in order of key cut at int(linspace(0, n, jobs + 1)), at most one slice a row. Only the first keys of slices, one a job, go to the driver."""
     total = df.count()
     jobs = max(1, min(n_jobs, total))
-    ranked = _rank(df, [], key, "__r")
-    row = F.col("__r") - 1
-    edges = [total * k // jobs for k in range(1, jobs)]
-    return ranked.withColumn("slice", sum(((row >= e).cast("int") for e in edges), F.lit(0))).drop("__r")
+    edges = [total * k // jobs + 1 for k in range(1, jobs)]
+    firsts = [r[0] for r in _rank(df, [], key).where(F.col("__r").isin(edges)).select(key).collect()] if edges else []
+    return df.withColumn("slice", sum(((F.col(key) >= x).cast("int") for x in firsts), F.lit(0)))
 
 
 def first_n(df: DataFrame, n: int, key: str = "event_id") -> DataFrame:

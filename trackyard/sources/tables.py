@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a lookup table that are sent to all tasks.
+SMALL = 100_000
 
 _local: list[str] = []
 
@@ -27,3 +31,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = workspace(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A lookup table for a join: written, counted, and sent to all tasks if it has at most :data:`SMALL` rows; the other side is then not shuffled."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
