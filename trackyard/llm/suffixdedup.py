@@ -51,8 +51,7 @@ def anchors(data: bytes, ends: np.ndarray, length: int, span: int) -> tuple[np.n
 
     The anchor of a string is the position of the least 8-byte hash in its first ``span`` positions, the last one on ties: it depends on the string
     alone, so equal strings have equal anchors at equal distance. Strings in a row share anchors, so about 2 in ``span`` positions are one.
-    Returns per anchor: first start, number of starts, the anchor, big-endian 8 bytes there, hash of the bytes from the anchor that all its
-    strings have, and hash of the whole stretch its strings cover.
+    Returns per anchor: first start, number of starts, the anchor, its sort key, and a hash of the whole stretch its strings cover.
     """
     n = len(data)
     text = np.frombuffer(data + b"\0" * 8, np.uint8)
@@ -67,17 +66,17 @@ def anchors(data: bytes, ends: np.ndarray, length: int, span: int) -> tuple[np.n
     last = np.repeat(ends, sizes)  # end of the text of each position
     start = np.flatnonzero(np.arange(n) + length <= last)
     if not len(start):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     at = (low - (least[start] & low)).astype(np.int64)
     new = np.concatenate(([True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)))
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate((first, [len(start)])))
     begin, anchor = start[first], at[first]
     rolling = Rolling(text[:n])
-    lead = word[anchor].byteswap()
-    sure = rolling.of(anchor, anchor + length - span + 1)
+    # Equal strings are equal from the anchor on: its first four bytes keep the order, a hash stands for the bytes all its strings have.
+    lead = word[anchor].byteswap() >> np.uint64(32) << np.uint64(32) | rolling.of(anchor, anchor + length - span + 1) >> np.uint64(32)
     whole = rolling.of(begin, begin + count - 1 + length) ^ _mix((anchor - begin).astype(np.uint64) * np.uint64(1 << 20) + count.astype(np.uint64))
-    return begin, count, anchor, lead, sure, whole
+    return begin, count, anchor, lead, whole
 
 
 def _blocks(texts: list[bytes | None], length: int) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
@@ -105,7 +104,7 @@ def _suffixes(length: int, span: int):
         for part in parts:
             texts = part.column(2).to_pylist()
             for k, offset, data, ends in _blocks(texts, length):
-                begin, count, anchor, lead, sure, whole = anchors(data, ends, length, span)
+                begin, count, anchor, lead, whole = anchors(data, ends, length, span)
                 if not len(begin):
                     continue
                 row = np.searchsorted(ends, begin, "right")
@@ -113,11 +112,11 @@ def _suffixes(length: int, span: int):
                 taken = pa.array(row + k)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((lead ^ np.uint64(1 << 63)).view(np.int64)), pa.array(sure.view(np.int64)), pa.array(whole.view(np.int64)),
+                        pa.array((lead ^ np.uint64(1 << 63)).view(np.int64)), pa.array(whole.view(np.int64)),
                         part.column(0).take(taken), part.column(1).take(taken),
                         pa.array((begin - base + offset).astype(np.int32)), pa.array(count.astype(np.int32)),
                     ],
-                    names=["lead", "sure", "whole", "id", "row", "at", "n"],
+                    names=["lead", "whole", "id", "row", "at", "n"],
                 )
 
     return run
@@ -133,10 +132,10 @@ def _sort_bucket(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(parts) if (parts := list(parts)) else None
     if table is None or not table.num_rows:
         return
-    lead, sure, whole = (table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(3))
-    order = np.lexsort((whole, sure, lead))
-    lead, sure, whole = lead[order], sure[order], whole[order]
-    run_starts = np.concatenate(([True], (lead[1:] != lead[:-1]) | (sure[1:] != sure[:-1])))
+    lead, whole = (table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(2))
+    order = np.lexsort((whole, lead))
+    lead, whole = lead[order], whole[order]
+    run_starts = np.concatenate(([True], lead[1:] != lead[:-1]))
     class_starts = run_starts | np.concatenate(([True], whole[1:] != whole[:-1]))
     run, group = np.cumsum(run_starts) - 1, np.cumsum(class_starts) - 1
     in_run, in_group = np.bincount(run), np.bincount(group)
@@ -162,13 +161,13 @@ def _sort_bucket(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _across(open_: DataFrame) -> DataFrame:
     """The kinds of stretches whose run may lie in several buckets: a row for each stretch and bucket, not for each suffix."""
-    groups = open_.groupBy("lead", "sure", "whole").agg(F.sum("seen").alias("m"), F.min(F.struct("id", "row", "at", "n")).alias("one"))
-    runs = groups.groupBy("lead", "sure").agg(F.count("*").alias("c"), F.sum("m").alias("t"), F.max((F.col("m") == 1).cast("int")).alias("s")).where("t > 1")
-    groups = groups.join(runs, ["lead", "sure"])
-    back = groups.select(*[F.col(c).alias(f"_{c}") for c in ("lead", "sure", "whole")], "m", "c")
-    rows = open_.where("seen = 1").join(back, (F.col("lead") == F.col("_lead")) & (F.col("sure") == F.col("_sure")) & (F.col("whole") == F.col("_whole")))
-    own = rows.select("sure", "id", "row", "at", "n", F.col("c").alias("classes"), F.when(F.col("m") > 1, 0).otherwise(1).cast("int").alias("kind"))
-    one = groups.where("m > 1 AND c > 1 AND s = 1").select("sure", "one.id", "one.row", "one.at", "one.n", F.col("c").alias("classes"), F.lit(2).alias("kind"))
+    groups = open_.groupBy("lead", "whole").agg(F.sum("seen").alias("m"), F.min(F.struct("id", "row", "at", "n")).alias("one"))
+    runs = groups.groupBy("lead").agg(F.count("*").alias("c"), F.sum("m").alias("t"), F.max((F.col("m") == 1).cast("int")).alias("s")).where("t > 1")
+    groups = groups.join(runs, "lead")
+    back = groups.select(*[F.col(c).alias(f"_{c}") for c in ("lead", "whole")], "m", "c")
+    rows = open_.where("seen = 1").join(back, (F.col("lead") == F.col("_lead")) & (F.col("whole") == F.col("_whole")))
+    own = rows.select("lead", "id", "row", "at", "n", F.col("c").alias("classes"), F.when(F.col("m") > 1, 0).otherwise(1).cast("int").alias("kind"))
+    one = groups.where("m > 1 AND c > 1 AND s = 1").select("lead", "one.id", "one.row", "one.at", "one.n", F.col("c").alias("classes"), F.lit(2).alias("kind"))
     return own.union(one)
 
 
@@ -186,13 +185,13 @@ def _strings(length: int, group: int):
                     tiles = -(-w["classes"] // group)
                     for tile in range(tiles):
                         own = slice(None) if tiles == 1 else h % np.uint64(tiles) == tile
-                        out.append((k, w["sure"], tile, w["kind"], start[own].astype(np.int32).tobytes(), h[own].tobytes()))
+                        out.append((k, w["lead"], tile, w["kind"], start[own].astype(np.int32).tobytes(), h[own].tobytes()))
             for k in range(0, len(out), 2000):
-                at, sure, tile, kind, starts, hashes = zip(*out[k : k + 2000], strict=True)
+                at, lead, tile, kind, starts, hashes = zip(*out[k : k + 2000], strict=True)
                 taken = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sure, pa.int64()), pa.array(tile, pa.int32()), part.column(0).take(taken), part.column(1).take(taken), pa.array(kind, pa.int32()), pa.array(starts, pa.binary()), pa.array(hashes, pa.binary())],
-                    names=["sure", "tile", "id", "row", "kind", "starts", "hashes"],
+                    [pa.array(lead, pa.int64()), pa.array(tile, pa.int32()), part.column(0).take(taken), part.column(1).take(taken), pa.array(kind, pa.int32()), pa.array(starts, pa.binary()), pa.array(hashes, pa.binary())],
+                    names=["lead", "tile", "id", "row", "kind", "starts", "hashes"],
                 )
 
     return run
@@ -248,7 +247,7 @@ def with_repeats_removed(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 
     A suffix array of all positions would sort ``length`` bytes for each byte of text. This one is sparse: only suffixes at
     anchors (see :func:`anchors`), chosen by content, so two equal strings always have their suffixes among them. Suffixes
-    are range-partitioned by sampled splitters on (leading 8 bytes, hash of the bytes all strings of the anchor share, hash of the whole stretch, row);
+    are range-partitioned by sampled splitters on (leading 4 bytes and a hash of the bytes all strings of the anchor share, hash of the whole stretch, row);
     buckets sort locally, key by key, and keep suffixes with an equal neighbour; the first and last run of each bucket are compared across
     boundaries. Splitters may fall inside a run, so a very frequent passage is spread over buckets. Stretches that occur again as a whole are done.
     Where stretches agree at the anchor but differ further out, the strings of one row for each different stretch are compared one by one,
@@ -262,23 +261,23 @@ def with_repeats_removed(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     docs = docs.drop(out).withColumn("__row", F.xxhash64(text))
     rows = docs.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.col(text).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.where(F.octet_length("text") >= length).mapInArrow(_suffixes(length, span), f"lead long, sure long, whole long, id {kind}, row long, at int, n int")
+    found = rows.where(F.octet_length("text") >= length).mapInArrow(_suffixes(length, span), f"lead long, whole long, id {kind}, row long, at int, n int")
     found = scratch.save(found, "suffixes")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, found.count() // BUCKET)
-    dealt = found.repartitionByRange(buckets, "lead", "sure", "whole", "id", "row", "at")
-    marked = scratch.save(dealt.mapInArrow(_sort_bucket, f"lead long, sure long, whole long, id {kind}, row long, at int, n int, classes long, kind int, seen int"), "suffix-runs")
-    columns = ["sure", "id", "row", "at", "n", "classes", "kind"]
+    dealt = found.repartitionByRange(buckets, "lead", "whole", "id", "row", "at")
+    marked = scratch.save(dealt.mapInArrow(_sort_bucket, f"lead long, whole long, id {kind}, row long, at int, n int, classes long, kind int, seen int"), "suffix-runs")
+    columns = ["lead", "id", "row", "at", "n", "classes", "kind"]
     marked = marked.where("kind < 3").select(columns).union(_across(marked.where("kind = 3")).select(columns))
     marked = scratch.save(marked, "suffix-kinds")
 
     compared = marked.where("kind > 0")
     strings = compared.agg(F.sum("n")).first()[0] or 0
-    wanted = compared.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("sure", "at", "n", "classes", "kind")).alias("wanted"))
+    wanted = compared.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("lead", "at", "n", "classes", "kind")).alias("wanted"))
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))).select("id", "row", "text", "wanted")
-    hashed = texts.mapInArrow(_strings(length, STRINGS // span), f"sure long, tile int, id {kind}, row long, kind int, starts binary, hashes binary")
+    hashed = texts.mapInArrow(_strings(length, STRINGS // span), f"lead long, tile int, id {kind}, row long, kind int, starts binary, hashes binary")
     tasks = max(least, strings // STRINGS)
-    parts = hashed.repartition(tasks, "sure", "tile").mapInArrow(_repeated, f"id {kind}, row long, span long")
+    parts = hashed.repartition(tasks, "lead", "tile").mapInArrow(_repeated, f"id {kind}, row long, span long")
 
     full = marked.where("kind = 0").select("id", "row", F.expr("shiftleft(cast(at as long), 32) | n").alias("span"))
     spans = full.union(parts).groupBy(F.col("id").alias("__sid"), F.col("row").alias("__srow")).agg(F.collect_set("span").alias("__spans"))
