@@ -50,6 +50,8 @@ def empty(spark):
         ("<body><div class='sidebar'>Side, side, side, and some more words to be longer than all.</div><div id=content><p>Main text, with commas, and length enough to score.</p>tail <i>x</i></div><div class='comment-list'><p>I like this, I really do, and I write at length about it.</p></div></body>", "Main text, with commas, and length enough to score.\ntail x"),
         ("<article><p>Body text that is long enough, yes.</p><div class=ad>Buy</div><form>f<p>q</p></form><script>var a='<p>no</p>'</script><!-- c --></article>", "Body text that is long enough, yes."),
         ("<article><p>Cut off in the middle, of a tag, some", "Cut off in the middle, of a tag, some"),
+        ("<div class=c><div><p>The first part, of two, in a page.</p><p>A.</p></div><div><p>The second part, of two, in a page.</p></div></div><ol class=commentlist><li>I read it, all of it, and I like it.</ol>", "The first part, of two, in a page.\nA.\nThe second part, of two, in a page."),
+        ("<div class='wrap sidebar-left'><p>" + "All the text, of the page, is in here. " * 9 + "</p></div>", ("All the text, of the page, is in here. " * 9).strip()),
         ("<article><table><tr><td>a<td>b<tr><td>c</table><pre>x\n  y</pre></article>", "a\nb\nc\nx y"),
     ],
 )

@@ -22,6 +22,8 @@ JUNK = frozenset("ad ads advert adverts advertisement advertising adsense adbox
 #: Words that mark an article, which outweigh those above unless they are about readers' comments.
 GOOD = frozenset("article articlebody body content contents entry main story post text hentry".split())
 READERS = frozenset("comment comments discussion disqus replies reply respond shoutbox".split())
+#: Parts of such words that tell as well where words are run together.
+JUNK_PART = re.compile("comment|disqus|sidebar|cookie|newsletter|advert|sponsor|breadcrumb|navbar|popup")
 #: Start tags that end an open element: what they end, and where the search for it stops.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -46,25 +48,31 @@ class Node:
 
     __slots__ = ("tag", "up", "kids", "skip", "score", "size", "linked", "commas", "own")
 
-    def __init__(self, tag: str, up: Node | None, skip: bool = False):
+    def __init__(self, tag: str, up: Node | None, skip: int = 0):
         self.tag, self.up, self.skip = tag, up, skip
         self.kids: list[Node | str] = []
         self.score = 0.0
         self.size = self.linked = self.commas = self.own = 0
 
 
-def _left_out(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+#: An element is left out for sure, or by the words in its attributes unless it turns out to hold the page.
+SURE, MARKED = 1, 2
+
+
+def _left_out(tag: str, attributes: list[tuple[str, str | None]]) -> int:
     if tag in SKIP:
-        return True
+        return SURE
     if tag in ("html", "body", "article", "main"):
-        return False
+        return 0
     words: set[str] = set()
     for name, value in attributes:
         if name in ("hidden", "inert") or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value):
-            return True
+            return SURE
         if name in ("class", "id", "role", "itemprop") and value:
             words.update(w.lower() for w in _CUT.split(value))
-    return bool(words & READERS) or bool(words & JUNK) and not words & GOOD
+    if words & READERS or any(w.startswith("comment") for w in words):
+        return SURE
+    return MARKED if words and not words & GOOD and (words & JUNK or JUNK_PART.search(" ".join(words))) else 0
 
 
 class Tree(HTMLParser):
@@ -73,6 +81,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
+        self.marked: list[Node] = []
 
     def _close_to(self, node: Node) -> None:
         self.at = node.up or self.root
@@ -102,6 +111,8 @@ class Tree(HTMLParser):
         new = Node(tag, self.at, _left_out(tag, attrs))
         self.at.kids.append(new)
         self.at = new
+        if new.skip == MARKED:
+            self.marked.append(new)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -146,6 +157,31 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _text_size(node: Node) -> int:
+    """Characters under an element, without parts that are left out for sure."""
+    n, todo = 0, [node]
+    while todo:
+        for kid in todo.pop().kids:
+            if isinstance(kid, str):
+                n += len(" ".join(kid.split()))
+            elif kid.skip != SURE:
+                todo.append(kid)
+    return n
+
+
+def keep_wrappers(tree: Tree) -> None:
+    """A marked element that holds three fifths of the page's text is its wrapper, not a part to leave out."""
+    if not tree.marked:
+        return
+    sizes = [(_text_size(node), node) for node in tree.marked]
+    if max(n for n, _ in sizes) < 200:
+        return
+    page = _text_size(tree.root)
+    for n, node in sizes:
+        if 5 * n > 3 * page:
+            node.skip = 0
+
+
 def _density(node: Node) -> float:
     return node.linked / node.size if node.size else 0.0
 
@@ -186,7 +222,7 @@ def main_nodes(root: Node) -> list[Node]:
         up = up.up
     if best.up is None:
         return [best]
-    limit = max(10.0, 0.2 * best.score)
+    limit = 0.2 * best.score
     kept = []
     for kid in best.up.kids:
         if not isinstance(kid, Node) or kid.skip:
@@ -238,6 +274,7 @@ def extract(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    keep_wrappers(tree)
     return "\n".join(blocks(main_nodes(tree.root)))
 
 
