@@ -268,14 +268,14 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one of the smallest id (then of the smallest hash of its columns), with its own columns.
 
-    A row is known by its id and a hash of all columns; of rows equal in both, one stays. Texts are shuffled once.
+    A row is known by two 64-bit hashes of all its columns; of equal rows one stays. Texts are shuffled once: the choice among equal rows is made where the join has put them.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    whole = F.xxhash64(*columns)
-    found = with_components(docs, id_col, text, (whole.alias("row"),))
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
-    kept = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.id").alias("__id"), F.col("best.row").alias("__row"))
-    marked = docs.withColumn("__own", whole)
-    joined = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__row")))
-    first = F.row_number().over(Window.partitionBy("__id", "__row").orderBy(F.lit(1)))
-    return joined.withColumn("__first", first).where("__first = 1").select(*columns)
+    first, second = F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)
+    found = with_components(docs, id_col, text, (first.alias("row"), second.alias("row2")))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"), F.col("row2"))
+    kept = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row").alias("__row"), F.col("best.row2").alias("__row2"))
+    marked = docs.withColumns({"__own": first, "__own2": second})
+    joined = marked.join(kept, (F.col("__own") == F.col("__row")) & (F.col("__own2") == F.col("__row2")))
+    place = F.row_number().over(Window.partitionBy("__own", "__own2").orderBy(F.lit(1)))
+    return joined.withColumn("__first", place).where("__first = 1").select(*columns)
