@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trackyard.llm import scratch
 
 #: Tokens of a batch of documents, and of a shard of the model.
-BATCH, SHARD = 3_000_000, 1_000_000
+BATCH, SHARD = 2_000_000, 1_000_000
 #: Most frequent words that a batch reports, to find the contexts that are too large for one shard.
 HEADS = 1 << 14
 #: What a text ends with; no word is empty.
@@ -261,18 +261,26 @@ class _Pairs:
         self.hashes, self.tokens, self.lengths, held = unpack(data)
         self.train = np.repeat(held == 0, self.lengths)
         end = int(np.searchsorted(self.hashes, np.uint64(END)))
-        context = np.concatenate(([end], self.tokens[:-1])).astype(np.int64)
-        pair, self.of_token = np.unique(context * len(self.hashes) + self.tokens, return_inverse=True)
-        self.context, self.word = pair // len(self.hashes), pair % len(self.hashes)
-        self.count = np.bincount(self.of_token, weights=self.train, minlength=len(pair)).astype(np.int64)
-        shard = ((self.hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-        parts = np.ones(len(self.hashes), np.int64)
+        # Numbers within a batch are kept in 32 bits, and long arrays are dropped once used.
+        key = np.concatenate(([end], self.tokens[:-1])).astype(np.int64)
+        key *= len(self.hashes)
+        key += self.tokens
+        pair, place = np.unique(key, return_inverse=True)
+        del key
+        self.of_token = place.astype(np.int32)
+        del place
+        self.context, self.word = (pair // len(self.hashes)).astype(np.int32), (pair % len(self.hashes)).astype(np.int32)
+        self.count = np.bincount(self.of_token[self.train], minlength=len(pair)).astype(np.int32)
+        del pair
+        shard = ((self.hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+        parts = np.ones(len(self.hashes), np.int32)
         self.wide = [int(k) for k in np.flatnonzero(np.isin(self.hashes, np.array(list(wide), np.uint64)))]
         for k in self.wide:
             parts[k] = wide[int(self.hashes[k])]
-        part = (self.hashes[self.word] >> np.uint64(8)).astype(np.int64) % parts[self.context]
-        own = (shard[self.context] + part) % shards
-        self.order = np.argsort(own, kind="stable")
+        own = ((self.hashes[self.word] >> np.uint64(8)) % parts[self.context].astype(np.uint64)).astype(np.int32)
+        own += shard[self.context]
+        own %= shards
+        self.order = np.argsort(own, kind="stable").astype(np.int32)
         self.bounds = np.searchsorted(own[self.order], np.arange(shards + 1))
         #: Of each shard the wide contexts that have a part there: their counts are asked for even without a pair.
         self.also: dict[int, list[int]] = {}
@@ -380,11 +388,9 @@ def _score(shards: int, wide: dict[int, int], total: int, kinds: int, kind: pa.D
         pair = np.log10(own + lower[pairs.context] * base[pairs.word])
         ends = np.cumsum(pairs.lengths)
         starts = ends - pairs.lengths
-        sums = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has its end, so no stretch is empty
-        columns = [
-            pa.array(ids, kind), pa.array(pairs.lengths.astype(np.int64)), pa.array(sums((counts[pairs.tokens] > 0).astype(np.int64))),
-            pa.array(sums(np.log10(base)[pairs.tokens])), pa.array(sums(pair[pairs.of_token])), pa.array(~pairs.train[starts]),
-        ]
+        sums = lambda x: pa.array(np.add.reduceat(x, starts))  # noqa: E731  every text has its end, so no stretch is empty
+        known, log_base = counts > 0, np.log10(base)
+        columns = [pa.array(ids, kind), pa.array(pairs.lengths.astype(np.int64)), sums(known[pairs.tokens].astype(np.int64)), sums(log_base[pairs.tokens]), sums(pair[pairs.of_token]), pa.array(~pairs.train[starts])]
         return pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "n_known", "base_score", "score", "held_out"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +415,7 @@ def with_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     Learns from rows whose crc32 of the id as text is no multiple of 10, and scores all. The model interpolates discounted bigrams with the unigrams
     of ``base_score``; the first word and the end of a text have the end before and after them.
 
-    Texts become numbers in batches of some three million tokens, kept as a table. The model is cut into shards by context word, each a trie
+    Texts become numbers in batches of some two million tokens, kept as a table. The model is cut into shards by context word, each a trie
     (:class:`Trie`) built in one task from the distinct pairs of all batches and mapped from a temporary file of that task. Batches send their distinct pairs, not
     their tokens, and get codes back, so traffic is a few bytes a token. A context with over half a shard of tokens is dealt by word to several shards, which
     discount on their own; the list of those, less than two a shard, and two sums are all that goes to the driver. Words are known by their 64-bit XXH64.
@@ -422,7 +428,7 @@ def with_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     name = rows.schema["id"].dataType.simpleString()
     kind = pa.array([], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]).type
     batches = scratch.save(rows.mapInArrow(_batches(kind), f"batch long, ids array<{name}>, data binary, tokens long, heads array<long>, counts array<long>"), "lm-batches")
-    total = batches.agg(F.sum("tokens")).first()[0] or 0
+    total, made = batches.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(least, -(-total // SHARD))
     # Contexts of over half a shard: less than two a shard.
@@ -438,6 +444,7 @@ def with_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     none = F.lit(None).cast(f"array<{name}>").alias("ids")
     both = batches.select("batch", F.lit(-1).alias("shard"), "ids", "data").union(answers.select("batch", "shard", none, F.col("answer").alias("data")))
-    dealt = both.repartition(least, "batch").sortWithinPartitions("batch", "shard")
+    # Few large rows: twice as many tasks as batches, so that few get two.
+    dealt = both.repartition(max(least, 2 * made), "batch").sortWithinPartitions("batch", "shard")
     scored = dealt.mapInArrow(_score(shards, wide, train, kinds, kind), f"id {name}, n_tokens long, n_known long, base_score double, score double, held_out boolean")
     return scored.withColumn("train_tokens", F.lit(train).cast("long"))
