@@ -23,29 +23,44 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011
 #: Rows of a key compared in one task; larger ones are dealt to tiles.
 GROUP = 20_000
+#: Min-hashes of a text in bands: of pairs at similarity 0.8 all but some 50 in a million have a band in common.
+BANDS, ROWS = 25, 5
+#: Texts of a candidate group compared in one task; larger groups are dealt to tiles.
+TILE = 4000
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: bytes | None, size: int = 3) -> int:
-    """SimHash of a text's word shingles, repeats included; a bit is set if it is in over half of their XXH64. No words: 0."""
-    words = text.lower().split() if text else []
-    if not words:
-        return 0
+def _words(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []
+
+
+def _shingles(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of the shingles of ``size`` words, in order; of all words if there are fewer. No words: none."""
+    digest = xxhash.xxh64_intdigest
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+        return np.array([digest(b" ".join(words), SEED)] if words else [], np.uint64)
+    joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     pairs = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, len(words) - size + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, len(words) - size + 1)
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; those of a single hash, 0 for none."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 8192):
         ones += np.unpackbits(h[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, size: int = 3) -> int:
+    """SimHash of a text's word shingles, repeats included; a bit is set if it is in over half of their XXH64. No words: 0."""
+    return _majority(_shingles(_words(text), size))
+
+
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
 
@@ -265,14 +280,118 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return rows.join(by_print, "fp", "left")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+# --- similarity of shingles -------------------------------------------------------------------------------------
+
+
+def _min_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of ``BANDS * ROWS`` odd factors."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
+    least = np.full(len(factors), ~np.uint64(0))
+    for k in range(0, len(shingles), 8192):
+        np.minimum(least, (shingles[k : k + 8192, None] * factors).min(axis=0), out=least)
+    return least
+
+
+def _node(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+
+
+def _nodes(texts: pd.Series) -> pd.Series:
+    return pd.Series(np.fromiter((_node(_words(t)) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+
+def _keys(size: int):
+    """Of each text a hash of its words, the fingerprint of its shingles, and a key for each band of its min-hashes."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        node, fp, keys = [], [], []
+        for t in texts:
+            words = _words(t)
+            h = _shingles(words, size)
+            bands = _min_hashes(h).reshape(BANDS, ROWS)
+            node.append(_node(words))
+            fp.append(_majority(h))
+            keys.append(np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)] if len(h) else [], np.uint64).view(np.int64))
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
+        return pd.DataFrame({"node": signed(node), "fp": signed(fp), "keys": keys})
+
+    return run
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links that join the sets of hashes (each in order, without repeats) as all pairs of at least this Jaccard similarity would.
+
+    Breadth first, as in :func:`forest`. Pairs whose min-hashes agree in a quarter less than that are not compared.
+    """
+    sizes = np.array([len(x) for x in sets])
+    marks = np.array([_min_hashes(x) for x in sets]).reshape(len(sets), BANDS * ROWS)
+    left, a, b = np.arange(len(sets)), [], []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            maybe = np.minimum(sizes[left], sizes[x]) >= similarity * np.maximum(sizes[left], sizes[x])
+            maybe[maybe] = (marks[left[maybe]] == marks[x]).mean(axis=1) >= 0.75 * similarity
+            near = np.zeros(len(left), bool)
+            for k in np.flatnonzero(maybe):
+                y = sets[left[k]]
+                both = len(np.intersect1d(sets[x], y, assume_unique=True))
+                near[k] = both >= similarity * (len(sets[x]) + len(y) - both) - 1e-9
+            found, left = left[near].tolist(), left[~near]
+            a += [x] * len(found)
+            b += found
+            queue += found
+    return a, b
+
+
+def with_similar(docs: DataFrame, id_col: str, text: str, size: int, similarity: float, extra: tuple = ()) -> DataFrame:
+    """(id, root, *extra) for each row: rows with one root are joined by pairs of texts whose sets of ``size``-word shingles have at least this Jaccard similarity.
+
+    Texts of equal words are one node. Candidates are nodes with Golay keys in common whose fingerprints differ in at most three bits, and nodes that share a band of min-hashes.
+    What candidates join is a group; its texts meet in one task, or in tiles of a large group, where all pairs are held to the exact similarity.
+    """
+    content = F.col(text).cast("binary")
+    schema = "node long, fp long, keys array<long>"
+    made = docs.select(F.col(id_col).alias("id"), F.pandas_udf(_keys(size), schema)(content).alias("k"), *extra)
+    rows = scratch.save(made.select("id", "k.*", *[c for c in made.columns if c not in ("id", "k")]), "similar-rows")
+    # Equal nodes have equal keys: the least of each is that of all.
+    nodes = scratch.save(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys")), "similar-nodes")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = scratch.lookup(keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "similar-bands")
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    near = links(prints)
+    ends = [prints.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node")) for c in "ab"]
+    by_print = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    equal = nodes.join(prints, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    by_band = keyed.join(shared, "key").select("a", F.col("node").alias("b"))
+    group = scratch.save(components(by_print.union(equal).union(by_band).where("a <> b")), "similar-groups")
+    chunks = group.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    wanted = scratch.lookup(group.join(chunks, "root"), "similar-wanted")
+    texts = docs.select(F.pandas_udf(_nodes, "long")(content).alias("node"), content.alias("text")).join(wanted, "node")
+    single = texts.groupBy("node", "root", "chunks").agg(F.first("text").alias("text"))
+    single = single.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"))
+    tiles = single.select("root", "node", "text", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select("root", "node", "text", F.least("c", "o").alias("t1"), F.greatest("c", "o").alias("t2"))
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = similar([np.unique(_shingles(_words(t), size)) for t in frame["text"]], similarity)
+        node = frame["node"].to_numpy(np.int64)
+        return pd.DataFrame({"a": node[a], "b": node[b]}, dtype=np.int64)
+
+    roots = components(tiles.groupBy("root", "t1", "t2").applyInPandas(tile, "a long, b long"))
+    return rows.drop("fp", "keys").join(scratch.lookup(roots, "similar-roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, similarity: float | None = None) -> DataFrame:
     """One document of each component, the one of the smallest id (then of the smallest hash of its columns), with its own columns.
 
+    Components are those of fingerprints (:func:`with_components`), or with ``similarity`` those of sets of ``size``-word shingles (:func:`with_similar`).
+
     A row is known by two 64-bit hashes of all its columns; of equal rows one stays. Texts are shuffled once: the choice among equal rows is made where the join has put them.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     first, second = F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)
-    found = with_components(docs, id_col, text, (first.alias("row"), second.alias("row2")))
+    own = (first.alias("row"), second.alias("row2"))
+    found = with_components(docs, id_col, text, own) if similarity is None else with_similar(docs, id_col, text, size, similarity, own)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"), F.col("row2"))
     kept = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row").alias("__row"), F.col("best.row2").alias("__row2"))
     marked = docs.withColumns({"__own": first, "__own2": second})
