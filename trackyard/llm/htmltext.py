@@ -24,6 +24,10 @@ GOOD = frozenset("article articlebody body content contents entry main story pos
 READERS = frozenset("comment comments discussion disqus replies reply respond shoutbox".split())
 #: Parts of such words that tell as well where words are run together.
 JUNK_PART = re.compile("comment|disqus|sidebar|cookie|newsletter|advert|sponsor|breadcrumb|navbar|popup")
+#: Words of layout, which may stand beside junk words in an id; with others an id is the slug of a heading.
+LAYOUT = frozenset("area block box bar bottom col column container content div fixed form inner item items js left links list main outer page panel posts right row section site top wrap wrapper".split())
+#: Elements that a word may leave out: containers, no headings, paragraphs or parts of a line.
+CONTAINER = frozenset("address center dd details div dl dt fieldset figure hgroup legend li ol section summary table tbody td tfoot th thead tr ul".split())
 #: Start tags that end an open element: what they end, and where the search for it stops.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -55,8 +59,12 @@ class Node:
         self.size = self.linked = self.commas = self.own = 0
 
 
-#: An element is left out for sure, or by the words in its attributes unless it turns out to hold the page.
-SURE, MARKED = 1, 2
+#: An element is left out for sure, by the words in its attributes unless it turns out to hold the page, or as readers' comments unless it holds the article.
+SURE, MARKED, READER = 1, 2, 3
+
+
+def _reader(words: set[str]) -> bool:
+    return bool(words & READERS) or any(w.startswith("comment") and not w.startswith("commenta") for w in words)
 
 
 def _left_out(tag: str, attributes: list[tuple[str, str | None]]) -> int:
@@ -65,13 +73,21 @@ def _left_out(tag: str, attributes: list[tuple[str, str | None]]) -> int:
     if tag in ("html", "body", "article", "main"):
         return 0
     words: set[str] = set()
+    slug: set[str] = set()
     for name, value in attributes:
         if name in ("hidden", "inert") or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value):
             return SURE
         if name in ("class", "id", "role", "itemprop") and value:
-            words.update(w.lower() for w in _CUT.split(value))
-    if words & READERS or any(w.startswith("comment") for w in words):
-        return SURE
+            (slug if name == "id" else words).update(w.lower() for w in _CUT.split(value) if w)
+    if tag not in CONTAINER:
+        return 0
+    # Ids of sections are slugs of their headings, as are ids with words that are neither junk nor layout.
+    section = tag == "section" or "section" in words
+    known = lambda w: w in JUNK or w in LAYOUT or w in GOOD or w.isdigit() or JUNK_PART.search(w)
+    if all(map(known, slug)) and not (section and len(slug) == 1 and not any(map(JUNK_PART.search, slug))):
+        words |= slug
+    if _reader(words):
+        return READER
     return MARKED if words and not words & GOOD and (words & JUNK or JUNK_PART.search(" ".join(words))) else 0
 
 
@@ -82,6 +98,8 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
         self.marked: list[Node] = []
+        self.heads: list[Node] = []
+        self.articles: list[Node] = []
 
     def _close_to(self, node: Node) -> None:
         self.at = node.up or self.root
@@ -111,8 +129,12 @@ class Tree(HTMLParser):
         new = Node(tag, self.at, _left_out(tag, attrs))
         self.at.kids.append(new)
         self.at = new
-        if new.skip == MARKED:
+        if new.skip in (MARKED, READER):
             self.marked.append(new)
+        if tag in ("h1", "main"):
+            self.heads.append(new)
+        elif tag == "article":
+            self.articles.append(new)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -137,6 +159,7 @@ def _measure(root: Node) -> list[Node]:
     order, todo = [], [root]
     while todo:
         node = todo.pop()
+        node.size = node.linked = node.commas = node.own = 0
         order.append(node)
         todo.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.skip)
     for node in reversed(order):
@@ -164,21 +187,42 @@ def _text_size(node: Node) -> int:
         for kid in todo.pop().kids:
             if isinstance(kid, str):
                 n += len(" ".join(kid.split()))
-            elif kid.skip != SURE:
+            elif kid.skip not in (SURE, READER):
                 todo.append(kid)
     return n
 
 
+def _holders(tree: Tree) -> set[Node]:
+    """Elements around the article: above a main heading, a main element or the only article of the page, none of them in parts left out for sure."""
+    out: set[Node] = set()
+    for node in tree.heads + (tree.articles if len(tree.articles) == 1 else []):
+        above = []
+        while node is not None and node.skip != SURE:
+            above.append(node)
+            node = node.up
+        if node is None:
+            out.update(above)
+    return out
+
+
 def keep_wrappers(tree: Tree) -> None:
-    """A marked element that holds three fifths of the page's text is its wrapper, not a part to leave out."""
+    """A marked element is a wrapper, not a part to leave out, if it holds the article; of comments that is enough.
+
+    Of others it must hold three fifths of the page's text too, and may be without the article where nothing outside marked elements scores.
+    """
     if not tree.marked:
         return
-    sizes = [(_text_size(node), node) for node in tree.marked]
-    if max(n for n, _ in sizes) < 200:
+    holders = _holders(tree)
+    for node in tree.marked:
+        if node.skip == READER and node in holders:
+            node.skip = 0
+    sizes = [(_text_size(node), node) for node in tree.marked if node.skip == MARKED]
+    if max((n for n, _ in sizes), default=0) < 200:
         return
     page = _text_size(tree.root)
+    scores = any(n.tag in PARAGRAPH and n.own >= 25 for n in _measure(tree.root))
     for n, node in sizes:
-        if 5 * n > 3 * page:
+        if 5 * n > 3 * page and (node in holders or not scores):
             node.skip = 0
 
 
