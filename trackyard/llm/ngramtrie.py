@@ -175,23 +175,25 @@ class Trie:
         self.pointers = EliasFano(np.concatenate((first, [len(context)])).astype(np.int64), file)
         self.successors = EliasFano(rank * np.int64(max(1, len(words))) + own, file)
         self.own = mapped(quantise((count - d[rank]) / total[rank]), file)
+        self.seen = mapped(np.asarray(count, np.int64), file)
+        #: Of each context its pairs, and those seen once and twice.
+        self.spread = (kinds, once, twice)
 
     def context(self, hashes: np.ndarray) -> np.ndarray:
         return _position(self.contexts, hashes)
 
     def query(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Codes of pairs; 0 if a pair isn't seen. ``contexts`` are positions or -1, each with ``sizes`` pairs; ``at`` gives their words among the hashes ``words``."""
+        """Positions of pairs among the successors; -1 if a pair isn't seen. ``contexts`` are positions or -1, each with ``sizes`` pairs; ``at`` gives their words among the hashes ``words``."""
         known = np.maximum(contexts, 0)
         there = contexts >= 0
         first = np.repeat(np.where(there, self.pointers.get(known), 0) if self.pointers.n > 1 else np.zeros(len(known), np.int64), sizes)
         end = np.repeat(np.where(there, self.pointers.get(known + 1), 0) if self.pointers.n > 1 else np.zeros(len(known), np.int64), sizes)
         word = _position(self.words, words)[at]
-        code = np.zeros(len(at), np.uint16)
+        place = np.full(len(at), -1, np.int64)
         ask = np.flatnonzero((first < end) & (word >= 0))
         value = np.repeat(known, sizes)[ask] * np.int64(max(1, len(self.words))) + word[ask]
-        found = self.successors.find(value, first[ask], end[ask])
-        code[ask[found >= 0]] = self.own[found[found >= 0]]
-        return code
+        place[ask] = self.successors.find(value, first[ask], end[ask])
+        return place
 
 
 def _position(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -282,11 +284,6 @@ class _Pairs:
         own %= shards
         self.order = np.argsort(own, kind="stable").astype(np.int32)
         self.bounds = np.searchsorted(own[self.order], np.arange(shards + 1))
-        #: Of each shard the wide contexts that have a part there: their counts are asked for even without a pair.
-        self.also: dict[int, list[int]] = {}
-        for k in self.wide:
-            for p in range(parts[k]):
-                self.also.setdefault(int((shard[k] + p) % shards), []).append(k)
 
     def of(self, s: int) -> np.ndarray:
         """Positions of the pairs that go to a shard."""
@@ -304,8 +301,6 @@ def _ask(shards: int, wide: dict[int, int]):
                 for s in range(shards):
                     own = pairs.of(s)
                     contexts, sizes = np.unique(pairs.context[own], return_counts=True)
-                    more = np.setdiff1d(np.array(pairs.also.get(s, []), np.int64), contexts)
-                    contexts, sizes = np.concatenate((contexts, more)), np.concatenate((sizes, np.zeros(len(more), np.int64)))
                     if not len(contexts):
                         continue
                     words, at = np.unique(pairs.word[own], return_inverse=True)
@@ -341,14 +336,21 @@ def _answer(wide: dict[int, int]):
                 known = place >= 0
                 counts = np.where(known, trie.counts[place] if len(trie.counts) else 0, 0)
                 lower = np.where(known, trie.lower[place] if len(trie.lower) else 0, 0).astype(np.uint16)
-                codes = trie.query(place, sizes, words, at)
-                out.append(pack(contexts, sizes, counts, lower, codes))
-            shared = np.isin(trie.contexts, known_wide)
-            total, kinds, some = int(trie.counts.sum()), int((~shared).sum()), trie.contexts[shared].view(np.int64).tolist()
+                pair = trie.query(place, sizes, words, at)
+                there = pair >= 0
+                codes, exact = np.zeros(len(pair), np.uint16), np.zeros(len(pair), np.int64)
+                codes[there], exact[there] = trie.own[pair[there]], trie.seen[pair[there]]
+                # Pairs of a context that other shards share go back as counts: its discount is that of all parts.
+                dealt = np.repeat(np.isin(contexts, known_wide), sizes)
+                exact = exact[dealt]
+                out.append(pack(contexts, sizes, counts, lower, codes[~dealt], exact.astype(np.uint16 if exact.max(initial=0) < 1 << 16 else np.int64)))
+            shared = np.flatnonzero(np.isin(trie.contexts, known_wide))
+            total, kinds = int(trie.counts.sum()), len(trie.contexts) - len(shared)
+            some = np.column_stack((trie.contexts[shared].view(np.int64), trie.counts[shared], *(x[shared] for x in trie.spread))).astype(np.int64).tolist()
         names = ["batch", "shard", "answer", "total", "kinds", "wide"]
         batches = pa.array([b for b, _ in rows], pa.int64())
         n = len(rows)
-        return pa.RecordBatch.from_arrays([batches, pa.array([shard] * n, pa.int32()), pa.array(out, pa.binary()), pa.array([total] + [0] * (n - 1), pa.int64()), pa.array([kinds] + [0] * (n - 1), pa.int64()), pa.array([some] + [[]] * (n - 1), pa.list_(pa.int64()))], names=names)
+        return pa.RecordBatch.from_arrays([batches, pa.array([shard] * n, pa.int32()), pa.array(out, pa.binary()), pa.array([total] + [0] * (n - 1), pa.int64()), pa.array([kinds] + [0] * (n - 1), pa.int64()), pa.array([some] + [[]] * (n - 1), pa.list_(pa.list_(pa.int64())))], names=names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -365,25 +367,33 @@ def _answer(wide: dict[int, int]):
     return run
 
 
-def _score(shards: int, wide: dict[int, int], total: int, kinds: int, kind: pa.DataType):
+def _score(shards: int, wide: dict[int, int], spread: dict[int, tuple[int, int, int, int]], total: int, kinds: int, kind: pa.DataType):
     """For rows in order of (batch, shard), a batch's texts first: scores of its documents.
 
-    Parts of a wide context add up: their counts, and what each took off for the lower order; a pair's own share of its part becomes its share of the whole.
+    ``spread`` has of each wide context the sums over its parts: tokens, pairs, pairs seen once and twice. They give it one discount, as if it were whole.
     """
 
     def score(ids: list, data: bytes, answers: list[tuple[int, bytes]]) -> pa.RecordBatch:
         pairs = _Pairs(data, shards, wide)
         n = len(pairs.hashes)
-        counts, lower, own = np.zeros(n), np.zeros(n), np.zeros(len(pairs.context))
+        counts, lower, own = np.zeros(n), np.ones(n), np.zeros(len(pairs.context))
         for shard, answer in answers:
-            contexts, sizes, c, low, codes = unpack(answer)
+            contexts, sizes, c, low, codes, exact = unpack(answer)
             at = np.searchsorted(pairs.hashes, contexts)
-            counts[at] += c
-            lower[at] += restore(low) * c
-            own[pairs.of(shard)] = restore(codes) * np.repeat(c, sizes)
-        some = np.maximum(counts, 1)
-        lower = np.where(counts > 0, lower / some, 1.0)
-        own /= some[pairs.context]
+            counts[at] = c
+            lower[at] = np.where(low > 0, restore(low), 1.0)
+            dealt = np.repeat(np.isin(at, pairs.wide), sizes)
+            of = pairs.of(shard)
+            own[of[~dealt]], own[of[dealt]] = restore(codes), exact
+        if pairs.wide:
+            d = np.zeros(n)
+            for k in pairs.wide:
+                counts[k], some, once, twice = spread.get(int(pairs.hashes[k]), (0, 0, 0, 0))
+                d[k] = (once + 0.5) / (once + 2 * twice + 1)
+                lower[k] = restore(quantise(np.array([max(d[k] * some / counts[k], 1e-12)])))[0] if counts[k] else 1.0
+            shares = np.flatnonzero(np.isin(pairs.context, pairs.wide) & (own > 0))
+            of = pairs.context[shares]
+            own[shares] = restore(quantise((own[shares] - d[of]) / counts[of]))
         base = (counts + 0.1) / (total + 0.1 * (kinds + 1))
         pair = np.log10(own + lower[pairs.context] * base[pairs.word])
         ends = np.cumsum(pairs.lengths)
@@ -417,8 +427,8 @@ def with_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     Texts become numbers in batches of some two million tokens, kept as a table. The model is cut into shards by context word, each a trie
     (:class:`Trie`) built in one task from the distinct pairs of all batches and mapped from a temporary file of that task. Batches send their distinct pairs, not
-    their tokens, and get codes back, so traffic is a few bytes a token. A context with over half a shard of tokens is dealt by word to several shards, which
-    discount on their own; the list of those, less than two a shard, and two sums are all that goes to the driver. Words are known by their 64-bit XXH64.
+    their tokens, and get codes back, so traffic is a few bytes a token. A context with over half a shard of tokens is dealt by word to several shards,
+    whose sums give it one discount; the list of those, less than two a shard, and two sums are all that goes to the driver. Words are known by their 64-bit XXH64.
 
     A null text is the end alone; a null id counts as the empty string for the split, which holds it out. Rows that repeat an id are scored each.
     """
@@ -437,14 +447,16 @@ def with_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     asked = batches.select("batch", "data").mapInArrow(_ask(shards, wide), "shard int, batch long, asked binary")
     dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard")
-    answers = scratch.save(dealt.mapInArrow(_answer(wide), "batch long, shard int, answer binary, total long, kinds long, wide array<long>"), "lm-answers")
+    answers = scratch.save(dealt.mapInArrow(_answer(wide), "batch long, shard int, answer binary, total long, kinds long, wide array<array<long>>"), "lm-answers")
     sums = answers.agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).first()
     train = sums["total"] or 0
-    kinds = (sums["kinds"] or 0) + answers.select(F.explode("wide").alias("w")).distinct().count()
+    parts = answers.select(F.explode("wide").alias("w")).groupBy(F.col("w")[0].alias("context")).agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(1, 5)]).collect()
+    spread = {r[0] % (1 << 64): tuple(r[1:]) for r in parts}
+    kinds = (sums["kinds"] or 0) + len(spread)
 
     none = F.lit(None).cast(f"array<{name}>").alias("ids")
     both = batches.select("batch", F.lit(-1).alias("shard"), "ids", "data").union(answers.select("batch", "shard", none, F.col("answer").alias("data")))
     # Few large rows: twice as many tasks as batches, so that few get two.
     dealt = both.repartition(max(least, 2 * made), "batch").sortWithinPartitions("batch", "shard")
-    scored = dealt.mapInArrow(_score(shards, wide, train, kinds, kind), f"id {name}, n_tokens long, n_known long, base_score double, score double, held_out boolean")
+    scored = dealt.mapInArrow(_score(shards, wide, spread, train, kinds, kind), f"id {name}, n_tokens long, n_known long, base_score double, score double, held_out boolean")
     return scored.withColumn("train_tokens", F.lit(train).cast("long"))
