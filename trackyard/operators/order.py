@@ -96,7 +96,8 @@ def first_n_audit(df: DataFrame, n: int, source: str) -> DataFrame:
 
 
 def stable_metric_order(df: DataFrame) -> DataFrame:
-    return df.orderBy("tag", "step", "wall_time")
+    """Rows by tag, step and time; of one time by event_id."""
+    return df.orderBy("tag", "step", "wall_time", "event_id")
 
 
 def latest_file_rows(df: DataFrame, keys: list[str], file: str = "file", modified: str = "modified") -> DataFrame:

@@ -497,7 +497,7 @@ def k1_audit(spark, d):
 
 @register("k2_stable_metric_order", V.sql("SELECT tag, step, version FROM met ORDER BY tag, step, wall_time, event_id LIMIT 200", MET))
 def k2(spark, d):
-    return V.metrics(spark, d).orderBy("tag", "step", "wall_time", "event_id").limit(200).select("tag", "step", "version")
+    return order.stable_metric_order(V.metrics(spark, d)).limit(200).select("tag", "step", "version")
 
 
 NEWEST = "files AS (SELECT *, 'f' || CAST(event_id % 4 AS VARCHAR) AS file, (event_id % 4) * 7 % 5 AS modified FROM met)"
