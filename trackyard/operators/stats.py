@@ -100,9 +100,10 @@ def misordered(pt: Column) -> Column:
     return (n >= 2) & ~F.forall(F.zip_with(F.slice(pt, 1, F.greatest(n - 1, F.lit(0))), F.slice(pt, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a >= b), lambda x: x)
 
 
-def ordering_check(df: DataFrame, n: int = 200_000, jets: str = "jets", key: str = "event_id") -> DataFrame:
-    """Events looked at (the first ``n`` by key) and how many have jets out of order."""
-    return df.select(key, F.col(f"{jets}.pt").alias("pt")).orderBy(key).limit(n).agg(F.count("*").alias("events"), F.sum(misordered(F.col("pt")).cast("long")).alias("bad"))
+def ordering_check(df: DataFrame, n: int | None = None, jets: str = "jets", key: str = "event_id") -> DataFrame:
+    """Events looked at (all, or the first ``n`` by key) and how many have jets out of order."""
+    rows = df.select(key, F.col(f"{jets}.pt").alias("pt"))
+    return (rows if n is None else rows.orderBy(key).limit(n)).agg(F.count("*").alias("events"), F.sum(misordered(F.col("pt")).cast("long")).alias("bad"))
 
 
 def clipping_risk(df: DataFrame, keys: Sequence[str], max_index: int = 15, prov: str = "jets.prov") -> DataFrame:
