@@ -305,16 +305,29 @@ def test_line_dedup_empty(empty):
 # --- 9
 
 
-@pytest.mark.parametrize(("length", "span"), [(400, 256), (40, 16)])
-def test_repeats(spark, monkeypatch, length, span):
-    for name, value in (("BLOCK", 1 << 12), ("STRINGS", 2000), ("BUCKET", 300)):
+def test_multikey_quicksort():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 3, (3000, 19)).astype(np.uint8)
+    data[rng.integers(0, 3000, 1500), :12] = 1
+    words = suffixdedup.as_words(data)
+    order = suffixdedup.multikey_quicksort(words, small=16)
+    rows = [data[k].tobytes() for k in order]
+    assert rows == sorted(data[k].tobytes() for k in range(3000))
+    width = words.shape[1] * 8
+    want = [0] + [next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), width) for a, b in zip(rows, rows[1:], strict=False)]
+    assert suffixdedup.common_prefix(words[order]).tolist() == want
+
+
+@pytest.mark.parametrize(("length", "span", "hot"), [(400, 352, 256), (400, 256, 1), (40, 16, 3), (40, 25, 256), (40, 25, 0)])
+def test_repeats(spark, monkeypatch, length, span, hot):
+    for name, value in (("BLOCK", 1 << 12), ("TASK", 1 << 14), ("BUCKET", 300), ("ONCE", 50)):
         monkeypatch.setattr(suffixdedup, name, value)
     rng = random.Random(1)
     letters = "abcde é"
     parts = ["".join(rng.choice(letters) for _ in range(rng.randint(20, 200))) for _ in range(12)]
     rows = [(rng.choice([k, k, None]), "".join(rng.choice(parts) if rng.random() < 0.7 else "".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(0, 14)))) for k in range(100)]
     rows += [(1, None), (2, ""), (3, "a" * 3000), (4, "ab" * 900), (7, rows[7][1]), (7, rows[7][1]), (8, "a" * (length - 1)), (9, "xyz" * 15_000 + "q" * 700)]
-    got = suffixdedup.with_repeats_removed(brute.frame(spark, rows), length=length, span=span).select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256)).collect()
+    got = suffixdedup.with_repeats_removed(brute.frame(spark, rows), length=length, span=span, hot=hot).select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256)).collect()
     assert brute.ordered(got) == brute.ordered(brute.repeats(rows, length))
 
 

@@ -56,7 +56,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixdedup.with_repeats_removed(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"), (F.col("cut.n_removed") > 0).alias("has_repeats"))
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
