@@ -20,7 +20,7 @@ BLOCK = 1 << 20
 #: Suffixes sorted in one bucket, bytes of stretches compared in one task, and stretches compared at once.
 BUCKET, TASK, ONCE = 250_000, 32 << 20, 16_384
 #: Runs of more different stretches are dealt out string by string.
-HOT = 256
+HOT = 1000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -253,6 +253,10 @@ def _across(open_: DataFrame) -> DataFrame:
     return own.union(one)
 
 
+#: A string without its bytes: its hash, the place of its document in the row's list, its start, its weight.
+STRING = np.dtype([("h", "<u8"), ("place", "<i4"), ("start", "<i4"), ("weight", "<i4")])
+
+
 # --- stretches that agree at the anchor, but not as a whole -----------------------------------------------------
 
 
@@ -264,11 +268,11 @@ def _spans(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner[first], start[first] << 32 | np.diff(np.concatenate((first, [len(owner)])))
 
 
-def _stretches(length: int, hot: int):
+def _stretches(length: int, hot: int, deals: int):
     """For (id, row, text, wanted): the wanted stretches, dealt by run.
 
-    Strings of a run of over ``hot`` different stretches are dealt by their own hash instead, without bytes. Those that a batch holds twice are settled there (kind 0) and
-    leave one row with weight 2, so that a string makes at most one row a batch besides its first.
+    Strings of a run of over ``hot`` different stretches are dealt by their own hash instead, without bytes: a row for each batch and deal holds those of the batch (kind -1).
+    Strings that a batch holds twice are settled there (kind 0) and go on once, with weight 2, so an equal string is met once a batch at most.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,25 +291,38 @@ def _stretches(length: int, hot: int):
                     owners.append(np.full(len(own), k))
                     starts.append(own)
                     kinds.append(np.full(len(own), w["kind"]))
-            names = ["run", "id", "row", "kind", "at", "n", "off", "text"]
 
-            def made(run, owner, kind, at, n, off, text, part=part, names=names) -> pa.RecordBatch:
-                taken = pa.array(owner, pa.int64())
-                return pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), part.column(0).take(taken), part.column(1).take(taken), *[pa.array(x, pa.int32()) for x in (kind, at, n, off)], text], names=names)
+            def made(run, owner, kind, at, n, off, text, ids=None, rows=None, part=part) -> pa.RecordBatch:
+                taken, none = pa.array(owner, pa.int64()), pa.array(np.zeros(len(run) + 1, np.int32))
+                ids = ids or pa.ListArray.from_arrays(none, part.column(0).slice(0, 0))
+                rows = rows or pa.ListArray.from_arrays(none, part.column(1).slice(0, 0))
+                numbers = [pa.array(x, pa.int32()) for x in (kind, at, n, off)]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(run, pa.int64()), part.column(0).take(taken), part.column(1).take(taken), *numbers, pa.array(text, pa.binary()), ids, rows],
+                    names=["run", "id", "row", "kind", "at", "n", "off", "text", "ids", "rows"],
+                )
 
             for k in range(0, len(plain), 4000):
-                *some, text = zip(*plain[k : k + 4000], strict=True)
-                yield made(*some, pa.array(text, pa.binary()))
-            if hashes:
-                h, owner, start, kind = (np.concatenate(x) for x in (hashes, owners, starts, kinds))
-                _, first, at = np.unique(h, return_index=True, return_inverse=True)
-                weight = np.bincount(at, weights=kind)
-                twice = (weight > 1)[at] & (kind == 1)
-                at_owner, span = _spans(owner[twice], start[twice])
-                yield made((_mix(span.view(np.uint64)) ^ _mix(at_owner.view(np.uint64))).view(np.int64), at_owner, np.zeros(len(span), np.int32), (span >> 32).astype(np.int32), (span & 0xFFFFFFFF).astype(np.int32), np.zeros(len(span), np.int32), pa.nulls(len(span), pa.binary()))
-                for k in range(0, len(first), 100_000):
-                    own = first[k : k + 100_000]
-                    yield made(h[own].view(np.int64), owner[own], np.minimum(weight[k : k + 100_000], 2).astype(np.int32), start[own].astype(np.int32), np.ones(len(own), np.int32), np.zeros(len(own), np.int32), pa.nulls(len(own), pa.binary()))
+                yield made(*zip(*plain[k : k + 4000], strict=True))
+            if not hashes:
+                continue
+            h, owner, start, kind = (np.concatenate(x) for x in (hashes, owners, starts, kinds))
+            _, first, at = np.unique(h, return_index=True, return_inverse=True)
+            weight = np.bincount(at, weights=kind)
+            twice = (weight > 1)[at] & (kind == 1)
+            at_owner, span = _spans(owner[twice], start[twice])
+            zero = np.zeros(len(span), np.int32)
+            yield made((_mix(span.view(np.uint64)) ^ _mix(at_owner.view(np.uint64))).view(np.int64), at_owner, zero, span >> 32, span & 0xFFFFFFFF, zero, [None] * len(span))
+            deal = (h[first] % np.uint64(deals)).astype(np.int64)
+            order = np.argsort(deal, kind="stable")
+            bounds = np.concatenate(([0], np.flatnonzero(np.diff(deal[order])) + 1, [len(order)]))
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                own = first[order[low:high]]
+                held, place = np.unique(owner[own], return_inverse=True)
+                packed = np.rec.fromarrays([h[own], place, start[own], np.minimum(weight[order[low:high]], 2)], dtype=STRING).tobytes()
+                taken = pa.array(held)
+                offsets = pa.array([0, len(held)], pa.int32())
+                yield made([int(deal[order[low]])], held[:1], [-1], [0], [0], [0], [packed], pa.ListArray.from_arrays(offsets, part.column(0).take(taken)), pa.ListArray.from_arrays(offsets, part.column(1).take(taken)))
 
     return run
 
@@ -357,10 +374,9 @@ def _compare(length: int):
         if table is None:
             return
         text = table.column("text")
-        has_bytes = pc.is_valid(text).to_numpy()
         key, kind, at, n, off = (table.column(c).to_numpy() for c in ("run", "kind", "at", "n", "off"))
         rows, spans = [], []
-        own = np.flatnonzero(has_bytes)
+        own = np.flatnonzero(kind > 0)
         if len(own):
             own = own[np.argsort(key[own], kind="stable")]
             ends = np.concatenate((np.flatnonzero(key[own][1:] != key[own][:-1]) + 1, [len(own)]))
@@ -374,18 +390,22 @@ def _compare(length: int):
                 rows.append(owner)
                 spans.append(span)
                 low = high
-        single = np.flatnonzero(~has_bytes & (kind > 0))
-        if len(single):
-            _, at_class = np.unique(key[single], return_inverse=True)
-            again = single[(np.bincount(at_class, weights=kind[single]) > 1)[at_class] & (kind[single] == 1)]
-            rows.append(again)
-            spans.append(at[again].astype(np.int64) << 32 | 1)
-        done = np.flatnonzero(~has_bytes & (kind == 0))
+        done = np.flatnonzero(kind == 0)
         rows.append(done)
         spans.append(at[done].astype(np.int64) << 32 | n[done])
-        taken = pa.array(np.concatenate(rows))
-        found = pa.table({"id": table.column("id").take(taken), "row": table.column("row").take(taken), "span": pa.array(np.concatenate(spans))})
-        yield from found.combine_chunks().to_batches(max_chunksize=50_000)
+        taken, spans = pa.array(np.concatenate(rows)), pa.array(np.concatenate(spans))
+        yield from pa.table({"id": table.column("id").take(taken), "row": table.column("row").take(taken), "span": spans}).combine_chunks().to_batches(max_chunksize=50_000)
+        packed = table.filter(pa.array(kind == -1)).combine_chunks()
+        if packed.num_rows:
+            each = [np.frombuffer(x, STRING) for x in packed.column("text").to_pylist()]
+            base = np.concatenate(([0], np.cumsum([len(x) for x in packed.column("ids").to_pylist()])))
+            owner = np.concatenate([x["place"] + b for x, b in zip(each, base, strict=False)])
+            one = np.concatenate(each)
+            _, at_class = np.unique(one["h"], return_inverse=True)
+            again = (np.bincount(at_class, weights=one["weight"]) > 1)[at_class] & (one["weight"] == 1)
+            owner, spans = _spans(owner[again], one["start"][again])
+            taken = pa.array(owner)
+            yield from pa.table({"id": pc.list_flatten(packed.column("ids")).take(taken), "row": pc.list_flatten(packed.column("rows")).take(taken), "span": pa.array(spans)}).combine_chunks().to_batches(max_chunksize=50_000)
 
     return run
 
@@ -440,11 +460,12 @@ def with_repeats_removed(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     marked = marked.where("kind < 3").select(across.columns).union(across)
 
     compared = marked.where("kind > 0")
-    load = compared.agg(F.sum(F.when(F.col("classes") <= hot, F.col("n") + length).otherwise(F.col("n") * 50))).first()[0] or 0
+    load = compared.agg(F.sum(F.when(F.col("classes") <= hot, F.col("n") + length).otherwise(F.col("n") * 24))).first()[0] or 0
     wanted = compared.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct(F.xxhash64("lead").alias("run"), "at", "n", "off", "classes", "kind")).alias("wanted"))
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))).select("id", "row", "text", "wanted")
-    stretches = texts.mapInArrow(_stretches(length, hot), f"run long, id {kind}, row long, kind int, at int, n int, off int, text binary")
-    parts = stretches.repartition(max(least, load // TASK), "run").mapInArrow(_compare(length), f"id {kind}, row long, span long")
+    tasks = max(least, load // TASK)
+    stretches = texts.mapInArrow(_stretches(length, hot, tasks), f"run long, id {kind}, row long, kind int, at int, n int, off int, text binary, ids array<{kind}>, rows array<long>")
+    parts = stretches.repartition(tasks, "run").mapInArrow(_compare(length), f"id {kind}, row long, span long")
 
     full = marked.where("kind = 0").select("id", "row", F.expr("shiftleft(cast(at as long), 32) | n").alias("span"))
     spans = full.union(parts).groupBy(F.col("id").alias("__sid"), F.col("row").alias("__srow")).agg(F.collect_set("span").alias("__spans"))
