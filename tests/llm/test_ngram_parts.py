@@ -16,5 +16,5 @@ def test_one_discount_a_context(spark, monkeypatch, batch, shard):
     monkeypatch.setattr(ngramtrie, "SHARD", shard)
     monkeypatch.setattr(ngramtrie, "BATCH", batch)
     got = sorted(tuple(x) for x in ngramtrie.with_scores(brute.frame(spark, ROWS)).select("id", "n_tokens", "base_score", "score").collect())
-    for a, b in zip(got, sorted(brute.bigram_scores(ROWS, 0)), strict=True):
+    for a, b in zip(got, sorted(brute.bigram_scores(ROWS)), strict=True):
         assert a[:2] == (b[0], b[2]) and a[2] == pytest.approx(b[5], rel=1e-9) and abs(a[3] - b[6]) <= 1e-4 * b[2]

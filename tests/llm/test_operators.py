@@ -4,12 +4,15 @@ import collections
 import random
 import tempfile
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tests import oracle
 from tests.llm import brute
-from trackyard.llm import components, decontaminate, hostrules, htmltext, linededup, mixing, ngramtrie, sharding, simhash, siteprior, suffixdedup
+from trackyard.llm import components, decontaminate, hostrules, htmltext, linededup, mixing, ngramtrie, oracles, sharding, simhash, siteprior, suffixdedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,8 +101,7 @@ def test_scores(spark, docs, monkeypatch, batch, shard):
     monkeypatch.setattr(ngramtrie, "BATCH", batch)
     got = ngramtrie.with_scores(docs).select("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
     key = lambda r: (repr(tuple(r[:5])), round(r[5], 3), round(r[6], 2))
-    shards = max(4, -(-sum(len(brute.words(t)) + 1 for _, t in ROWS) // shard))
-    for a, b in zip(sorted(map(tuple, got), key=key), sorted(brute.bigram_scores(ROWS, shards), key=key), strict=True):
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(brute.bigram_scores(ROWS), key=key), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and abs(a[6] - b[6]) <= 1e-4 * b[2]  # half a quantisation step a token
 
 
@@ -212,6 +214,35 @@ def test_pack_prefers_room():
     assert place[0] != place[1] or place[2] != place[0]
 
 
+def test_shards_are_even_with_repeated_rows(spark):
+    """A third of all rows are equal in id and text."""
+    rng = random.Random(5)
+    rows = [(k, " ".join("w%d" % rng.randrange(9) for _ in range(rng.randint(5, 60)))) for k in range(2000)] + [(5, "one text and one id, " * 9)] * 1000 + [(None, None)] * 20 + [(None, "")] * 20
+    found = placed(brute.frame(spark, rows).repartition(5), 24)
+    load, count, slots = collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    for _, size, _, shard, slot in found:
+        load[shard] += size
+        count[shard] += 1
+        slots[shard].append(slot)
+    assert len(found) == len(rows) and max(load.values()) < 1.05 * min(load.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_pack_is_the_rule(monkeypatch):
+    """Each item goes where the dot product with the residual capacity is highest."""
+    rng = np.random.default_rng(2)
+    items = -np.sort(-rng.random((200, 3)), axis=0)
+    items /= items.sum(axis=0)
+    monkeypatch.setattr(sharding, "settle", lambda items, place, left: place)
+    left, want = [[1 / 7] * 3 for _ in range(7)], []
+    for x in items:
+        dots = [sum(a * b for a, b in zip(x, own, strict=True)) for own in left]
+        best = max(range(7), key=lambda k: (round(dots[k], 12), -k))
+        want.append(best)
+        left[best] = [b - a for a, b in zip(x, left[best], strict=True)]
+    assert sharding.pack(items, 7).tolist() == want
+
+
 def test_shards_empty(empty):
     assert placed(empty) == []
 
@@ -374,5 +405,29 @@ def test_mix_meets_targets_and_repeats(spark, docs):
     assert mixing.with_mix(docs).count() == len(ROWS)
 
 
+def test_mix_of_repeated_rows(spark):
+    """Rows equal in id and text: as many go in as fit, and the SQL takes as many."""
+    rng = random.Random(4)
+    rows = [(7, "one two three four five", "en", "a", 1)] * 400 + [(k, "w " * rng.randint(1, 300), "en", "b", 1) for k in range(300)] + [(9, "x y", "en", "b", 1)] * 50 + [(k, "z " * 9, "en", None, 1) for k in range(30)]
+    df = spark.createDataFrame(rows, brute.DOCS).repartition(7)
+    for seed in ("mix", "b"):
+        got = mixing.with_mix(df, seed=seed, buckets=8).select("doc_id", "source", "mix.*").collect()
+        taken, target = collections.Counter(), {}
+        for r in got:
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        assert all(abs(taken[s] - target[s]) <= (301 if s == "b" else 10) for s in target), (taken, target)
+        again = mixing.with_mix(df.coalesce(2), seed=seed, buckets=8).select("doc_id", "source", "mix.*").collect()
+        assert brute.ordered(got) == brute.ordered(again)
+    duck = duckdb.connect()
+    duck.register("documents", pa.Table.from_pylist([dict(zip(("doc_id", "text", "lang", "source"), r, strict=False)) for r in rows]))
+    got = mixing.with_mix(df, keep_text=False).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken").collect()
+    assert oracle.rows_of(["a", "b", "c", "d", "e"], [tuple(r) for r in got]) == oracle.rows_of(["a", "b", "c", "d", "e"], duck.sql(oracles.OP10).fetchall())
+    odds = collections.defaultdict(set)
+    for r in mixing.with_mix(df).where("source = 'b'").select("mix.*").collect():
+        odds[r["size"].bit_length()].add(r["copies"])
+    assert len(set(map(frozenset, odds.values()))) > 1  # longer documents have other odds than short ones
+
+
 def test_mix_empty(empty):
     assert mixing.with_mix(empty).count() == 0

@@ -37,9 +37,17 @@ s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, row_number() OVER (ORDER BY
 r AS (SELECT *, 3 * n AS cap, CASE r % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2 ELSE 1 END AS w, sum(n) OVER () AS total FROM s),
 q AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM r),
 l AS (SELECT arg_min(lv, cap / w) AS level FROM q WHERE lv * w <= cap),
-t AS (SELECT source, n, least(cap, coalesce(level * w, cap)) AS target, floor(least(cap, coalesce(level * w, cap)) / n) AS whole FROM r, l WHERE n > 0),
-g AS (SELECT *, target - whole * n AS rest FROM t),
-j AS (SELECT d.*, g.n AS total, target, whole, rest, sum(size) OVER (PARTITION BY d.source ORDER BY u, size ROWS UNBOUNDED PRECEDING) AS run FROM d LEFT JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, CAST(coalesce(total, 0) AS BIGINT) AS source_size, coalesce(target, 0) AS target,
-  CAST(CASE WHEN size > 0 THEN size * (whole + CASE WHEN rest > 0 AND run - size / 2 <= rest THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken FROM j
+t AS (SELECT source, n, least(cap, coalesce(level * w, cap)) AS target FROM r LEFT JOIN l ON TRUE WHERE n > 0),
+b AS (SELECT *, length(bin(size)) AS bits FROM d),
+c AS (SELECT source, bits, sum(size) AS words FROM b WHERE size > 0 GROUP BY source, bits),
+v AS (SELECT c.*, n, target, (target - coalesce(sum(3 * words) OVER (PARTITION BY c.source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(bits * words) OVER (PARTITION BY c.source ORDER BY bits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, least(3::DOUBLE, coalesce(arg_max(lv, bits) FILTER (lv * bits <= 3) OVER (PARTITION BY source) * bits, 3)) AS copies FROM v),
+y AS (SELECT *, CAST(floor(copies + 1e-9::DOUBLE) AS BIGINT) AS whole, greatest(0, copies - floor(copies + 1e-9::DOUBLE)) AS p FROM x),
+z AS (SELECT *, target - CAST(sum(whole * words) OVER (PARTITION BY source) AS DOUBLE) AS rest FROM y),
+j AS (SELECT b.*, z.n AS total, target, whole, p, rest, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS q FROM b LEFT JOIN z ON b.source IS NOT DISTINCT FROM z.source AND b.bits = z.bits AND b.size > 0),
+o AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, u, size ROWS UNBOUNDED PRECEDING) AS run FROM j)
+SELECT o.doc_id, size, CAST(coalesce(t.n, 0) AS BIGINT) AS source_size, coalesce(t.target, 0) AS target,
+  CAST(CASE WHEN size > 0 THEN size * (whole + CASE WHEN q IS NOT NULL AND run - size / 2 <= rest THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
+FROM o LEFT JOIN t ON o.source IS NOT DISTINCT FROM t.source
 """

@@ -60,7 +60,7 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.with_mix(_table(spark, sf_dir, "documents")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return mixing.with_mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 QUERIES = {

@@ -47,12 +47,15 @@ def settle(items: np.ndarray, place: np.ndarray, left: np.ndarray, moves: int =
 def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(__id, __size, __crc, shard, slot) for each row of ``docs``.
 
-    Groups of equal texts are the items. A group over a 16th of a shard in any dimension is split into parts by id (it may hold a third of all
-    rows); a group over a 512th of a shard is placed by itself; all others go into :data:`BUNDLES` by hash of the text. Thus the driver
+    Groups of equal texts are the items. A group over a 16th of a shard in any dimension is split into parts by row, whatever the ids (it may hold a third of all
+    rows, and they may all have one id); a group over a 512th of a shard is placed by itself; all others go into :data:`BUNDLES` by hash of the text. Thus the driver
     places at most some 40,000 vectors, whatever the size of the data: 3,072 bundles, and 3 dimensions x 24 x 512 groups and their parts, of which
     there cannot be more as each is over that share of a total. Largest first; bundles of the last, small class even out the rest.
 
-    Slots: rows of a shard are dealt to cells by hash of the id, cells in order follow each other, rows of a cell are in order of id. No task holds more than one cell.
+    Slots: rows of a shard are dealt to cells by hash of the row, cells in order follow each other, rows of a cell are in order of id. No task holds more than one cell.
+
+    A null text is as an empty one: 8 bytes, no words, one group with the empty texts. Null ids and repeated rows are rows like others, told apart by their place in the
+    table kept in the shared folder. An empty table gives an empty one. Extra columns are not looked at.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -62,6 +65,7 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str
         F.crc32(body.cast("binary")).alias("__crc"),
         F.regexp_count(body, F.lit(r"[^ \t-\r]+")).cast("long").alias("__words"),
         F.xxhash64(body).alias("__group"),
+        F.monotonically_increasing_id().alias("__row"),
     )
     rows = scratch.save(rows, "shards-rows")
     groups = scratch.save(rows.groupBy("__group").agg(F.sum("__size").alias("b"), F.sum("__words").alias("w"), F.count("*").alias("n")), "shards-groups")
@@ -84,7 +88,7 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str
         bundle = F.when(point < (low + width) * 1536, x) if bundle is None else bundle.when(point < (low + width) * 1536, x)
         low, first = low + width, first + n
     item = F.when(F.col("__parts").isNull(), F.struct(bundle.alias("a"), F.lit(-1).cast("long").alias("p"))).otherwise(
-        F.struct(F.col("__group").alias("a"), F.pmod(F.xxhash64("__id", "__group"), F.col("__parts").cast("long")).alias("p"))
+        F.struct(F.col("__group").alias("a"), F.pmod(F.xxhash64("__row", "__group"), F.col("__parts").cast("long")).alias("p"))
     )
     rows = rows.withColumn("__item", item)
     items = rows.groupBy("__item").agg(F.sum("__size").alias("b"), F.sum("__words").alias("w"), F.count("*").alias("n")).collect()
@@ -96,10 +100,10 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str
     rows = rows.join(F.broadcast(placed), (F.col("__item")["a"] == F.col("__a")) & (F.col("__item")["p"] == F.col("__p")))
 
     cells = max(1, n_rows // (shards * 2000))
-    rows = rows.withColumn("__cell", F.pmod(F.xxhash64("__id", "__group"), F.lit(cells)))
+    rows = rows.withColumn("__cell", F.pmod(F.xxhash64("__row", "__group"), F.lit(cells)))
     counts = rows.groupBy("shard", "__cell").agg(F.count("*").alias("n"))
     run = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "__cell", F.coalesce(F.sum("n").over(run), F.lit(0)).cast("long").alias("__start"))
-    within = F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__id", "__group"))
+    within = F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__id", "__group", "__row"))
     rows = rows.withColumn("__at", within).join(starts, ["shard", "__cell"])
     return rows.select("__id", "__size", "__crc", "__group", "shard", (F.col("__start") + F.col("__at") - 1).cast("long").alias("slot"))
