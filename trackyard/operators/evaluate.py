@@ -27,11 +27,14 @@ def class_grid(spark) -> DataFrame:
 def argmax_purity_efficiency(counts: DataFrame) -> DataFrame:
     """Per class: purity W(true & pred) / W(pred), efficiency W(true & pred) / W(true), 0 where the denominator is not above 0; and both yields."""
     grid = class_grid(counts.sparkSession).where(F.col("true") == F.col("pred")).select(F.col("true").alias("class"))
-    hit = counts.where(F.col("true") == F.col("pred")).select(F.col("true").alias("class"), F.col("w").alias("hit"))
-    region = counts.groupBy(F.col("pred").alias("class")).agg(F.sum("w").alias("n_region"))
-    target = counts.groupBy(F.col("true").alias("class")).agg(F.sum("w").alias("n_target"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    joined = grid.join(hit, "class", "left").join(region, "class", "left").join(target, "class", "left").select("class", zero("hit").alias("hit"), zero("n_region").alias("n_region"), zero("n_target").alias("n_target"))
+    w, none = F.col("w"), F.lit(0.0)
+    hit = F.when(F.col("true") == F.col("pred"), w).otherwise(none)
+    as_pred = F.struct(F.col("pred").alias("class"), hit.alias("hit"), w.alias("n_region"), none.alias("n_target"))
+    as_true = F.struct(F.col("true").alias("class"), none.alias("hit"), none.alias("n_region"), w.alias("n_target"))
+    names = ("hit", "n_region", "n_target")
+    # Both margins of one grouping: ``counts`` is read once.
+    sums = counts.select(F.explode(F.array(as_pred, as_true)).alias("r")).select("r.*").groupBy("class").agg(*[F.sum(c).alias(c) for c in names])
+    joined = grid.join(sums, "class", "left").select("class", *[F.coalesce(c, none).alias(c) for c in names])
     return joined.select("class", C.ratio(F.col("hit"), F.col("n_region")).alias("purity"), C.ratio(F.col("hit"), F.col("n_target")).alias("efficiency"), "n_region", "n_target")
 
 
@@ -98,7 +101,7 @@ def roc_points(df: DataFrame, by: str | None = None, score: str = "score", truth
     w = F.col(weight)
     distinct = df.groupBy(*groups, score).agg(F.sum(F.when(F.col(truth), w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(truth), 0.0).otherwise(w)).alias("n"))
     run = running_sums(distinct, [F.desc(score)], {"tp": "p", "fp": "n"}, groups)
-    totals = distinct.groupBy(*[F.col(g).alias(f"__{g}") for g in groups]).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    totals = run.groupBy(*[F.col(g).alias(f"__{g}") for g in groups]).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     joined = run.join(F.broadcast(totals), F.col(by).eqNullSafe(F.col(f"__{by}"))) if by else run.crossJoin(F.broadcast(totals))
     return joined.select(*groups, score, F.try_divide("fp", "neg").alias("fpr"), F.try_divide("tp", "pos").alias("tpr"), "p", "n", "tp", "fp", "pos", "neg")
 
@@ -159,12 +162,12 @@ def weighted_quantiles(df: DataFrame, x: str, weight: str, n: int) -> DataFrame:
     """
     w = F.when(F.col(weight) < 0, F.raise_error(F.lit("negative weights have no quantiles")).cast("double")).otherwise(F.col(weight))
     distinct = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.sum(w).alias("w")).where("w > 0")
-    run = running_sums(distinct, [F.col("x")], {"cum": "w"})
-    total = distinct.agg(F.sum("w").alias("total"), F.min("x").alias("least"), F.max("x").alias("most"))
+    run = running_sums(distinct, [F.col("x")], {"cum": "w"}, part="__g")
+    total = run.agg(F.sum("w").alias("total"), F.min("x").alias("least"), F.max("x").alias("most"))
     # One row of totals.
     shares = run.crossJoin(F.broadcast(total)).withColumn("share", F.col("cum") / F.col("total"))
     before = Window.partitionBy("__g").orderBy("x")
-    parts = shares.withColumn("__g", F.spark_partition_id())
+    parts = shares
     edge = parts.groupBy("__g").agg(F.max(F.struct("x", "share")).alias("e"))
     earlier = edge.select((F.col("__g")).alias("__h"), F.lag("e").over(Window.orderBy("__g")).alias("__e"))
     parts = parts.join(F.broadcast(earlier), F.col("__g") == F.col("__h"))
@@ -180,6 +183,13 @@ def weighted_quantiles(df: DataFrame, x: str, weight: str, n: int) -> DataFrame:
     return rows.select(F.col("k").cast("int").alias("k"), value.alias("quantile"), p.alias("reference"))
 
 
+def require_uniform(hist: DataFrame, bins: int, tolerance: float) -> DataFrame:
+    """:func:`uniformity`, where a bin further than ``tolerance`` from flat is an error."""
+    found = uniformity(hist, bins)
+    off = F.greatest("over", "under") > tolerance
+    return found.withColumn("over", F.when(off, F.raise_error(F.concat(F.lit("not uniform: over by "), F.col("over").cast("string"), F.lit(", under by "), F.col("under").cast("string"))).cast("double")).otherwise(F.col("over")))
+
+
 def uniformity(hist: DataFrame, bins: int = 100) -> DataFrame:
     """Largest distance of a histogram (bin, value) from flat, as a share of the mean bin."""
     mean = F.sum("value") / F.lit(float(bins))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackyard.operators.prefix import running_last
+
 
 def join_predictions(truth: DataFrame, predicted: DataFrame, key: str = "event_id") -> DataFrame:
     """Assignments of the truth beside the predicted ones, by key."""
@@ -45,21 +47,31 @@ def resolve_sample(counts: DataFrame, cutflow: DataFrame, absolute: float = 5, r
     return left.join(right, ["__level", "__cell"]).where(close).select("dataset", "sample", "n_events", "n")
 
 
+def unresolved(counts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Datasets that no cut-flow row fits."""
+    return counts.join(resolved.select("dataset"), "dataset", "left_anti")
+
+
+def require_resolved(counts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``resolved``, where a dataset that no cut-flow row fits is an error."""
+    rows = counts.select("dataset").join(resolved, "dataset", "left")
+    lost = F.raise_error(F.concat(F.lit("no sample has as many events as "), F.col("dataset").cast("string"))).cast(resolved.schema["sample"].dataType)
+    return rows.withColumn("sample", F.coalesce("sample", lost))
+
+
 def steps_to_epochs(metrics: DataFrame, epochs: DataFrame, run: str = "version") -> DataFrame:
     """As-of join: each metric row with the last epoch marked at or before its step; the first epoch before any mark.
 
-    Marks sort before metrics at equal steps. A run's rows are one window partition, as a run has as many rows as it took steps.
+    Marks sort before metrics at equal steps. Rows are range-partitioned by run and step, and look back over parts (:func:`running_last`), so a long run is many tasks.
     """
     names = [c for c in metrics.columns if c not in (run, "step")]
     blank = {c: F.lit(None).cast(metrics.schema[c].dataType) for c in names}
     marks = epochs.select(run, "step", *[blank[c].alias(c) for c in names], "epoch", F.lit(0).alias("__kind"))
     rows = metrics.select(run, "step", *names, F.lit(None).cast(epochs.schema["epoch"].dataType).alias("epoch"), F.lit(1).alias("__kind"))
-    order = Window.partitionBy(run).orderBy("step", "__kind")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(run).orderBy("step", "__kind").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = F.last("epoch", ignorenulls=True).over(upto)
-    first = F.first("epoch", ignorenulls=True).over(whole)
-    return marks.union(rows).withColumn("epoch", F.coalesce(last, first)).where("__kind = 1").drop("__kind")
+    first = epochs.groupBy(F.col(run).alias("__run")).agg(F.min_by("epoch", "step").alias("__first"))
+    found = running_last(marks.union(rows), ["step", "__kind"], "epoch", "epoch", [run]).where("__kind = 1")
+    joined = found.join(first, F.col(run).eqNullSafe(F.col("__run")), "left")
+    return joined.withColumn("epoch", F.coalesce("epoch", "__first")).drop("__kind", "__run", "__first")
 
 
 def apply_reweighting(df: DataFrame, ratios: DataFrame, masks: Mapping[str, str], njet: str = "njet") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackyard.functions.columns import shuffle_key
 from trackyard.operators.prefix import running_sums
 from trackyard.sources.tables import lookup
 
@@ -66,11 +67,6 @@ def stitch_versions(df: DataFrame, version: str = "version", epoch: str = "epoch
     return df.join(shift, F.col(version) == F.col("__v")).withColumn("global_epoch", F.col(epoch) + F.col("__shift")).drop("__v", "__shift")
 
 
-def shuffle_key(seed: int | str, key: Column) -> Column:
-    """What rows are ordered by in a seeded shuffle: the same in every run and engine."""
-    return F.md5(F.concat_ws("-", F.lit(str(seed)), key.cast("string")))
-
-
 def shuffle(df: DataFrame, seed: int | str, key: str = "event_id") -> DataFrame:
     """Rows in a seeded random order: a range-partitioned sort by hash."""
     return df.orderBy(shuffle_key(seed, F.col(key)), key)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackyard.functions import columns as C
+from trackyard.operators.prefix import running_sums
 
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -88,6 +89,11 @@ def nonfinite_report(long: DataFrame, k: int = 16) -> DataFrame:
     return counts.withColumn("bad_percent", 100 * (F.col("n_nan") + F.col("n_posinf") + F.col("n_neginf")) / F.col("total"))
 
 
+def fill_counts(long: DataFrame) -> DataFrame:
+    """What a repair of long rows (dataset, event_id, pos, value) would do, without doing it: values seen and values replaced of each dataset."""
+    return long.groupBy("dataset").agg(F.count("*").alias("n_values"), F.sum(C.is_nonfinite(F.col("value")).cast("long")).alias("n_filled"))
+
+
 def examples_top_k(long: DataFrame, k: int = 16) -> DataFrame:
     """The first ``k`` bad places (event_id, pos) of each dataset, kept map-side: a window limit per dataset."""
     first = F.row_number().over(Window.partitionBy("dataset").orderBy("event_id", "pos"))
@@ -114,16 +120,15 @@ def clipping_risk(df: DataFrame, keys: Sequence[str], max_index: int = 15, prov:
 
 def feature_hist_by_rank(df: DataFrame, edges: Mapping[str, Sequence[float]], k: int = 8, jets: str = "jets") -> DataFrame:
     """(feature, rank, bin, count, density): histograms of the features of the first ``k`` jets by place; density has unit area over bin widths."""
-    parts = []
-    for name, e in edges.items():
-        rows = df.select(F.posexplode(F.slice(F.col(f"{jets}.{name}"), 1, k)).alias("rank", "x"))
-        widths = F.array(*[F.lit(float(b - a)) for a, b in zip(e, e[1:], strict=False)])
-        parts.append(rows.withColumn("bin", C.edge_bin(F.col("x"), e)).where("bin IS NOT NULL").groupBy("rank", "bin").agg(F.count("*").alias("count")).withColumn("width", F.get(widths, F.col("bin"))).withColumn("feature", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    jet = F.slice(F.arrays_zip(*[F.col(f"{jets}.{name}").alias(name) for name in edges]), 1, k)
+    rows = df.select(F.posexplode(jet).alias("rank", "jet"))
+    widths = {name: F.array(*[F.lit(float(b - a)) for a, b in zip(e, e[1:], strict=False)]) for name, e in edges.items()}
+    bins = [F.struct(F.lit(name).alias("feature"), C.edge_bin(F.col("jet")[name], e).alias("bin")) for name, e in edges.items()]
+    # One pass over the events for all features.
+    counts = rows.select("rank", F.explode(F.array(*bins)).alias("b")).where("b.bin IS NOT NULL").groupBy("b.feature", "rank", "b.bin").agg(F.count("*").alias("count"))
+    width = F.coalesce(*[F.when(F.col("feature") == name, F.get(w, F.col("bin"))) for name, w in widths.items()])
     total = F.sum("count").over(Window.partitionBy("feature", "rank"))
-    return out.withColumn("density", F.col("count") / (total * F.col("width"))).select("feature", "rank", "bin", "count", "density")
+    return counts.withColumn("density", F.col("count") / (total * width)).select("feature", "rank", "bin", "count", "density")
 
 
 def epoch_mean(df: DataFrame, keys: Sequence[str] = ("tag", "epoch")) -> DataFrame:
@@ -148,11 +153,20 @@ def best_value(df: DataFrame, keys: Sequence[str] = ("tag",)) -> DataFrame:
 
 
 def plot_bounds(df: DataFrame, keys: Sequence[str], low: float = 0.0, high: float = 1.0, pad: float = 0.05) -> DataFrame:
-    """First and 99th percentile of finite values, widened by ``pad`` of their distance and held within [low, high]."""
-    finite = df.where(~C.is_nonfinite(F.col("value")))
-    q = finite.groupBy(*keys).agg(F.expr("percentile(value, array(0.01, 0.99))").alias("q"))
-    margin = (F.col("q")[1] - F.col("q")[0]) * pad
-    return q.select(*keys, F.greatest(F.lit(low), F.col("q")[0] - margin).alias("lower"), F.least(F.lit(high), F.col("q")[1] + margin).alias("upper"))
+    """First and 99th percentile of finite values, widened by ``pad`` of their distance and held within [low, high]. Percentiles come from running counts over distinct values."""
+    finite = df.where(~C.is_nonfinite(F.col("value"))).groupBy(*keys, "value").agg(F.count("*").alias("__n"))
+    run = running_sums(finite, [F.col("value")], {"__cum": "__n"}, list(keys))
+    totals = run.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg((F.sum("__n") - 1).alias("__last"))
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    at = {p: F.col("__last") * p for p in (0.01, 0.99)}
+    # The value at a place is the least one whose running count is above it.
+    value = lambda place: F.min(F.when(F.col("__cum") > place, F.col("value")))
+    ends = run.join(totals, match).groupBy(*keys, "__last").agg(*[value(f(at[p])).alias(f"{n}{k}") for k, p in enumerate(at) for n, f in (("lo", F.floor), ("hi", F.ceil))])
+    a, b = (F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (at[p] - F.floor(at[p])) for k, p in enumerate(at))
+    q = ends.select(*keys, a.alias("a"), b.alias("b")).withColumn("margin", (F.col("b") - F.col("a")) * pad)
+    return q.select(*keys, F.greatest(F.lit(low), F.col("a") - F.col("margin")).alias("lower"), F.least(F.lit(high), F.col("b") + F.col("margin")).alias("upper"))
 
 
 def array_shape_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -75,9 +75,9 @@ def classification_columns(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     return df.withColumn("classifications", F.struct(F.struct(*[F.col(x).cast("long").alias(x) for x in labels]).alias("event")))
 
 
-def training_row(df: DataFrame) -> DataFrame:
-    """Key, inputs, targets, classifications and ``weights.weight`` (float) of each event."""
-    return df.select("event_id", "inputs", "targets", "classifications", F.struct(F.col("weight").cast("float").alias("weight")).alias("weights"))
+def training_row(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Key, columns to ``keep``, inputs, targets, classifications and ``weights.weight`` (float) of each event."""
+    return df.select("event_id", *keep, "inputs", "targets", "classifications", F.struct(F.col("weight").cast("float").alias("weight")).alias("weights"))
 
 
 def _stacked(arrays: Sequence[Column]) -> Column:

@@ -9,7 +9,7 @@ from trackyard.functions import columns as C
 from trackyard.operators import evaluate, joins, scoring, stats, tensors
 from trackyard.plans import views as V
 from trackyard.plans.event_queries import BAD, CAP, CUTS, REGIONS, bad_values, r6
-from trackyard.registry import register
+from trackyard.plans.register import register
 from trackyard.sources import tables
 from trackyard.streaming.multiplicity import multiplicity_stream
 
@@ -56,9 +56,19 @@ def j3(spark, d):
 
 @register("j4_resolve_sample", V.sql("SELECT c_custkey AS dataset, p_partkey AS sample FROM (SELECT c_custkey, CAST(c_acctbal AS BIGINT) AS a FROM customer) c, (SELECT p_partkey, CAST(p_retailprice * 4 AS BIGINT) AS b FROM part) p WHERE abs(a - b) <= 5 + 1e-5::DOUBLE * abs(b)"))
 def j4(spark, d):
-    counts = V.table(spark, d, "customer").select(F.col("c_custkey").alias("dataset"), F.round("c_acctbal").cast("long").alias("n_events"))
-    flow = V.table(spark, d, "part").select(F.col("p_partkey").alias("sample"), F.round(F.col("p_retailprice") * 4).cast("long").alias("n"))
-    return joins.resolve_sample(counts, flow).select("dataset", "sample")
+    return joins.resolve_sample(*_counts_and_flow(spark, d)).select("dataset", "sample")
+
+
+def _counts_and_flow(spark, d):
+    counts = V.table(spark, d, "customer").select(F.col("c_custkey").alias("dataset"), F.rint("c_acctbal").cast("long").alias("n_events"))
+    flow = V.table(spark, d, "part").select(F.col("p_partkey").alias("sample"), F.rint(F.col("p_retailprice") * 4).cast("long").alias("n"))
+    return counts, flow
+
+
+@register("j4_unresolved", "SELECT c_custkey AS dataset FROM customer WHERE NOT EXISTS (SELECT 1 FROM part WHERE abs(CAST(c_acctbal AS BIGINT) - CAST(p_retailprice * 4 AS BIGINT)) <= 5 + 1e-5::DOUBLE * abs(CAST(p_retailprice * 4 AS BIGINT)))")
+def j4_unresolved(spark, d):
+    counts, flow = _counts_and_flow(spark, d)
+    return joins.unresolved(counts, joins.resolve_sample(counts, flow)).select("dataset")
 
 
 @register("j5_steps_to_epochs", V.sql("SELECT event_id, epoch FROM asofm", MET))
@@ -251,6 +261,13 @@ def _truth_rows(spark, d):
     return tensors.truth_prediction(V.scored(spark, d)).where("class <= 5").select("class", "is_true", F.round("score", 9).alias("score"), F.abs("weight").alias("weight"))
 
 
+@register("t19_binary_heads", V.sql("SELECT event_id, 'b' AS class, signal = 5 AS is_true, ROUND(ttbb, 7) AS score FROM wide UNION ALL SELECT event_id, 'c', signal = 4, ROUND(ttcc, 7) FROM wide", EV, SC))
+def binary(spark, d):
+    w = V.wide(spark, d).select("event_id", *[F.array(1 - F.col(c), F.col(c)).alias(f"head_{c}") for c in ("ttbb", "ttcc")], (F.col("signal") == 5).cast("int").alias("is_b"), (F.col("signal") == 4).cast("int").alias("is_c"))
+    w = w.withColumnsRenamed({"head_ttbb": "b", "head_ttcc": "c"})
+    return tensors.binary_heads(w, {"b": "is_b", "c": "is_c"}).select("event_id", "class", "is_true", r6("score"))
+
+
 @register("a18_roc_curve", V.sql("SELECT class, ROUND(score, 9) AS score, ROUND(fp / neg, 7) AS fpr, ROUND(tp / pos, 7) AS tpr FROM roc", EV, SC, TRUTH, ROC))
 def a18(spark, d):
     return evaluate.roc_points(_truth_rows(spark, d), "class").select("class", F.round("score", 9).alias("score"), r6("fpr"), r6("tpr"))

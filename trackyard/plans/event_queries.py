@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackyard.functions import columns as C
-from trackyard.operators import build, order, select, tensors
+from trackyard.operators import build, order, select, stats, tensors
+from trackyard.operators.prefix import running_sums
 from trackyard.plans import views as V
-from trackyard.registry import register
+from trackyard.plans.register import register
 from trackyard.sources import io, tables
 
 JETS, EV, PER, TGT, SC, MET = V.JETS, V.EV, V.PER, V.TGT, V.SC, V.MET
@@ -24,24 +25,31 @@ def _flat(spark, d):
 # --- sources and sinks
 
 
-@register("s1_read_ntuples", V.sql("SELECT count(*) AS events, CAST(sum(njet) AS BIGINT) AS jets FROM per", JETS, EV, PER))
+@register("s1_read_ntuples", V.sql("SELECT event_id, njet AS jets FROM per", JETS, EV, PER))
 def s1(spark, d):
     path = tables.workspace(spark)
     _flat(spark, d).write.parquet(path)
-    return io.read_ntuples(spark, path).agg(F.count("*").alias("events"), F.sum(F.size("JetGood_pt")).alias("jets"))
+    return io.read_ntuples(spark, path).select("event_id", F.size("JetGood_pt").alias("jets"))
 
 
-@register("s2_read_events", "SELECT CAST(count(*) AS BIGINT) AS events, CAST(count(*) AS BIGINT) AS keys, TRUE AS named FROM orders")
+@register("s2_read_events", "SELECT o_orderkey AS event_id, CAST(1 AS BIGINT) AS keys, TRUE AS named FROM orders")
 def s2(spark, d):
     rows = io.read_events(spark, [f"{d}/orders.parquet"])
-    return rows.groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("row_index").alias("k")).agg(F.sum("n").alias("events"), F.sum("k").alias("keys"), F.bool_and(F.col("path").endswith(".parquet")).alias("named"))
+    keys = rows.groupBy("path", "row_index").agg(F.count("*").alias("keys"), F.min("o_orderkey").alias("event_id"))
+    return keys.select("event_id", "keys", F.col("path").endswith(".parquet").alias("named"))
 
 
-@register("s3_write_events", V.sql("SELECT sample, count(*) AS events, CAST(sum(njet) AS BIGINT) AS jets FROM per GROUP BY sample", JETS, EV, PER))
+@register("s3_write_events", V.sql("SELECT event_id, sample, njet AS jets FROM per", JETS, EV, PER))
 def s3(spark, d):
     path = tables.workspace(spark)
     io.write_events(V.nested(spark, d), path, by_sample=True)
-    return spark.read.parquet(path).groupBy("sample").agg(F.count("*").alias("events"), F.sum(F.size("jets.pt")).alias("jets"))
+    return spark.read.parquet(path).select("event_id", "sample", F.size("jets.pt").alias("jets"))
+
+
+def _placed(rows, groups=()):
+    """Rows read from files with their place in them, from 1: files in order of name, then rows."""
+    rows = rows.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"), F.lit(1).cast("long").alias("__one"))
+    return running_sums(rows, [F.col("__file"), F.col("__row")], {"place": "__one"}, list(groups)).drop("__file", "__row", "__one")
 
 
 SPLIT = "spl AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY sample ORDER BY event_id) <= (count(*) OVER (PARTITION BY sample)) * 800000 // 1000000 THEN 'train' ELSE 'test' END AS split FROM ev)"
@@ -50,13 +58,15 @@ SPLIT = "spl AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY sample ORDE
 def _training(spark, d):
     n = tensors.assign_targets(V.nested(spark, d), CAP)
     n = tensors.object_features(n, {"Jet": ["pt", "eta", "phi", "MASK"], "Event": ["ht"]}, CAP)
-    return tensors.training_row(tensors.classification_columns(n, ["signal", "dctr"])).join(V.events(spark, d).select("event_id", "sample"), "event_id")
+    return tensors.training_row(tensors.classification_columns(n, ["signal", "dctr"]), keep=["sample"])
 
 
-@register("s4_write_training_set", V.sql("SELECT split, count(*) AS rows FROM spl GROUP BY split", EV, SPLIT))
+@register("s4_write_training_set", V.sql("SELECT event_id, split, row_number() OVER (PARTITION BY split ORDER BY md5('7-' || CAST(event_id AS VARCHAR)), event_id) AS place, count(*) OVER (PARTITION BY split) AS rows FROM spl", EV, SPLIT))
 def s4(spark, d):
-    rows = order.train_test_split(_training(spark, d), "sample")
-    return io.write_training_set(order.shuffle(rows, 7), tables.workspace(spark))
+    rows = order.train_test_split(tables.cut(_training(spark, d)), "sample")
+    path = tables.workspace(spark)
+    counts = io.write_training_set(rows, path, seed=7)
+    return _placed(spark.read.parquet(f"{path}/rows").select("event_id", "split", "_metadata"), ["split"]).join(counts, "split").select("event_id", "split", "place", "rows")
 
 
 @register("s5_compact_folder", V.sql("SELECT count(*) AS events, ROUND(sum(weight), 7) AS weight FROM ev", EV))
@@ -75,11 +85,11 @@ def s6(spark, d):
     return both.groupBy((F.col("event_id") % 2).alias("k")).agg(F.count("*").alias("events"), F.sum(F.size("JetGood_pt") * F.when(F.col("event_id") % 2 == 0, 2).otherwise(1)).alias("jets")).drop("k")
 
 
-@register("s7_merge_shards", V.sql("SELECT count(*) AS events, 8 AS width, count(DISTINCT event_id) AS keys FROM ev", EV))
+@register("s7_merge_shards", V.sql("SELECT ev.event_id, 8 AS width, ROUND(coalesce(sum(pt), 0), 4) AS total FROM ev LEFT JOIN jets ON ev.event_id = jets.event_id AND pos < 8 GROUP BY ev.event_id", JETS, EV))
 def s7(spark, d):
     rows = V.nested(spark, d).select("event_id", C.pad_clip(F.col("jets.pt"), CAP, 0.0).alias("pt"))
     merged = io.merge_shards([rows.where("event_id % 3 = 0"), rows.where("event_id % 3 > 0")], fixed=["pt"])
-    return merged.agg(F.count("*").alias("events"), F.max(F.size("pt")).alias("width"), F.count_distinct("event_id").alias("keys"))
+    return merged.select("event_id", F.size("pt").alias("width"), F.round(C.total(F.col("pt")), 4).alias("total"))
 
 
 def _series(spark, d):
@@ -435,6 +445,11 @@ def fill(spark, d):
     return n.select("event_id", r6(C.total(F.array_sort(C.fill_nonfinite(F.col("v")))), "total"), F.size(F.filter("v", C.is_nonfinite)).alias("repaired"))
 
 
+@register("fill_nonfinite_dry_run", V.sql("SELECT CASE WHEN pos = 0 THEN 'leading' ELSE 'others' END AS dataset, count(*) AS n_values, count(*) FILTER (isnan(value) OR isinf(value)) AS n_filled FROM bad GROUP BY 1", JETS, BAD))
+def fill_dry_run(spark, d):
+    return stats.fill_counts(bad_values(spark, d).withColumn("dataset", F.when(F.col("pos") == 0, "leading").otherwise("others")))
+
+
 @register("fn_strings", r"""SELECT DISTINCT event_type AS tag, lower(trim(regexp_replace(event_type || ' (A/B)', '[^0-9A-Za-z]+', '_', 'g'), '_')) AS slug, replace(event_type || '/x', '/', '__') AS file,
   event_type || '/x' AS back, 'version_' || CAST(event_id % 3 AS VARCHAR) AS run, CAST(event_id % 3 AS BIGINT) AS number FROM events""")
 def strings(spark, d):
@@ -470,14 +485,16 @@ def w4(spark, d):
     return order.stitch_versions(V.epoch_marks(spark, d)).select("version", "step", "global_epoch")
 
 
-@register("w5_shuffle", V.sql("SELECT event_id, md5('7-' || CAST(event_id AS VARCHAR)) AS place FROM ev ORDER BY place LIMIT 500", EV))
+@register("w5_shuffle", V.sql("SELECT event_id, row_number() OVER (ORDER BY md5('7-' || CAST(event_id AS VARCHAR)), event_id) AS place FROM ev", EV))
 def w5(spark, d):
-    return order.shuffle(V.events(spark, d), 7).limit(500).select("event_id", order.shuffle_key(7, F.col("event_id")).alias("place"))
+    path = tables.workspace(spark)
+    order.shuffle(V.events(spark, d).select("event_id"), 7).write.parquet(path)
+    return _placed(spark.read.parquet(path))
 
 
-@register("w6_contiguous_slices", V.sql("SELECT slice, count(*) AS n, min(event_id) AS low, max(event_id) AS high FROM (SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) * 10 - 1) // (SELECT count(*) FROM ev) AS INT) AS slice FROM ev) GROUP BY slice", EV))
+@register("w6_contiguous_slices", V.sql("SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) * 10 - 1) // (SELECT count(*) FROM ev) AS INT) AS slice FROM ev", EV))
 def w6(spark, d):
-    return order.contiguous_slices(V.events(spark, d), 10).groupBy("slice").agg(F.count("*").alias("n"), F.min("event_id").alias("low"), F.max("event_id").alias("high"))
+    return order.contiguous_slices(V.events(spark, d), 10).select("event_id", "slice")
 
 
 @register("w7_local_index", V.sql("SELECT event_id, pos, prov FROM jets", JETS))
@@ -495,9 +512,11 @@ def k1_audit(spark, d):
     return order.first_n_audit(V.events(spark, d), 100, "orders")
 
 
-@register("k2_stable_metric_order", V.sql("SELECT tag, step, version FROM met ORDER BY tag, step, wall_time, event_id LIMIT 200", MET))
+@register("k2_stable_metric_order", V.sql("SELECT event_id, tag, step, row_number() OVER (ORDER BY tag, step, wall_time, event_id) AS place FROM met", MET))
 def k2(spark, d):
-    return order.stable_metric_order(V.metrics(spark, d)).limit(200).select("tag", "step", "version")
+    path = tables.workspace(spark)
+    order.stable_metric_order(V.metrics(spark, d)).select("event_id", "tag", "step").write.parquet(path)
+    return _placed(spark.read.parquet(path))
 
 
 NEWEST = "files AS (SELECT *, 'f' || CAST(event_id % 4 AS VARCHAR) AS file, (event_id % 4) * 7 % 5 AS modified FROM met)"
@@ -521,17 +540,23 @@ def k6(spark, d):
     return n.select("event_id", F.posexplode(F.arrays_zip("jets.btag", "jets.prov")).alias("place", "j")).select("event_id", "place", r6("j.btag", "btag"), "j.prov")
 
 
-@register("u1_union_events", V.sql("SELECT sample, 2 * count(*) AS n FROM ev GROUP BY sample", EV))
+@register("u1_union_events", V.sql("SELECT event_id, sample, 2 * count(*) AS n FROM ev GROUP BY event_id, sample", EV))
 def u1(spark, d):
     e = V.events(spark, d)
-    return order.union_events(e, e).groupBy("sample").agg(F.count("*").alias("n"))
+    return order.union_events(e, e).groupBy("event_id", "sample").agg(F.count("*").alias("n"))
 
 
-@register("u2_full_from_splits", V.sql("SELECT split, nb >= 2 AS mask, count(*) AS n FROM spl JOIN per ON spl.event_id = per.event_id GROUP BY ALL", JETS, EV, PER, SPLIT))
+@register("u2_full_from_splits", V.sql("SELECT spl.event_id, split, nb >= 2 AS mask FROM spl JOIN per ON spl.event_id = per.event_id", JETS, EV, PER, SPLIT))
 def u2(spark, d):
     s = order.train_test_split(V.counted(spark, d).select("event_id", "sample", "nb"), "sample")
     full = order.full_from_splits(s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split"))
-    return full.groupBy("split", (F.col("nb") >= 2).alias("mask")).agg(F.count("*").alias("n"))
+    return full.select("event_id", "split", (F.col("nb") >= 2).alias("mask"))
+
+
+@register("u2_masked_counts", V.sql("SELECT 'all' AS mask, split, count(*) AS rows FROM spl GROUP BY split UNION ALL SELECT 'btag', split, count(*) FROM spl JOIN per ON spl.event_id = per.event_id WHERE nb >= 2 GROUP BY split", JETS, EV, PER, SPLIT))
+def u2_masked(spark, d):
+    s = order.train_test_split(V.counted(spark, d).select("event_id", "sample", "nb"), "sample").withColumns({"mask_all": F.lit(True), "mask_btag": F.col("nb") >= 2})
+    return io.write_masked(s, tables.workspace(spark), {"all": "mask_all", "btag": "mask_btag"})
 
 
 @register("u4_merge_eras", V.sql("SELECT year AS era, count(*) AS n FROM ev GROUP BY year", EV))

@@ -78,7 +78,7 @@ def build_events(flat: DataFrame, config: EventConfig, sums: DataFrame | None =
 
 
 def training_set(events: DataFrame, config: TrainingConfig, path: str = "path", key: str = "event_id") -> DataFrame:
-    """Rows of a training set with ``split``, in a seeded random order: caps count raw rows and apply after the filters, the split is by sample before the shuffle."""
+    """Rows of a training set with ``split``; :func:`write_training_set` puts them in a seeded random order: caps count raw rows and apply after the filters, the split is by sample."""
     if config.jets not in events.columns:
         raise ValueError(f"no collection {config.jets}")
     df = events if "sample" in events.columns else build.source_sample(events, config.samples, path)
@@ -94,13 +94,14 @@ def training_set(events: DataFrame, config: TrainingConfig, path: str = "path",
     has_truth = "prov" in kept.schema[config.jets].dataType.elementType.names
     kept = tensors.assign_targets(kept, config.njet_max, f"{config.jets}.prov", config.particles) if has_truth and config.particles else tensors.unlabelled_targets(kept, config.particles or ("h",))
     kept = tensors.classification_columns(tensors.object_features(kept, config.inputs, config.njet_max, config.jets), config.classification)
-    rows = order.train_test_split(kept, "sample", key, config.test_size)
-    return order.shuffle(rows.select(F.col(key).alias("event_id"), "sample", "split", "inputs", "targets", "classifications", F.struct(F.col("weight").cast("float").alias("weight")).alias("weights")), config.seed)
+    # Written once: counts, ranks, the sample of the sort and the sort itself read these rows.
+    rows = order.train_test_split(tables.cut(kept.select(key, "sample", "inputs", "targets", "classifications", "weight")), "sample", key, config.test_size)
+    return rows.select(F.col(key).alias("event_id"), "sample", "split", "inputs", "targets", "classifications", F.struct(F.col("weight").cast("float").alias("weight")).alias("weights"))
 
 
 def write_training_set(events: DataFrame, config: TrainingConfig, target: str, **options) -> DataFrame:
-    """A training set written by split; returns the counts beside it."""
-    return io.write_training_set(training_set(events, config, **options), target)
+    """A training set written by split, in a seeded random order; returns the counts beside it."""
+    return io.write_training_set(training_set(events, config, **options), target, config.seed)
 
 
 def score_and_report(rows: DataFrame, factory: Callable, vector: str, truth: str = "signal", weight: str = "weight", thresholds: Mapping[str, float] | None = None) -> dict[str, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackyard.operators import build, tensors
+from trackyard.sources import tables
 
 JET_FIELDS = ("pt", "eta", "phi", "btag", "btag_L", "btag_M", "btag_T", "prov")
 SAMPLES = ("TTH_Hto2B", "QCD", "TTto4Q_ttLF", "TTto4Q_ttC", "TTBBto4Q_ttB")
@@ -82,11 +83,11 @@ def counted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Events with an array of ten softmax scores."""
+    """Events with an array of ten softmax scores, written once: all figures read them from there."""
     e = F.col("event_id")
-    z = F.array(*[(((e % 97) * ((i + 3) * 31) + (e % 89) * ((i + 5) * (i + 2) * 17)) % 1000 + F.when(F.col("signal") == i, 500).otherwise(0)).cast("double") / 250 for i in range(10)])
-    total = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
-    return events(spark, d).withColumn("__e", F.transform(z, lambda x: F.exp(x))).withColumn("__t", total).withColumn("scores", F.transform("__e", lambda x: x / F.col("__t"))).drop("__e", "__t")
+    z = [(((e % 97) * ((i + 3) * 31) + (e % 89) * ((i + 5) * (i + 2) * 17)) % 1000 + F.when(F.col("signal") == i, 500).otherwise(0)).cast("double") / 250 for i in range(10)]
+    total = sum((F.exp(x) for x in z), F.lit(0.0))
+    return tables.cut(events(spark, d).withColumn("scores", F.array(*[F.exp(x) / total for x in z])))
 
 
 def wide(spark: SparkSession, d: str) -> DataFrame:

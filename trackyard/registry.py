@@ -1,31 +1,12 @@
-"""Named queries over the given tables, with their SQL twins."""
+"""All named queries over the given tables, with their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Decorator: add a query under a name, with the SQL that gives the same rows."""
-
-    def add(f):
-        if name in QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
+from trackyard.plans import eval_queries, event_queries  # noqa: F401  they register themselves
+from trackyard.plans.register import ORACLE_SQL, QUERIES, register  # noqa: F401
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["a10_argmax_purity_efficiency"](spark, sf_dir)
-
-
-from trackyard.plans import eval_queries, event_queries  # noqa: E402, F401  they register themselves

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackyard.functions import columns as C
+from trackyard.functions.columns import shuffle_key
 
 METRIC_FILE = "step long, wall_time double, value double"
 
@@ -33,14 +34,28 @@ def write_events(df: DataFrame, path: str, by_sample: bool = False) -> None:
     (writer.partitionBy("sample") if by_sample else writer).parquet(path)
 
 
-def write_training_set(df: DataFrame, path: str) -> DataFrame:
-    """Train and test rows as nested Parquet by ``split``, and their counts as a table beside them, which is returned."""
-    df.write.mode("errorifexists").partitionBy("split").parquet(f"{path}/rows")
+def write_training_set(df: DataFrame, path: str, seed: int | str = 0, key: str = "event_id") -> DataFrame:
+    """Train and test rows as nested Parquet by ``split``, those of each split in a seeded random order, and their counts as a table beside them, which is returned.
+
+    The sort starts with the split, as the writer wants it, so no sort of its own comes after. Files of a split follow each other in order of name.
+    """
+    split = F.coalesce("split", F.lit("none"))  # never null, so that the writer takes the column as it is
+    rows = df.withColumn("split", split).orderBy("split", shuffle_key(seed, F.col(key)), key)
+    rows.write.mode("errorifexists").partitionBy("split").parquet(f"{path}/rows")
     counts = df.sparkSession.read.parquet(f"{path}/rows").groupBy("split").agg(F.count("*").alias("rows"))
     counts.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
     return df.sparkSession.read.parquet(f"{path}/manifest")
 
 
+def write_masked(df: DataFrame, path: str, masks: Mapping[str, str]) -> DataFrame:
+    """The rows of each named mask (name to boolean column) as a folder ``mask=name``, and the counts of mask and ``split`` beside them, which are returned. A row may be in several masks."""
+    own = F.explode(F.filter(F.array(*[F.when(F.col(c), F.lit(n)) for n, c in masks.items()]), lambda n: n.isNotNull()))
+    df.withColumn("mask", own).write.mode("errorifexists").partitionBy("mask").parquet(f"{path}/rows")
+    counts = df.sparkSession.read.parquet(f"{path}/rows").groupBy("mask", "split").agg(F.count("*").alias("rows"))
+    counts.coalesce(1).write.mode("errorifexists").parquet(f"{path}/counts")
+    return df.sparkSession.read.parquet(f"{path}/counts")
+
+
 def compact_folder(spark: SparkSession, source: str, target: str, files: int = 8) -> None:
     """The files of a folder as ``files`` larger ones, under the schema that Spark reads from the folder."""
     spark.read.option("mergeSchema", "false").parquet(source).coalesce(files).write.mode("errorifexists").parquet(target)
