@@ -26,6 +26,8 @@ READERS = frozenset("comment comments discussion disqus replies reply respond sh
 JUNK_PART = re.compile("comment|disqus|sidebar|cookie|newsletter|advert|sponsor|breadcrumb|navbar|popup")
 #: Words of layout, which may stand beside junk words in an id; with others an id is the slug of a heading.
 LAYOUT = frozenset("area block box bar bottom col column container content div fixed form inner item items js left links list main outer page panel posts right row section site top wrap wrapper".split())
+#: Further words that say nothing where they stand beside junk words in one name; with others, as in share-price, the name is about something else.
+FILLER = frozenset("article articles body button buttons card cards content entry feed grid group header heading hero holder icon icons img latest link media module more news posts read story stories slot sticky strip tab tabs text title top unit view wide zone".split())
 #: Elements that a word may leave out: containers, no headings, paragraphs or parts of a line.
 CONTAINER = frozenset("address center dd details div dl dt fieldset figure hgroup legend li ol section summary table tbody td tfoot th thead tr ul".split())
 #: Start tags that end an open element: what they end, and where the search for it stops.
@@ -40,6 +42,8 @@ ENDS = {
     "tfoot": (("tr", "tbody", "thead", "tfoot"), ("table",)),
     "option": (("option",), ("select",)),
 }
+#: Elements of lists and tables, which these searches pass from one to the next.
+FRAME = frozenset(t for what, stop in ENDS.values() for t in what + stop)
 #: Elements that keep an end tag inside them from ending elements outside.
 SCOPE = frozenset("html body table td th article section div main aside nav header footer form ul ol blockquote".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6 div section article".split())
@@ -50,17 +54,30 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """An element: its tag, whether it is left out, and its children, elements and strings in page order."""
 
-    __slots__ = ("tag", "up", "kids", "skip", "score", "size", "linked", "commas", "own")
+    __slots__ = ("tag", "up", "kids", "skip", "score", "size", "linked", "commas", "own", "inside", "block", "frame")
 
     def __init__(self, tag: str, up: Node | None, skip: int = 0):
         self.tag, self.up, self.skip = tag, up, skip
+        #: What the element is in, itself included, as bits; the nearest block and the nearest element of a list or table, so that no search climbs through others.
+        self.inside = up.inside if up else 0
+        self.block = self if up is None or tag in BLOCK else up.block
+        self.frame = self if up is None or tag in FRAME else up.frame
         self.kids: list[Node | str] = []
         self.score = 0.0
         self.size = self.linked = self.commas = self.own = 0
 
 
-#: An element is left out for sure, by the words in its attributes unless it turns out to hold the page, or as readers' comments unless it holds the article.
-SURE, MARKED, READER = 1, 2, 3
+#: An element is left out for sure, by the words in its attributes unless it turns out to hold the page, or as readers' comments unless it holds the article; a doubtful one if it holds no prose.
+SURE, MARKED, READER, DOUBT = 1, 2, 3, 4
+#: Bits of ``inside``: an article, a header of it, a doubtful element.
+ARTICLE, HEADER, WEAK = 1, 2, 4
+
+
+def _compound(token: str) -> bool:
+    """Whether a name of several words has one that is neither junk nor filler: share-price is about prices."""
+    words = [w.lower() for w in _CUT.split(token) if w]
+    known = lambda w: w in JUNK or w in LAYOUT or w in FILLER or w in GOOD or len(w) < 3 or w.isdigit()
+    return len(words) > 1 and not all(map(known, words)) and not JUNK_PART.search(token.lower())
 
 
 def _reader(words: set[str]) -> bool:
@@ -73,12 +90,14 @@ def _left_out(tag: str, attributes: list[tuple[str, str | None]]) -> int:
     if tag in ("html", "body", "article", "main"):
         return 0
     words: set[str] = set()
+    doubtful: set[str] = set()
     slug: set[str] = set()
     for name, value in attributes:
         if name in ("hidden", "inert") or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value):
             return SURE
         if name in ("class", "id", "role", "itemprop") and value:
-            (slug if name == "id" else words).update(w.lower() for w in _CUT.split(value) if w)
+            for token in value.split():
+                (slug if name == "id" else doubtful if _compound(token) else words).update(w.lower() for w in _CUT.split(token) if w)
     if tag not in CONTAINER:
         return 0
     # Ids of sections are slugs of their headings, as are ids with words that are neither junk nor layout.
@@ -88,7 +107,9 @@ def _left_out(tag: str, attributes: list[tuple[str, str | None]]) -> int:
         words |= slug
     if _reader(words):
         return READER
-    return MARKED if words and not words & GOOD and (words & JUNK or JUNK_PART.search(" ".join(words))) else 0
+    if words and not words & GOOD and (words & JUNK or JUNK_PART.search(" ".join(words))):
+        return MARKED
+    return DOUBT if doubtful & JUNK and not words & GOOD else 0
 
 
 class Tree(HTMLParser):
@@ -97,29 +118,35 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
+        self.open: dict[str, int] = {}
         self.marked: list[Node] = []
+        self.doubtful: list[Node] = []
+        self.headers: list[Node] = []
         self.heads: list[Node] = []
         self.articles: list[Node] = []
 
     def _close_to(self, node: Node) -> None:
-        self.at = node.up or self.root
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.up
+        if node.up:
+            self.open[node.tag] -= 1
+            self.at = node.up
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
             return  # both are the root
         if tag in BLOCK:
-            node = self.at
-            while node.up and node.tag != "p" and (node.tag not in BLOCK):
-                node = node.up
+            node = self.at.block
             if node.tag == "p":
                 self._close_to(node)
         if tag in ENDS:
             what, stop = ENDS[tag]
-            node = self.at
+            node = self.at.frame
             while node.up and node.tag not in stop:
                 if node.tag in what:
                     self._close_to(node)
-                node = node.up
+                node = node.up.frame
         if tag in VOID:
             if tag == "br":
                 self.at.kids.append(" ")
@@ -129,6 +156,17 @@ class Tree(HTMLParser):
         new = Node(tag, self.at, _left_out(tag, attrs))
         self.at.kids.append(new)
         self.at = new
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in ("article", "main"):
+            new.inside |= ARTICLE
+        elif tag == "header" and new.inside & ARTICLE:
+            if not new.inside & HEADER:
+                self.headers.append(new)
+            new.inside |= HEADER
+        if new.skip == DOUBT:
+            new.skip = 0
+            new.inside |= WEAK
+            self.doubtful.append(new)
         if new.skip in (MARKED, READER):
             self.marked.append(new)
         if tag in ("h1", "main"):
@@ -142,6 +180,8 @@ class Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if not self.open.get(tag):
+            return
         node = self.at
         while node.up and node.tag != tag:
             if node.tag in SCOPE and tag not in SCOPE:
@@ -180,28 +220,29 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _text_size(node: Node) -> int:
-    """Characters under an element, without parts that are left out for sure."""
-    n, todo = 0, [node]
+def _text_sizes(root: Node) -> dict[Node, int]:
+    """Characters under each element, without parts that are left out for sure."""
+    order, todo = [], [root]
     while todo:
-        for kid in todo.pop().kids:
-            if isinstance(kid, str):
-                n += len(" ".join(kid.split()))
-            elif kid.skip not in (SURE, READER):
-                todo.append(kid)
-    return n
+        node = todo.pop()
+        order.append(node)
+        todo.extend(k for k in node.kids if not isinstance(k, str))
+    sizes: dict[Node, int] = {}
+    for node in reversed(order):
+        sizes[node] = sum(len(" ".join(k.split())) if isinstance(k, str) else 0 if k.skip in (SURE, READER) else sizes[k] for k in node.kids)
+    return sizes
 
 
 def _holders(tree: Tree) -> set[Node]:
     """Elements around the article: above a main heading, a main element or the only article of the page, none of them in parts left out for sure."""
     out: set[Node] = set()
+    lost: set[Node] = set()
     for node in tree.heads + (tree.articles if len(tree.articles) == 1 else []):
         above = []
-        while node is not None and node.skip != SURE:
+        while node is not None and node.skip != SURE and node not in out and node not in lost:
             above.append(node)
             node = node.up
-        if node is None:
-            out.update(above)
+        (out if node is None or node in out else lost).update(above)
     return out
 
 
@@ -216,16 +257,45 @@ def keep_wrappers(tree: Tree) -> None:
     for node in tree.marked:
         if node.skip == READER and node in holders:
             node.skip = 0
-    sizes = [(_text_size(node), node) for node in tree.marked if node.skip == MARKED]
+    every = _text_sizes(tree.root)
+    sizes = [(every[node], node) for node in tree.marked if node.skip == MARKED]
     if max((n for n, _ in sizes), default=0) < 200:
         return
-    page = _text_size(tree.root)
+    page = every[tree.root]
     scores = any(n.tag in PARAGRAPH and n.own >= 25 for n in _measure(tree.root))
     for n, node in sizes:
         if 5 * n > 3 * page and (node in holders or not scores):
             node.skip = 0
 
 
+def keep_headings(tree: Tree) -> None:
+    """Of a header inside an article its headings stay: they are the article's."""
+    for header in tree.headers:
+        found, todo = [], [header]
+        while todo:
+            node = todo.pop()
+            if node is not header and (node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not node.skip):
+                found.append(node)
+            elif node is header or node.tag == "header" or not node.skip:
+                todo.extend(k for k in reversed(node.kids) if isinstance(k, Node))
+        header.kids, header.skip = list(found), 0
+
+
+def drop_doubtful(tree: Tree) -> None:
+    """Doubtful elements go unless they hold prose: a paragraph that scores, and no more than a third of the text in links."""
+    if not tree.doubtful:
+        return
+    prose: set[Node] = set()
+    for node in reversed(_measure(tree.root)):
+        if node in prose or node.tag in PARAGRAPH and node.own >= 25 and _density(node) <= 1 / 3:
+            prose.add(node)
+            if node.up is not None:
+                prose.add(node.up)
+    for node in tree.doubtful:
+        if node not in prose or _density(node) > 1 / 3:
+            node.skip = MARKED
+
+
 def _density(node: Node) -> float:
     return node.linked / node.size if node.size else 0.0
 
@@ -242,7 +312,7 @@ def main_nodes(root: Node) -> list[Node]:
     for node in order:
         if node.tag not in PARAGRAPH or node.own < 25:
             continue
-        points = (1 + node.commas + min(node.own // 100, 3)) * (1 - _density(node))
+        points = (1 + node.commas + min(node.own // 100, 3)) * (1 - _density(node)) * (0.5 if node.inside & WEAK else 1.0)
         # A container with text of its own is its own paragraph.
         up, share = (node.up if node.tag not in ("div", "section", "article") else node), 1.0
         level = 0
@@ -279,8 +349,21 @@ def main_nodes(root: Node) -> list[Node]:
 
 
 def _link_list(node: Node) -> bool:
-    """A block inside an article that is a menu: nearly all of it is links."""
-    return node.tag in ("ul", "ol", "div", "table", "section", "dl") and node.size > 0 and _density(node) > 0.8
+    """A block inside an article that is a menu: nearly all of it is links, and they are short. Long ones in a row are its sources."""
+    if node.tag not in ("ul", "ol", "div", "table", "section", "dl") or node.size == 0 or _density(node) <= 0.8:
+        return False
+    links, texts, todo = 0, 0, [node]
+    while todo:
+        x = todo.pop()
+        if x.tag == "a":
+            links, texts = links + 1, texts + x.size
+        else:
+            todo.extend(k for k in x.kids if isinstance(k, Node) and not k.skip)
+    return texts < SOURCE * links
+
+
+#: Mean characters of the links in a list of sources.
+SOURCE = 25
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -318,7 +401,9 @@ def extract(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    keep_headings(tree)
     keep_wrappers(tree)
+    drop_doubtful(tree)
     return "\n".join(blocks(main_nodes(tree.root)))
 
 
@@ -331,6 +416,7 @@ def with_main_text(pages: DataFrame, html: str = "html", out: str = "main_text")
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers and hidden parts are left
     out. Character references are decoded, white space in a block becomes one space, blocks are joined by a newline.
-    Null and empty pages give the empty string; markup that is cut off is read as far as it goes. Pages are independent: no shuffle.
+    Null and empty pages give the empty string; markup that is cut off is read as far as it goes. Pages are independent: no shuffle. Work is
+    linear in the length of a page, however deep its elements are. Repeated rows are read each; an existing column ``out`` is replaced; an empty table gives an empty one.
     """
     return pages.withColumn(out, F.pandas_udf(_extract, "string")(F.col(html)))
