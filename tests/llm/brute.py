@@ -32,27 +32,22 @@ def fold(text):
     return re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw(text))
 
 
-def bigram_scores(rows, shards):
-    """Discounts are those of a context, or of each part of one with over half a shard of tokens."""
+def bigram_scores(rows):
+    """Discounted bigrams over smoothed unigrams: one discount a context."""
     tokens = [WORD.findall(fold(t)) + [b""] for _, t in rows]
     held = [zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0 for d, _ in rows]
-    every, one, two = collections.Counter(x for w in tokens for x in w), collections.Counter(), collections.Counter()
+    one, two = collections.Counter(), collections.Counter()
     for w, h in zip(tokens, held):
         if not h:
             one.update(w)
             two.update(zip([b""] + w[:-1], w))
-    total, kinds, size = sum(one.values()), len(one), sum(every.values())
-    parts = {a: min(shards, -(-n * 2 * shards // size)) if n * 2 * shards > size else 1 for a, n in every.items()}
-    part = lambda a, b: (a, (xxhash.xxh64_intdigest(b, 42) >> 8) % parts[a])
+    total, kinds = sum(one.values()), len(one)
     seen, once, twice = collections.Counter(), collections.Counter(), collections.Counter()
-    for (a, b), c in two.items():
-        seen[part(a, b)] += 1
-        once[part(a, b)] += c == 1
-        twice[part(a, b)] += c == 2
+    for (a, _), c in two.items():
+        seen[a] += 1
+        once[a] += c == 1
+        twice[a] += c == 2
     taken = {x: (once[x] + 0.5) / (once[x] + 2 * twice[x] + 1) for x in seen}
-    off = collections.Counter()
-    for x, n in seen.items():
-        off[x[0]] += taken[x] * n
     low = lambda x: (one[x] + 0.1) / (total + 0.1 * (kinds + 1))
     out = []
     for (d, _), w, h in zip(rows, tokens, held):
@@ -60,7 +55,7 @@ def bigram_scores(rows, shards):
         for a, b in zip([b""] + w[:-1], w):
             p = low(b)
             if one[a]:
-                p = ((two[a, b] - taken[part(a, b)] if two[a, b] else 0) + off[a] * low(b)) / one[a]
+                p = ((two[a, b] - taken[a] if two[a, b] else 0) + taken[a] * seen[a] * low(b)) / one[a]
             score += math.log10(p)
         out.append((d, h, len(w), sum(one[x] > 0 for x in w), total, sum(math.log10(low(x)) for x in w), score))
     return out

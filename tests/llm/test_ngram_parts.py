@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from trackyard.llm import ngramtrie
@@ -18,3 +19,20 @@ def test_one_discount_a_context(spark, monkeypatch, batch, shard):
     got = sorted(tuple(x) for x in ngramtrie.with_scores(brute.frame(spark, ROWS)).select("id", "n_tokens", "base_score", "score").collect())
     for a, b in zip(got, sorted(brute.bigram_scores(ROWS)), strict=True):
         assert a[:2] == (b[0], b[2]) and a[2] == pytest.approx(b[5], rel=1e-9) and abs(a[3] - b[6]) <= 1e-4 * b[2]
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(12,0)"])
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch, kind):
+    monkeypatch.setattr(ngramtrie, "BATCH", 200)
+    df = brute.frame(spark, ROWS).withColumn("doc_id", F.col("doc_id").cast(kind))
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "64") if kind == "long" else ("4",):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted((str(r[0]), r[1]) for r in ngramtrie.with_scores(df.repartition(3)).select("id", "score").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for other in got[1:]:
+        assert [r[0] for r in other] == [r[0] for r in got[0]]
+        assert [r[1] for r in other] == pytest.approx([r[1] for r in got[0]], rel=1e-4)
+    assert len(got[0]) == len(ROWS)

@@ -12,6 +12,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trackyard.llm import scratch
 
@@ -19,6 +20,8 @@ from trackyard.llm import scratch
 BATCH, SHARD = 2_000_000, 1_000_000
 #: Most frequent words that a batch reports, to find the contexts that are too large for one shard.
 HEADS = 1 << 14
+#: Most contexts that are dealt by word, and most tasks that shards are dealt to.
+WIDE, TASKS = 1 << 16, 20_000
 #: What a text ends with; no word is empty.
 END = xxhash.xxh64_intdigest(b"", 42)
 #: Steps of a quantised log10: 1 / 5000 each, down to 10 to the -13.1.
@@ -283,26 +286,31 @@ class _Pairs:
         own += shard[self.context]
         own %= shards
         self.order = np.argsort(own, kind="stable").astype(np.int32)
-        self.bounds = np.searchsorted(own[self.order], np.arange(shards + 1))
+        #: The shards that the batch asks, at most one a pair.
+        self.shards, first = np.unique(own[self.order], return_index=True)
+        self.bounds = np.concatenate((first, [len(own)]))
 
     def of(self, s: int) -> np.ndarray:
         """Positions of the pairs that go to a shard."""
-        return self.order[self.bounds[s] : self.bounds[s + 1]]
+        k = int(np.searchsorted(self.shards, s))
+        return self.order[self.bounds[k] : self.bounds[k + 1]]
+
+    def contexts_of(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts of pairs that go to one shard, in order, and how many pairs each has."""
+        return np.unique(self.context[own], return_counts=True)
 
 
 def _ask(shards: int, wide: dict[int, int]):
-    """Each batch's pairs, a row for each shard that it asks."""
+    """Each batch's pairs, a row for each shard that it asks: no more rows than pairs, whatever the number of shards."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for batch, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 pairs = _Pairs(data, shards, wide)
                 rows = []
-                for s in range(shards):
+                for s in pairs.shards.tolist():
                     own = pairs.of(s)
-                    contexts, sizes = np.unique(pairs.context[own], return_counts=True)
-                    if not len(contexts):
-                        continue
+                    contexts, sizes = pairs.contexts_of(own)
                     words, at = np.unique(pairs.word[own], return_inverse=True)
                     small = np.uint16 if len(words) < 1 << 16 else np.uint32
                     counts = pairs.count[own]
@@ -343,7 +351,7 @@ def _answer(wide: dict[int, int]):
                 # Pairs of a context that other shards share go back as counts: its discount is that of all parts.
                 dealt = np.repeat(np.isin(contexts, known_wide), sizes)
                 exact = exact[dealt]
-                out.append(pack(contexts, sizes, counts, lower, codes[~dealt], exact.astype(np.uint16 if exact.max(initial=0) < 1 << 16 else np.int64)))
+                out.append(pack(counts, lower, codes[~dealt], exact.astype(np.uint16 if exact.max(initial=0) < 1 << 16 else np.int64)))
             shared = np.flatnonzero(np.isin(trie.contexts, known_wide))
             total, kinds = int(trie.counts.sum()), len(trie.contexts) - len(shared)
             some = np.column_stack((trie.contexts[shared].view(np.int64), trie.counts[shared], *(x[shared] for x in trie.spread))).astype(np.int64).tolist()
@@ -378,12 +386,12 @@ def _score(shards: int, wide: dict[int, int], spread: dict[int, tuple[int, int,
         n = len(pairs.hashes)
         counts, lower, own = np.zeros(n), np.ones(n), np.zeros(len(pairs.context))
         for shard, answer in answers:
-            contexts, sizes, c, low, codes, exact = unpack(answer)
-            at = np.searchsorted(pairs.hashes, contexts)
+            c, low, codes, exact = unpack(answer)  # in the order in which the batch asked
+            of = pairs.of(shard)
+            at, sizes = pairs.contexts_of(of)
             counts[at] = c
             lower[at] = np.where(low > 0, restore(low), 1.0)
             dealt = np.repeat(np.isin(at, pairs.wide), sizes)
-            of = pairs.of(shard)
             own[of[~dealt]], own[of[dealt]] = restore(codes), exact
         if pairs.wide:
             d = np.zeros(n)
@@ -428,25 +436,26 @@ def with_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     Texts become numbers in batches of some two million tokens, kept as a table. The model is cut into shards by context word, each a trie
     (:class:`Trie`) built in one task from the distinct pairs of all batches and mapped from a temporary file of that task. Batches send their distinct pairs, not
     their tokens, and get codes back, so traffic is a few bytes a token. A context with over half a shard of tokens is dealt by word to several shards,
-    whose sums give it one discount; the list of those, less than two a shard, and two sums are all that goes to the driver. Words are known by their 64-bit XXH64.
+    whose sums give it one discount, so scores do not depend on shards or partitions; the list of those, :data:`WIDE` at most, and two sums are all that goes to the driver. Words are known by their 64-bit XXH64.
 
-    A null text is the end alone; a null id counts as the empty string for the split, which holds it out. Rows that repeat an id are scored each.
+    A null text is the end alone; a null id counts as the empty string for the split, which holds it out. Rows that repeat an id are scored each. An empty table gives an empty one;
+    extra columns are not looked at.
     """
     spark = docs.sparkSession
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"), held.alias("held"))
     name = rows.schema["id"].dataType.simpleString()
-    kind = pa.array([], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]).type
+    kind = to_arrow_type(rows.schema["id"].dataType)
     batches = scratch.save(rows.mapInArrow(_batches(kind), f"batch long, ids array<{name}>, data binary, tokens long, heads array<long>, counts array<long>"), "lm-batches")
     total, made = batches.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(least, -(-total // SHARD))
-    # Contexts of over half a shard: less than two a shard.
-    heads = batches.select(F.explode(F.arrays_zip("heads", "counts")).alias("h")).groupBy("h.heads").agg(F.sum("h.counts").alias("n")).where(F.col("n") * 2 * shards > total).collect()
+    # Contexts of over half a shard, the largest of them; any other has less than one in WIDE of all tokens.
+    heads = batches.select(F.explode(F.arrays_zip("heads", "counts")).alias("h")).groupBy("h.heads").agg(F.sum("h.counts").alias("n")).where(F.col("n") * 2 * shards > total).orderBy(F.desc("n"), "heads").limit(WIDE).collect()
     wide = {r["heads"] % (1 << 64): min(shards, -(-r["n"] * 2 * shards // total)) for r in heads}
 
     asked = batches.select("batch", "data").mapInArrow(_ask(shards, wide), "shard int, batch long, asked binary")
-    dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = asked.repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard")
     answers = scratch.save(dealt.mapInArrow(_answer(wide), "batch long, shard int, answer binary, total long, kinds long, wide array<array<long>>"), "lm-answers")
     sums = answers.agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).first()
     train = sums["total"] or 0
