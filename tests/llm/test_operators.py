@@ -1,6 +1,7 @@
 """The training-data operators against plain versions: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import collections
+import math
 import random
 import tempfile
 
@@ -271,6 +272,41 @@ def test_site_posteriors_shrink(spark):
     assert all(r["kept"] == bool(r["id"] % 3) for r in rows if r["id"] is not None)
 
 
+def test_posteriors_are_the_formula(spark):
+    """Strengths, posteriors and verdicts from the documents' own odds, level by level, in plain numbers."""
+    rng = random.Random(8)
+    good = lambda: " ".join("g%d" % rng.randrange(40) for _ in range(30))
+    bad = lambda: " ".join(rng.choice(["junk", "***", "b%d" % rng.randrange(40)]) for _ in range(30))
+    rows = [(k, good() if rng.random() < (0.9, 0.5, 0.2)[k % 3] else bad(), rng.choice(["en", "de", None]), (["a", "b", None][k % 3] if k % 50 else "site%d" % k), 1, 0.5, True) for k in range(600)]
+    rows += [rows[0]] * 5 + [(None, None, None, None, None, None, None), (5000, "", "en", "a", 0, 0.0, False), (5001, "g1 " * 60_000, "en", "b", 1, 0.0, False)]
+    docs = spark.createDataFrame(rows, brute.DOCS + ", p_good double, kept boolean")
+    labels = spark.createDataFrame([(r[0], int("g" in r[1]), 0) for r in rows[:300]] + [(1, 0, 0), (1, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = siteprior.with_posteriors(docs, labels).collect()
+    assert len(got) == len(rows)
+    odds = lambda p: math.log(p) - math.log1p(-p)
+    held = lambda p: max(1e-6, min(1 - 1e-6, p))
+
+    def strength(groups):
+        noise = sum(m * (1 - m) for m, _, _ in groups)
+        between = (sum(n * (k / n - m) ** 2 for m, n, k in groups) - noise) / sum(n for _, n, _ in groups)
+        return max(1.0, min(1000.0, noise / len(groups) / between - 1)) if between > 0 else 1000.0
+
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        hosts[r["host"]].append(r["p_doc"])
+        paths[r["host"], r["path"]].append(r["p_doc"])
+    mean = sum(r["p_doc"] for r in got) / len(got)
+    s = strength([(mean, len(v), sum(v)) for v in hosts.values()])
+    p_host = {h: (sum(v) + s * mean) / (len(v) + s) for h, v in hosts.items()}
+    s = strength([(p_host[h], len(v), sum(v)) for (h, _), v in paths.items()])
+    for r in got:
+        v = paths[r["host"], r["path"]]
+        path = held((sum(v) - r["p_doc"] + s * p_host[r["host"]]) / (len(v) - 1 + s))
+        p = 1 / (1 + math.exp(-(odds(r["p_doc"]) + odds(path) - odds(held(mean)))))
+        assert (r["p_host"], r["p_path"], r["p_good"]) == pytest.approx((p_host[r["host"]], path, p), rel=1e-6) and r["kept"] == (r["p_good"] >= 0.5)
+    assert len({round(r["p_host"], 9) for r in got}) > 3
+
+
 def test_posteriors_without_labels(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] for r in siteprior.with_posteriors(docs, labels).collect())

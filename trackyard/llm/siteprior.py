@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from trackyard.llm import scratch
 
-#: Most labelled rows that the document classifier is fitted on, and most of its features.
-LABELLED, FEATURES = 20_000, 20_000
+#: Most labelled rows that the document classifier is fitted on.
+LABELLED = 20_000
 SYMBOLS = b"#*$%&|<>!"
 
 
@@ -85,9 +85,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """Fit on up to ``limit`` labelled documents, those of the least hash of the id: good is quality 1 and not toxic.
 
     ``labels`` (doc_id, quality, toxic): rows without id or quality are left out, a null toxic is 0; where labels of one id differ, it is bad.
-    A feature is used if the shares of good and bad texts that have it differ by ``z`` standard errors, the :data:`FEATURES` strongest at most;
-    a logistic regression with an L1 penalty weighs them. Counts are sums over tasks; what comes to the driver, and the regression's input, is bounded by the
-    two limits. Without both classes, all documents are good.
+    A feature is used if the shares of good and bad texts that have it differ by ``z`` standard errors, for which at least some z squared of the labelled texts must have it;
+    a logistic regression with an L1 penalty weighs them. Counts are sums over tasks; what comes to the driver, the names of such features, is bounded by the
+    words of the labelled texts over z squared. Without both classes, all documents are good.
     """
     spark = docs.sparkSession
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     share = (F.col("good") + F.col("bad")) / (g + b)
     error = F.sqrt(share * (1 - share) * (1 / g + 1 / b))
     tells = F.abs(F.col("good") / g - F.col("bad") / b) / error
-    top = counts.where(share < 1).withColumn("tells", tells).where(F.col("tells") >= z).orderBy(F.desc("tells"), "feature").limit(FEATURES).collect()
+    top = counts.where(share < 1).withColumn("tells", tells).where(F.col("tells") >= z).select("feature").collect()
     names = sorted(bytes(r["feature"]) for r in top)
     if not names:
         return Model({}, math.log(g / b))
@@ -143,21 +143,24 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     the prior. A document's own share is taken out of its path before its log odds and its path's, relative to the mean of all, add up to p_good.
 
     Texts are read once for the score, kept as a table of numbers; sums are made map-side, so a hot host is no hot task. Null hosts and paths are
-    groups of their own. Null texts are texts without words. Repeated rows are scored each; without labels all is kept.
+    groups of their own. Null texts are texts without words. Repeated rows are scored each and count each; without labels all is kept. An empty table gives an empty one; extra
+    columns of any name are not looked at. A p_good that meets the threshold is kept.
     """
     spark = docs.sparkSession
     model = fit(docs, labels, id_col, text)
     odds = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), model.log_odds(F.col(text), spark)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(host).alias("host"), F.col(path).alias("path"), odds.alias("odds"))
     rows = scratch.save(rows.withColumn("p_doc", 1 / (1 + F.exp(-F.col("odds")))), "quality-rows")
-    paths = rows.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p_doc").alias("k"))
+    # Written once: all levels and priors are made from these sums.
+    paths = scratch.save(rows.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p_doc").alias("k")), "quality-paths")
     hosts = paths.groupBy(F.col("host").alias("h_host")).agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
     mean = hosts.agg((F.sum("hk") / F.sum("hn")).alias("mean"))
     # Tables of one row: the levels' priors.
     top = hosts.crossJoin(F.broadcast(mean))
-    top = top.crossJoin(F.broadcast(top.agg(_strength(top, F.col("mean"), F.col("hn"), F.col("hk")).alias("host_strength"))))
-    top = top.withColumn("p_host", (F.col("hk") + F.col("host_strength") * F.col("mean")) / (F.col("hn") + F.col("host_strength")))
-    low = paths.join(top.select("h_host", "p_host", "mean"), F.col("host").eqNullSafe(F.col("h_host")))
+    strength = top.agg(_strength(top, F.col("mean"), F.col("hn"), F.col("hk")).alias("host_strength"))
+    top = top.crossJoin(F.broadcast(strength))
+    top = scratch.save(top.withColumn("p_host", (F.col("hk") + F.col("host_strength") * F.col("mean")) / (F.col("hn") + F.col("host_strength"))), "quality-hosts")
+    low = scratch.save(paths.join(top.select("h_host", "p_host", "mean"), F.col("host").eqNullSafe(F.col("h_host"))), "quality-levels")
     low = low.crossJoin(F.broadcast(low.agg(_strength(low, F.col("p_host"), F.col("n"), F.col("k")).alias("path_strength"))))
     site = low.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), "n", "k", "p_host", "mean", "path_strength")
     site = scratch.lookup(site, "quality-sites")
