@@ -12,13 +12,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long): root is the smallest node that can be reached.
 
     Each step replaces links by links to a neighbourhood's minimum, until every component is a star. Minima come from map-side sums and
-    are joined back, so a node with very many links is no hot task. Each round is a table in the shared folder; the driver sees a
+    are joined back, so a node with very many links is no hot task. Each round is a table in the shared folder, which replaces that of the round before; the driver sees a
     count and a checksum. Self-links are dropped: a node without others isn't in the result. Empty in, empty out.
     """
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     down = scratch.save(down, "links")
     mark = _mark(down)
     for _ in range(rounds):
+        since = scratch.mark() - 1  # the table of the round before
         both = down.union(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         # Large star: neighbours above u go to the least of u and its neighbours.
@@ -30,6 +31,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         down = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         down = scratch.save(down, "links")
         new = _mark(down)
+        scratch.drop_since(down.sparkSession, since, down)
         if new == mark:
             break
         mark = new

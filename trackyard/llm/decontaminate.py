@@ -67,8 +67,8 @@ class WuManber:
                 end += 1
 
 
-def _searcher(block: list[tuple[str, bytes | None]], window: int, spark):
-    sent = spark.sparkContext.broadcast(block)
+def _searcher(sent, window: int):
+    """For blocks of items that are ``sent`` to the tasks."""
 
     @F.pandas_udf(STATE)
     def search(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -103,8 +103,8 @@ def _verdict(state: Column) -> Column:
 def with_contamination(docs: DataFrame, benchmark: DataFrame, out: str = "contamination", text: str = "text", window: int = 13, block_bytes: int = 1 << 20) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, n_hit, n_items, items_sha256, contaminated.
 
-    ``benchmark`` (item_id, text) is sent to the tasks in blocks of at most ``block_bytes`` of text (or one longer
-    item): one block in the usual case. With more, each block is a pass over the documents that adds to the hit words
+    ``benchmark`` (item_id, text) is sent to the tasks in blocks of about ``block_bytes`` of text, dealt by hash of the item: one block
+    in the usual case. With more, each block is a pass over the documents that adds to the hit words
     kept from the pass before, so any size of benchmark gives the whole result. No shuffle of documents.
 
     A null or empty text has no words: zero counts, the digest of no items, not contaminated. Items without words
@@ -120,9 +120,13 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, out: str = "contam
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("name", "item"), F.lit(blocks)) == k) if blocks > 1 else items
         block = [(r["name"], bytes(r["item"]) if r["item"] is not None else None) for r in part.collect()]
-        docs = docs.withColumn(out, _searcher(block, window, spark)(body, F.col(out)["hit"], F.col(out)["items"]))
+        sent = spark.sparkContext.broadcast(block)
+        docs = docs.withColumn(out, _searcher(sent, window)(body, F.col(out)["hit"], F.col(out)["items"]))
         if k + 1 < blocks:
+            before = scratch.mark() - (k > 0)
             docs = scratch.save(docs, "decontaminate")
+            scratch.drop_since(spark, before, docs)
+            sent.unpersist()
     return docs.withColumn(out, _verdict(F.col(out)))
 
 

@@ -75,8 +75,8 @@ def with_metrics(docs: DataFrame, text: str = "text", out: str = "rules") -> Dat
 def host_verdicts(scored: DataFrame, host: str = "source", rules: str = "rules", max_rate: float = 0.5) -> DataFrame:
     """Per host: n_docs, n_failed, shrunk failure rate and ``host_ok``.
 
-    A document fails if a base rule fails, if symbols are over a tenth of its word characters, or if over three tenths of
-    its lines repeat (counted against words over 10 where lines are long). The rate of a host is shrunk towards an
+    A document fails if a base rule fails, if symbols are over a tenth of its word characters, or if its repeated
+    lines number over a tenth of its words. The rate of a host is shrunk towards an
     empirical beta prior whose mean and strength come from all hosts by the method of moments: mean m of the pooled rate,
     strength m(1-m)/v - 1 from the variance v of host rates beyond binomial noise, held within 1 and 1000.
     A host is rejected if its shrunk rate is over ``max_rate``. A null host is a host of its own.

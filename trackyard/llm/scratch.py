@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SMALL = 100_000
 
 _local: list[str] = []
+#: Paths of the tables written so far by this driver, in order.
+_made: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,14 +31,29 @@ def folder(spark: SparkSession) -> str:
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later plans start from the files.
 
-    Every call takes a new folder; the cluster's clean-up of the shared folder removes it.
+    Every call takes a new folder. :func:`drop_since` removes those that nothing reads any more; the others are left to the cluster's clean-up of the shared folder.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """How many tables have been written, for :func:`drop_since`."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Remove the tables written after :func:`mark` gave ``since``, but for those that ``keep`` reads: its own rows are in files by then."""
+    held = "\n".join(keep.inputFiles()) if keep is not None else ""
+    for path in [p for p in _made[since:] if p.rsplit("/", 1)[1] not in held]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
+
+
 def lookup(df: DataFrame, tag: str) -> DataFrame:
     """A lookup table for a join: kept in the shared folder, its rows counted, and sent to all tasks if there are at most :data:`SMALL`.
 
