@@ -50,9 +50,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All stages over ``docs``, each written and read again; what a stage wrote for itself, and its input, go once its rows are written.
+
+    An empty table gives an empty one. Null and empty texts, as all of under 50 words, go in the first stage. Rows with equal texts, whatever their ids, come down to one in the
+    second. A null source is a source of its own. Extra columns pass through to the last stage, whose columns are its own; names that begin with __ are for the stages.
+    """
+    since = scratch.mark()
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        scratch.drop_since(spark, since, docs)
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    return apply(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
