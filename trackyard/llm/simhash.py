@@ -25,8 +25,10 @@ GENERATOR = 0b101011100011
 GROUP = 20_000
 #: Min-hashes of a text in bands: of pairs at similarity 0.8 all but some 50 in a million have a band in common.
 BANDS, ROWS = 25, 5
-#: Texts of a candidate group compared in one task; larger groups are dealt to tiles.
+#: Texts of a chunk of a candidate group; a task compares at most two chunks.
 TILE = 4000
+#: Most bytes of texts of a chunk.
+TILE_BYTES = 32 << 20
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------
@@ -344,11 +346,29 @@ def similar(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[
     return a, b
 
 
+def _near(size: int, similarity: float):
+    """Whether texts are similar to the text beside them; rows of one group follow each other, so that its hashes are made once."""
+
+    def near(texts: pd.Series, firsts: pd.Series) -> pd.Series:
+        out, of, own = [], None, None
+        for text, first in zip(texts, firsts, strict=True):
+            if of is None or first != of:
+                of, own = first, np.unique(_shingles(_words(first), size))
+            x = np.unique(_shingles(_words(text), size))
+            both = len(np.intersect1d(own, x, assume_unique=True))
+            out.append(both >= similarity * (len(own) + len(x) - both) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    return near
+
+
 def with_similar(docs: DataFrame, id_col: str, text: str, size: int, similarity: float, extra: tuple = ()) -> DataFrame:
     """(id, root, *extra) for each row: rows with one root are joined by pairs of texts whose sets of ``size``-word shingles have at least this Jaccard similarity.
 
     Texts of equal words are one node. Candidates are nodes with Golay keys in common whose fingerprints differ in at most three bits, and nodes that share a band of min-hashes.
-    What candidates join is a group; its texts meet in one task, or in tiles of a large group, where all pairs are held to the exact similarity.
+    What candidates join is a group. Its texts are held to the exact similarity with the group's first text; those that are not similar to it meet all texts of
+    the group, in tiles of at most two chunks of :data:`TILE` texts or :data:`TILE_BYTES` bytes, or one longer text. So a group of copies costs as many comparisons as it has texts, and
+    no pair of it is lost: two texts that are both similar to the first are joined by it.
     """
     content = F.col(text).cast("binary")
     schema = "node long, fp long, keys array<long>"
@@ -365,19 +385,33 @@ def with_similar(docs: DataFrame, id_col: str, text: str, size: int, similarity:
     equal = nodes.join(prints, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
     by_band = keyed.join(shared, "key").select("a", F.col("node").alias("b"))
     group = scratch.save(components(by_print.union(equal).union(by_band).where("a <> b")), "similar-groups")
-    chunks = group.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
-    wanted = scratch.lookup(group.join(chunks, "root"), "similar-wanted")
+    wanted = scratch.lookup(group, "similar-wanted")
     texts = docs.select(F.pandas_udf(_nodes, "long")(content).alias("node"), content.alias("text")).join(wanted, "node")
-    single = texts.groupBy("node", "root", "chunks").agg(F.first("text").alias("text"))
-    single = single.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"))
-    tiles = single.select("root", "node", "text", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select("root", "node", "text", F.least("c", "o").alias("t1"), F.greatest("c", "o").alias("t2"))
+    single = scratch.save(texts.groupBy("node", "root").agg(F.first("text").alias("text")), "similar-texts")
+
+    # Each text against the first of its group: in a group of copies that settles nearly all.
+    first = single.where("node = root").select("root", F.col("text").alias("first"))
+    others = single.where("node <> root").join(first, "root")
+    led = scratch.save(others.select("root", "node", F.octet_length("text").alias("size"), F.pandas_udf(_near(size, similarity), "boolean")("text", "first").alias("near")), "similar-led")
+    # The rest meets all texts of its group, in tiles of a chunk of the rest and a chunk of all.
+    number = lambda n, size: F.greatest(F.lit(1), F.ceil(F.greatest(n / TILE, size / TILE_BYTES))).cast("int")
+    left, of_left = F.sum((~F.col("near")).cast("long")), F.sum(F.when(~F.col("near"), F.col("size")))
+    chunks = led.groupBy("root").agg(number(F.count("*") + 1, F.sum("size")).alias("chunks"), left.alias("left"), number(left, of_left).alias("rest"))
+    chunks = scratch.lookup(chunks.where("left > 0").select("root", "chunks", "rest"), "similar-chunks")
+    far = led.where(~F.col("near")).select("root", "node")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = single.join(chunks, "root").select("root", "node", "text", each("rest").alias("t1"), dealt("chunks").alias("t2"))
+    rest = single.join(far, ["root", "node"]).join(chunks, "root").select("root", "node", "text", dealt("rest").alias("t1"), each("chunks").alias("t2"))
 
     def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("node")
         a, b = similar([np.unique(_shingles(_words(t), size)) for t in frame["text"]], similarity)
         node = frame["node"].to_numpy(np.int64)
         return pd.DataFrame({"a": node[a], "b": node[b]}, dtype=np.int64)
 
-    roots = components(tiles.groupBy("root", "t1", "t2").applyInPandas(tile, "a long, b long"))
+    found = every.union(rest).groupBy("root", "t1", "t2").applyInPandas(tile, "a long, b long")
+    roots = components(found.union(led.where("near").select(F.col("root").alias("a"), F.col("node").alias("b"))))
     return rows.drop("fp", "keys").join(scratch.lookup(roots, "similar-roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
