@@ -52,6 +52,7 @@ def made():
 @pytest.mark.parametrize("tile", [4000, 3])
 def test_similar_texts_are_one(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "LED", tile - 1)
     rows = made()
     df = brute.frame(spark, rows)
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]

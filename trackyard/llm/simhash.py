@@ -29,6 +29,8 @@ BANDS, ROWS = 25, 5
 TILE = 4000
 #: Most bytes of texts of a chunk.
 TILE_BYTES = 32 << 20
+#: Texts, and bytes of them, that are held against the first text of their group in one task.
+LED, LED_BYTES = 200, 8 << 20
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------
@@ -347,17 +349,18 @@ def similar(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[
 
 
 def _near(size: int, similarity: float):
-    """Whether texts are similar to the text beside them; rows of one group follow each other, so that its hashes are made once."""
-
-    def near(texts: pd.Series, firsts: pd.Series) -> pd.Series:
-        out, of, own = [], None, None
-        for text, first in zip(texts, firsts, strict=True):
-            if of is None or first != of:
-                of, own = first, np.unique(_shingles(_words(first), size))
+    """Of a chunk of a group with the group's first text: whether the others are similar to that."""
+
+    def near(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame["node"] == frame["root"]
+        own = np.unique(_shingles(_words(frame.loc[first, "text"].iloc[0]), size))
+        others = frame[~first]
+        out = []
+        for text in others["text"]:
             x = np.unique(_shingles(_words(text), size))
             both = len(np.intersect1d(own, x, assume_unique=True))
-            out.append(both >= similarity * (len(own) + len(x) - both) - 1e-9)
-        return pd.Series(out, dtype=bool)
+            out.append((len(text), both >= similarity * (len(own) + len(x) - both) - 1e-9))
+        return pd.DataFrame({"root": others["root"].to_numpy(), "node": others["node"].to_numpy(), "size": np.array([n for n, _ in out], np.int64), "near": np.array([y for _, y in out], bool)})
 
     return near
 
@@ -389,18 +392,20 @@ def with_similar(docs: DataFrame, id_col: str, text: str, size: int, similarity:
     texts = docs.select(F.pandas_udf(_nodes, "long")(content).alias("node"), content.alias("text")).join(wanted, "node")
     single = scratch.save(texts.groupBy("node", "root").agg(F.first("text").alias("text")), "similar-texts")
 
-    # Each text against the first of its group: in a group of copies that settles nearly all.
-    first = single.where("node = root").select("root", F.col("text").alias("first"))
-    others = single.where("node <> root").join(first, "root")
-    led = scratch.save(others.select("root", "node", F.octet_length("text").alias("size"), F.pandas_udf(_near(size, similarity), "boolean")("text", "first").alias("near")), "similar-led")
+    # Each text against the first of its group, which is sent to each chunk: in a group of copies that settles nearly all.
+    number = lambda n, size, of, most: F.greatest(F.lit(1), F.ceil(F.greatest(n / of, size / most))).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    parts = scratch.lookup(single.groupBy("root").agg(number(F.count("*"), F.sum(F.octet_length("text")), LED, LED_BYTES).alias("parts")), "similar-parts")
+    own = single.join(parts, "root")
+    led = own.where("node <> root").select("root", "node", "text", dealt("parts").alias("t")).union(own.where("node = root").select("root", "node", "text", each("parts").alias("t")))
+    led = led.groupBy("root", "t").applyInPandas(_near(size, similarity), "root long, node long, size long, near boolean")
+    led = scratch.save(led, "similar-led")
     # The rest meets all texts of its group, in tiles of a chunk of the rest and a chunk of all.
-    number = lambda n, size: F.greatest(F.lit(1), F.ceil(F.greatest(n / TILE, size / TILE_BYTES))).cast("int")
     left, of_left = F.sum((~F.col("near")).cast("long")), F.sum(F.when(~F.col("near"), F.col("size")))
-    chunks = led.groupBy("root").agg(number(F.count("*") + 1, F.sum("size")).alias("chunks"), left.alias("left"), number(left, of_left).alias("rest"))
+    chunks = led.groupBy("root").agg(number(F.count("*") + 1, F.sum("size"), TILE, TILE_BYTES).alias("chunks"), left.alias("left"), number(left, of_left, TILE, TILE_BYTES).alias("rest"))
     chunks = scratch.lookup(chunks.where("left > 0").select("root", "chunks", "rest"), "similar-chunks")
     far = led.where(~F.col("near")).select("root", "node")
-    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     every = single.join(chunks, "root").select("root", "node", "text", each("rest").alias("t1"), dealt("chunks").alias("t2"))
     rest = single.join(far, ["root", "node"]).join(chunks, "root").select("root", "node", "text", dealt("rest").alias("t1"), each("chunks").alias("t2"))
 
