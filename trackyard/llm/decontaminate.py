@@ -112,6 +112,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, out: str = "contam
     named ``out`` is replaced; all other columns pass through.
     """
     spark = docs.sparkSession
+    scratch.bound_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("binary").alias("item"))
     total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1

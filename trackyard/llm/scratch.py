@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a lookup table that are sent to all tasks.
 SMALL = 100_000
+#: Bytes of the batches in which texts go to Python workers, and the setting of the session that says so.
+BATCH_BYTES, BATCH_KEY = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _local: list[str] = []
 #: Paths of the tables written so far by this driver, in order.
@@ -40,6 +42,15 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts go to Python in Arrow batches of :data:`BATCH_BYTES`, so that a worker's memory does not depend on how long 10,000 texts are; a session that sets the limit itself keeps its own.
+
+    The setting stays in the session, as plans are run after the operator has returned.
+    """
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def mark() -> int:
     """How many tables have been written, for :func:`drop_since`."""
     return len(_made)

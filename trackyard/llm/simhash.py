@@ -274,6 +274,7 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Equal fingerprints are one node, whatever the number of documents. Null texts and texts without words have fingerprint 0 and link
     like others. A null id is never the smallest; a component with null ids only has none. Repeated rows each have a row.
     """
+    scratch.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.pandas_udf(_fingerprints, "long")(F.col(text).cast("binary")).alias("fp"), *extra)
     rows = scratch.save(rows, "simhash-rows")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
@@ -373,6 +374,7 @@ def with_similar(docs: DataFrame, id_col: str, text: str, size: int, similarity:
     the group, in tiles of at most two chunks of :data:`TILE` texts or :data:`TILE_BYTES` bytes, or one longer text. So a group of copies costs as many comparisons as it has texts, and
     no pair of it is lost: two texts that are both similar to the first are joined by it.
     """
+    scratch.bound_batches(docs.sparkSession)
     content = F.col(text).cast("binary")
     schema = "node long, fp long, keys array<long>"
     made = docs.select(F.col(id_col).alias("id"), F.pandas_udf(_keys(size), schema)(content).alias("k"), *extra)
