@@ -28,7 +28,7 @@ BANDS, ROWS = 25, 5
 #: Texts of a chunk of a candidate group; a task compares at most two chunks.
 TILE = 4000
 #: Most bytes of texts of a chunk.
-TILE_BYTES = 32 << 20
+TILE_BYTES = 8 << 20
 #: Texts, and bytes of them, that are held against the first text of their group in one task.
 LED, LED_BYTES = 200, 8 << 20
 
