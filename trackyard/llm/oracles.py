@@ -51,3 +51,28 @@ SELECT o.doc_id, size, CAST(coalesce(t.n, 0) AS BIGINT) AS source_size, coalesce
   CAST(CASE WHEN size > 0 THEN size * (whole + CASE WHEN q IS NOT NULL AND run - size / 2 <= rest THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
 FROM o LEFT JOIN t ON o.source IS NOT DISTINCT FROM t.source
 """
+
+
+def _crc32(value: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a value as ASCII text: its bits, least first, through the reflected polynomial."""
+    bits = f"flatten(list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda c: list_transform(range(8), lambda k: CAST((ascii(c) >> CAST(k AS INT)) & 1 AS BIGINT))))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda r, b: xor(r >> 1, 3988292384 * (xor(r, b) & 1))), 4294967295)"
+
+
+OP12 = rf"""
+WITH s AS (SELECT doc_id, {_crc32("doc_id")} AS h, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents),
+a AS (SELECT *, h // 10 AS g, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM s),
+p AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END AS BIGINT) + 1]) END AS w FROM a),
+w AS (SELECT doc_id, n, unnest(w) AS w, unnest(range(n)) AS i FROM p),
+m AS (SELECT x.doc_id, x.i, x.i - y.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+z AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+r AS (SELECT doc_id, q, min(i) - q AS b, count(*) + q AS len FROM z GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT doc_id, b, len, min(q) AS q FROM r GROUP BY doc_id, b, len),
+best AS (SELECT doc_id, b, len, q FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(len AS DOUBLE) / q DESC, b, q) = 1),
+d AS (SELECT doc_id, count(*) AS n_runs, string_agg(b || ',' || len || ',' || q || chr(10), '' ORDER BY b, q) AS runs FROM u GROUP BY doc_id),
+lost AS (SELECT DISTINCT doc_id, unnest(range(b + q, b + len)) AS i FROM u),
+k AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS t FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id AND w.i = lost.i WHERE lost.i IS NULL GROUP BY w.doc_id)
+SELECT s.doc_id, coalesce(d.n_runs, 0) AS n_runs, best.b AS start, CAST(best.len AS BIGINT) AS length, best.q AS period, CAST(1000 * best.len // best.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(d.runs, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM s LEFT JOIN d ON s.doc_id = d.doc_id LEFT JOIN best ON s.doc_id = best.doc_id LEFT JOIN k ON s.doc_id = k.doc_id
+"""
