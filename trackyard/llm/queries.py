@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackyard.llm import decontaminate, hostrules, htmltext, linededup, mixing, ngramtrie, oracles, periodic, sharding, simhash, siteprior, suffixdedup
+from trackyard.llm import crossparse, decontaminate, hostrules, htmltext, linededup, mixing, ngramtrie, oracles, periodic, sharding, simhash, siteprior, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +69,19 @@ def op12_sparse_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"periodic.{c}" for c in ("n_runs", "start", "length", "period", "exponent_milli")], digest("periodic.runs"), digest("periodic.collapsed"))
 
 
+def op13_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held_out = crossparse.is_held_out("doc_id")
+    found = crossparse.with_language(docs, crossparse.learn(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_tree_scoring, op2_ngram_trie, op3_golay_simhash, op4_vector_sharding, op5_site_posteriors,
         op6_host_rules, op7_wu_manber, op8_line_dedup, op9_suffix_array, op10_pareto_mix,
-        op12_sparse_diagonal,
+        op12_sparse_diagonal, op13_cross_parsing,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op6_host_rules": oracles.OP6, "op8_line_dedup": oracles.OP8, "op10_pareto_mix": oracles.OP10, "op12_sparse_diagonal": oracles.OP12}
