@@ -59,6 +59,24 @@ def _crc32(value: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda r, b: xor(r >> 1, 3988292384 * (xor(r, b) & 1))), 4294967295)"
 
 
+OP11 = rf"""
+WITH t AS (SELECT conv_id AS c, turn, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS d, len(regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) - 1 AS pos FROM t),
+k AS (SELECT c, c - c % 20 AS base, {_crc32("c")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+m AS (SELECT k.c, 0 AS part, pos, d, w FROM k JOIN o ON k.base = o.c WHERE pos < h UNION ALL SELECT k.c, 1, pos, d, w FROM k JOIN o ON k.c = o.c WHERE pos >= h),
+s AS (SELECT c, w, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth, md5(string_agg(d, '') OVER (PARTITION BY c ORDER BY part, pos)) AS node FROM m),
+p AS (SELECT c, depth, node, lag(node, 1, '') OVER (PARTITION BY c ORDER BY depth) AS up, w FROM s UNION ALL SELECT c, 0, '', NULL, 0 FROM k),
+l AS (SELECT c, max_by(node, depth) AS node FROM p GROUP BY c),
+e AS (SELECT node, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends FROM l GROUP BY node),
+n AS (SELECT node, any_value(up) AS up, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own FROM p GROUP BY node),
+ch AS (SELECT up, count(*) AS n FROM n GROUP BY up),
+f AS (SELECT n.*, coalesce(ch.n, 0) AS n_children FROM n LEFT JOIN ch ON n.node = ch.up),
+b AS (SELECT DISTINCT x.node AS top, y.node FROM p x JOIN p y ON x.c = y.c AND y.depth >= x.depth),
+g AS (SELECT top, sum(own) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM b JOIN f USING (node) GROUP BY top)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(g.leaves AS BIGINT) AS n_leaves, CAST(g.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM f JOIN g ON f.node = g.top LEFT JOIN f u ON f.up = u.node LEFT JOIN e ON f.node = e.node
+"""
+
 OP12 = rf"""
 WITH s AS (SELECT doc_id, {_crc32("doc_id")} AS h, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents),
 a AS (SELECT *, h // 10 AS g, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM s),

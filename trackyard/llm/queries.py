@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackyard.llm import crossparse, decontaminate, hostrules, htmltext, linededup, mixing, ngramtrie, oracles, periodic, sharding, simhash, siteprior, suffixdedup
+from trackyard.llm import crossparse, decontaminate, hostrules, htmltext, linededup, mixing, ngramtrie, oracles, periodic, prefixtrie, sharding, simhash, siteprior, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op11_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.with_prefixes(_table(spark, sf_dir, "conversations"))
+
+
 def op12_sparse_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.with_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c.split('.')[1]}_sha256")
@@ -81,7 +85,7 @@ QUERIES = {
     for f in (
         op1_tree_scoring, op2_ngram_trie, op3_golay_simhash, op4_vector_sharding, op5_site_posteriors,
         op6_host_rules, op7_wu_manber, op8_line_dedup, op9_suffix_array, op10_pareto_mix,
-        op12_sparse_diagonal, op13_cross_parsing,
+        op11_prefix_forest, op12_sparse_diagonal, op13_cross_parsing,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_host_rules": oracles.OP6, "op8_line_dedup": oracles.OP8, "op10_pareto_mix": oracles.OP10, "op12_sparse_diagonal": oracles.OP12}
+ORACLE_SQL: dict[str, str] = {"op6_host_rules": oracles.OP6, "op8_line_dedup": oracles.OP8, "op10_pareto_mix": oracles.OP10, "op11_prefix_forest": oracles.OP11, "op12_sparse_diagonal": oracles.OP12}
