@@ -15,10 +15,21 @@ def join_predictions(truth: DataFrame, predicted: DataFrame, key: str = "event_i
     return truth.join(predicted, key)
 
 
-def attach_scores(events: DataFrame, scores: DataFrame, key: str = "event_id") -> DataFrame:
-    """Events with their scores; ``has_score`` is false where no slice holds the event."""
-    own = scores.withColumn("__there", F.lit(True))
-    return events.join(own, key, "left").withColumn("has_score", F.coalesce("__there", F.lit(False))).drop("__there")
+def attach_scores(events: DataFrame, scores: DataFrame, key: str = "event_id", complete: bool = False) -> DataFrame:
+    """Events with their scores; ``has_score`` is false where no slice holds the event.
+
+    A key that has scores twice is an error, which ends the job that reads it: it would make two events of one. With ``complete`` an event without scores is an error too, and so are scores without an event.
+    Scores are counted by key where they lie and joined in the same partitioning, so the check adds no shuffle; repeated rows are one row a task before they meet.
+    """
+    values = [c for c in scores.columns if c != key]
+    own = scores.groupBy(key).agg(F.count("*").alias("__n"), *[F.any_value(c).alias(c) for c in values])
+    rows = events.withColumn("__event", F.lit(True)).join(own, key, "full" if complete else "left")
+    name = F.concat(F.lit("event "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    fault = F.when(F.col("__n") > 1, F.concat(name, F.lit(" has scores "), F.col("__n").cast("string"), F.lit(" times")))
+    if complete:
+        fault = fault.when(F.col("__n").isNull(), F.concat(name, F.lit(" has no scores"))).when(F.col("__event").isNull(), F.concat(F.lit("there are scores of no "), name))
+    checked = rows.where(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault).cast("boolean")))
+    return checked.withColumn("has_score", F.col("__n").isNotNull()).select(*events.columns, *values, "has_score")
 
 
 def missing_scores(events: DataFrame, scores: DataFrame, key: str = "event_id") -> DataFrame:

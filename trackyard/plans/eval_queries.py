@@ -11,7 +11,7 @@ from trackyard.plans import views as V
 from trackyard.plans.event_queries import BAD, CAP, CUTS, REGIONS, bad_values, r6
 from trackyard.plans.register import register
 from trackyard.sources import tables
-from trackyard.streaming.multiplicity import multiplicity_stream
+from trackyard.streaming.multiplicity import fold_multiplicity, multiplicity_state, multiplicity_stream
 
 JETS, EV, PER, TGT, SC, MET = V.JETS, V.EV, V.PER, V.TGT, V.SC, V.MET
 
@@ -43,6 +43,14 @@ def j2(spark, d):
     return joins.attach_scores(V.events(spark, d), slices).select("event_id", "has_score", r6(F.get("scores", F.lit(1)), "tthbb"))
 
 
+@register("j2_complete_scores", V.sql("SELECT event_id, TRUE AS has_score, ROUND(tthbb, 7) AS tthbb, ROUND(weight, 7) AS weight FROM wide", EV, SC))
+def j2_complete(spark, d):
+    """Every event has its scores once, else the query is an error."""
+    rows = V.scored(spark, d).select("event_id", "scores")
+    both = joins.attach_scores(V.events(spark, d), rows.where("event_id % 10 <> 3").union(rows.where("event_id % 10 = 3")), complete=True)
+    return both.select("event_id", "has_score", r6(F.get("scores", F.lit(1)), "tthbb"), r6("weight"))
+
+
 @register("j2_missing_scores", V.sql("SELECT event_id FROM ev WHERE event_id % 10 = 3", EV))
 def j2_missing(spark, d):
     return joins.missing_scores(V.events(spark, d), V.scored(spark, d).where("event_id % 10 <> 3")).select("event_id")
@@ -436,15 +444,80 @@ def x1(spark, d):
     return scoring.score_events(n, scoring.linear_softmax(W, B), "v").select("event_id", r6(F.col("scores")[0], "first"), r6(F.col("scores")[2], "last"))
 
 
+#: Of jets (pt, eta, btag) and of events (njet, nb), for three classes.
+WJ, WE, BE = np.array([[0.001, 0.0, -0.001], [0.25, -0.5, 0.0], [0.0, 0.5, 1.0]]), np.array([[0.125, 0.0, -0.125], [-0.25, 0.25, 0.5]]), np.array([0.0, 0.25, -0.5])
+
+
+def _inputs(spark, d):
+    """Padded jets with their mask and event features, as a network takes them."""
+    n = V.counted(spark, d).select("event_id", "njet", "nb", "jets")
+    pads = {f: C.pad_clip(F.col(f"jets.{f}").cast("array<double>"), CAP, 0.0) for f in ("pt", "eta", "btag")}
+    parts = n.select("event_id", F.struct(F.struct(*[c.alias(f) for f, c in pads.items()], C.mask_from_pt(pads["pt"]).alias("MASK")).alias("Jet"), F.struct(F.col("njet").cast("double").alias("njet"), F.col("nb").cast("double").alias("nb")).alias("Event")).alias("inputs"))
+    stacked = tensors.stack_features(parts, {"Jet": ["pt", "eta", "btag"]}, {"Event": ["njet", "nb"]})
+    return stacked.select("event_id", "Jet_data", "Jet_mask", F.element_at("Event_data", 1).alias("Event_data"))
+
+
+FEED = {"jets": "Jet_data", "mask": "Jet_mask", "event": "Event_data"}
+NET = scoring.masked_linear(WJ, WE, BE, "jets", "mask", "event")
+PADDED = f"""seen AS (SELECT event_id, avg(CAST(pt AS DOUBLE)) AS pt, avg(CAST(eta AS DOUBLE)) AS eta, avg(CAST(btag AS DOUBLE)) AS btag FROM jets WHERE pos < {CAP} AND pt <> 0 GROUP BY event_id),
+x AS (SELECT per.event_id, coalesce(pt, 0) AS pt, coalesce(eta, 0) AS eta, coalesce(btag, 0) AS btag, njet, nb FROM per LEFT JOIN seen ON per.event_id = seen.event_id),
+z AS (SELECT event_id, 0.001::DOUBLE * pt + 0.25::DOUBLE * eta + 0.125::DOUBLE * njet - 0.25::DOUBLE * nb AS a, -0.5::DOUBLE * eta + 0.5::DOUBLE * btag + 0.25::DOUBLE * nb + 0.25::DOUBLE AS b,
+  -0.001::DOUBLE * pt + btag - 0.125::DOUBLE * njet + 0.5::DOUBLE * nb - 0.5::DOUBLE AS c FROM x),
+net AS (SELECT event_id, 1 / (1 + exp(b - a) + exp(c - a)) AS first, 1 / (1 + exp(a - c) + exp(b - c)) AS last FROM z)"""
+
+
+@register("x1_score_inputs", V.sql("SELECT event_id, ROUND(first, 7) AS first, ROUND(last, 7) AS last FROM net", JETS, EV, PER, PADDED))
+def x1_inputs(spark, d):
+    found = scoring.score_inputs(_inputs(spark, d), NET, FEED, batch=500)
+    return found.select("event_id", r6(F.col("scores")[0], "first"), r6(F.col("scores")[2], "last"))
+
+
+@register("x1_resumed_slices", V.sql("SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) * 6 - 1) // (SELECT count(*) FROM ev) AS INT) AS slice, ROUND(first, 7) AS first, ROUND(last, 7) AS last FROM net", JETS, EV, PER, PADDED))
+def x1_slices(spark, d):
+    """Scored in two runs: the second takes up what the first has left."""
+    rows, path = tables.cut(_inputs(spark, d)), tables.workspace(spark)
+    scoring.score_slices(rows, NET, FEED, path, 6, most=3)
+    scoring.score_slices(rows, NET, FEED, path, 6)
+    return scoring.merged_slices(spark, path).select("event_id", "slice", r6(F.col("scores")[0], "first"), r6(F.col("scores")[2], "last"))
+
+
 @register("x2_quantile_transform", V.sql("SELECT event_id, ROUND(u, 7) AS u FROM tr", EV, SC, QUANT, THROUGH))
 def x2(spark, d):
     return _through(spark, d).select("event_id", r6("u"))
 
 
-@register("r1_multiplicity_stream", V.sql("SELECT sample, njet AS n, count(*) AS events FROM per GROUP BY sample, njet", JETS, EV, PER))
+#: A normal target is infinite at both ends, and so up to the next quantile.
+NORMAL = "SELECT event_id, u < 1 / 50.0::DOUBLE AS low, u > 49 / 50.0::DOUBLE AS high, ROUND(u, 7) AS u FROM tr"
+
+
+@register("x2_merged_quantiles", V.sql(NORMAL, EV, SC, QUANT, THROUGH))
+def x2_merged(spark, d):
+    """The same through the merge that tables above the bound take, with the ends of a normal target."""
+    table = tables.cut(_quantiles(spark, d))
+    rows = V.wide(spark, d).select("event_id", "tthbb")
+    both = scoring.quantile_transform(scoring.merge_quantiles(rows, table, "tthbb", "u"), table, "tthbb", "z", "normal", most=1)
+    inf = float("inf")
+    return both.select("event_id", (F.col("z") == -inf).alias("low"), (F.col("z") == inf).alias("high"), r6("u"))
+
+
+COUNTED = "SELECT sample, njet AS n, count(*) AS events FROM per GROUP BY sample, njet"
+
+
+@register("r1_multiplicity_stream", V.sql(COUNTED, JETS, EV, PER))
 def r1(spark, d):
     n = V.nested(spark, d).select("event_id", "sample", "jets")
     path = tables.workspace(spark)
     n.repartition(3).write.parquet(path)
-    return multiplicity_stream(spark, path, n.schema, ["sample"], F.size("jets.pt"), f"multiplicity_{abs(hash(path))}", 1)
+    return multiplicity_stream(spark, path, n.schema, ["sample"], F.size("jets.pt"), tables.workspace(spark), 1)
 
+
+@register("r1_resumed_stream", V.sql("SELECT c.*, r.rows AS second_read FROM (" + COUNTED + ") c, (SELECT count(*) AS rows FROM ev WHERE event_id % 3 = 0) r", JETS, EV, PER))
+def r1_resumed(spark, d):
+    """Files of a second call are added to the state of the first; ``second_read`` counts the rows that it reads."""
+    n = V.nested(spark, d).select("event_id", "sample", "jets")
+    path, state = tables.workspace(spark), tables.workspace(spark)
+    n.where("event_id % 3 > 0").repartition(2).write.parquet(path)
+    multiplicity_stream(spark, path, n.schema, ["sample"], F.size("jets.pt"), state)
+    n.where("event_id % 3 = 0").repartition(2).write.mode("append").parquet(path)
+    second = fold_multiplicity(spark, path, n.schema, ["sample"], F.size("jets.pt"), state)
+    return multiplicity_state(spark, state).withColumn("second_read", F.lit(second).cast("long"))
