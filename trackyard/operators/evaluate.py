@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackyard.functions import columns as C
 from trackyard.operators.prefix import running_sums
 from trackyard.operators.tensors import CLASSES
+from trackyard.sources.tables import lookup
 
 
 def confusion_counts(df: DataFrame, truth: str = "signal", predicted: str = "predicted", weight: Column | None = None) -> DataFrame:
@@ -95,14 +96,27 @@ def score_correlation(df: DataFrame, names: Sequence[str], by: str) -> DataFrame
     return wide.select(by, F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)])).alias("r")).select(by, "r.*")
 
 
+def two_classes(df: DataFrame, scores: Mapping[int, str], truth: str = "signal", weight: str = "weight") -> DataFrame:
+    """(is_true, score, weight) of the events of two classes alone: the first is the truth, its score its share of both. ``scores`` are the codes and score columns of the two."""
+    (code, first), (other, second) = scores.items()
+    rows = df.where(F.col(truth).isin(code, other))
+    return rows.select((F.col(truth) == code).alias("is_true"), F.try_divide(F.col(first), F.col(first) + F.col(second)).alias("score"), F.col(weight).alias("weight"))
+
+
+def named_scores(df: DataFrame, scores: Sequence[str], is_true: Column, weight: str = "weight") -> DataFrame:
+    """(score_name, is_true, score, weight): a row for each event and score column, all against one truth."""
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("score_name"), F.col(c).cast("double").alias("score")) for c in scores]))
+    return df.select(is_true.alias("is_true"), F.col(weight).alias("weight"), rows.alias("__r")).select("__r.score_name", "is_true", "__r.score", "weight")
+
+
 def roc_points(df: DataFrame, by: str | None = None, score: str = "score", truth: str = "is_true", weight: str = "weight") -> DataFrame:
     """(by, score, fpr, tpr): a point for each distinct score, from high to low. Weights are summed by score before any order is made."""
     groups = [by] if by else []
     w = F.col(weight)
     distinct = df.groupBy(*groups, score).agg(F.sum(F.when(F.col(truth), w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(truth), 0.0).otherwise(w)).alias("n"))
     run = running_sums(distinct, [F.desc(score)], {"tp": "p", "fp": "n"}, groups)
-    totals = run.groupBy(*[F.col(g).alias(f"__{g}") for g in groups]).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    joined = run.join(F.broadcast(totals), F.col(by).eqNullSafe(F.col(f"__{by}"))) if by else run.crossJoin(F.broadcast(totals))
+    totals = lookup(run.groupBy(*[F.col(g).alias(f"__{g}") for g in groups]).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg")))
+    joined = run.join(totals, F.col(by).eqNullSafe(F.col(f"__{by}"))) if by else run.crossJoin(totals)
     return joined.select(*groups, score, F.try_divide("fp", "neg").alias("fpr"), F.try_divide("tp", "pos").alias("tpr"), "p", "n", "tp", "fp", "pos", "neg")
 
 

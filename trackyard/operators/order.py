@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackyard.functions.columns import shuffle_key
 from trackyard.operators.prefix import running_sums
+from trackyard.sources.io import in_hash_buckets
 from trackyard.sources.tables import lookup
 
 
@@ -67,9 +67,9 @@ def stitch_versions(df: DataFrame, version: str = "version", epoch: str = "epoch
     return df.join(shift, F.col(version) == F.col("__v")).withColumn("global_epoch", F.col(epoch) + F.col("__shift")).drop("__v", "__shift")
 
 
-def shuffle(df: DataFrame, seed: int | str, key: str = "event_id") -> DataFrame:
-    """Rows in a seeded random order: a range-partitioned sort by hash."""
-    return df.orderBy(shuffle_key(seed, F.col(key)), key)
+def shuffle(df: DataFrame, seed: int | str, key: str = "event_id", buckets: int | None = None) -> DataFrame:
+    """Rows in a seeded random order over partitions: one shuffle by hash ranges, and a sort in each (:func:`in_hash_buckets`)."""
+    return in_hash_buckets(df, seed, key, buckets)
 
 
 def contiguous_slices(df: DataFrame, n_jobs: int, key: str = "event_id") -> DataFrame:
@@ -81,6 +81,16 @@ def contiguous_slices(df: DataFrame, n_jobs: int, key: str = "event_id") -> Data
     return df.withColumn("slice", sum(((F.col(key) >= x).cast("int") for x in firsts), F.lit(0)))
 
 
+def local_index(df: DataFrame, values: str, index: str = "pos", value: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """A row for each object of an event with its position, from 0; events without objects have none. ``values`` is an array, or a field of an array of records; ``keep`` are the columns beside (default: ``event_id``)."""
+    return df.select(*(keep or ["event_id"]), F.posexplode(values).alias(index, value))
+
+
+def with_local_index(df: DataFrame, jets: str = "jets", index: str = "pos") -> DataFrame:
+    """Objects with their position as a field of their own."""
+    return df.withColumn(jets, F.transform(jets, lambda j, i: j.withField(index, i)))
+
+
 def first_n(df: DataFrame, n: int, key: str = "event_id") -> DataFrame:
     """The first ``n`` rows by key."""
     return df.orderBy(key).limit(n)

@@ -18,34 +18,44 @@ def multiplicity(df: DataFrame, keys: Sequence[str], count: Column) -> DataFrame
     return df.groupBy(*keys, count.cast("int").alias("n")).agg(F.count("*").alias("events"))
 
 
-def discrete_percentiles(hist: DataFrame, keys: Sequence[str], max_bin: int = 40, quantiles: Mapping[str, float] = QUANTILES) -> DataFrame:
-    """The least count k whose cumulative number of events is over q * (events - 1); the minimum at q <= 0, the maximum at q >= 1 and beyond the bins."""
+def _cumulated(hist: DataFrame, keys: Sequence[str], max_bin: int) -> DataFrame:
+    """``hist`` with the events up to each bin, and all of its keys. A window over the few rows of a histogram."""
     run = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
     inside = F.when(F.col("n").between(0, max_bin), F.col("events")).otherwise(0)
-    h = hist.withColumn("__cum", F.sum(inside).over(run)).withColumn("__all", F.sum("events").over(whole))
+    return hist.withColumns({"__cum": F.sum(inside).over(run), "__all": F.sum("events").over(Window.partitionBy(*keys))})
+
+
+def _percentiles(max_bin: int, quantiles: Mapping[str, float]) -> list[Column]:
     out = []
     for name, q in quantiles.items():
         found = F.min(F.when((F.col("__cum") > q * (F.col("__all") - 1)) & F.col("n").between(0, max_bin), F.col("n")))
         value = F.min("n") if q <= 0 else F.max("n") if q >= 1 else F.coalesce(found, F.greatest(F.lit(max_bin), F.max("n")))
         out.append(value.cast("double").alias(name))
-    return h.groupBy(*keys).agg(*out)
+    return out
+
+
+def discrete_percentiles(hist: DataFrame, keys: Sequence[str], max_bin: int = 40, quantiles: Mapping[str, float] = QUANTILES) -> DataFrame:
+    """The least count k whose cumulative number of events is over q * (events - 1); the minimum at q <= 0, the maximum at q >= 1 and beyond the bins."""
+    return _cumulated(hist, keys, max_bin).groupBy(*keys).agg(*_percentiles(max_bin, quantiles))
+
+
+def exact_quantiles(hist: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles of a multiplicity, exact: from the events of each count, not from a row an event."""
+    q = hist.groupBy(*keys).agg(F.percentile("n", [float(x) for x in quantiles.values()], F.col("events")).alias("__q"))
+    return q.select(*keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(quantiles)])
 
 
 def multiplicity_stats(hist: DataFrame, keys: Sequence[str], max_bin: int = 40) -> DataFrame:
-    """n_events, min, max, mean, percentiles, shares of 16 and more and of over 16 objects, and events beyond ``max_bin``."""
+    """n_events, min, max, mean, percentiles, shares of 16 and more and of over 16 objects, and events beyond ``max_bin``, from one pass over the histogram."""
     e = F.col("events")
     total = F.sum("events")
-    base = hist.groupBy(*keys).agg(
+    return _cumulated(hist, keys, max_bin).groupBy(*keys).agg(
         total.alias("n_events"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), (F.sum(F.col("n") * e) / total).alias("mean"),
         (F.sum(F.when(F.col("n") >= 16, e).otherwise(0)) / total).alias("frac_ge16"),
         (F.sum(F.when(F.col("n") > 16, e).otherwise(0)) / total).alias("frac_gt16"),
         F.sum(F.when(F.col("n") > max_bin, e).otherwise(0)).alias("overflow"),
+        *_percentiles(max_bin, QUANTILES),
     )
-    tiles = discrete_percentiles(hist, keys, max_bin)
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    joined = base.alias("a").join(tiles.alias("b"), on) if keys else base.alias("a").crossJoin(tiles.alias("b"))
-    return joined.select("a.*", *[f"b.{q}" for q in QUANTILES])
 
 
 def overall_and_per_chunk(hist: DataFrame, chunk: str) -> DataFrame:
@@ -187,3 +197,19 @@ def require_weight_invariant(df: DataFrame, data: str = "is_data") -> DataFrame:
     """``df``, where a data row whose weight was changed is an error."""
     changed = F.col(data) & ~F.col("weight").eqNullSafe(F.col("weight_original"))
     return df.withColumn("weight", F.when(changed, F.raise_error(F.lit("a data weight was changed")).cast("double")).otherwise(F.col("weight")))
+
+
+def unmatched_fraction(df: DataFrame, by: Sequence[str], codes: str = "jets.prov", unmatched: int = -1, weight: str = "weight") -> DataFrame:
+    """(by, unmatched, mean_weight): the share of objects without a match, and the mean of the positive weights of events. One grouped pass: objects are counted in their event, not exploded."""
+    n, lost = F.size(codes), F.size(F.filter(codes, lambda c: c == unmatched))
+    own = df.select(*by, n.alias("n"), lost.alias("lost"), F.when(F.col(weight) > 0, F.col(weight)).alias("w"))
+    return own.groupBy(*by).agg(F.try_divide(F.sum(F.when(F.col("n") > 0, F.col("lost"))).cast("double"), F.sum(F.when(F.col("n") > 0, F.col("n")))).alias("unmatched"), F.avg("w").alias("mean_weight"))
+
+
+def weight_histogram(df: DataFrame, by: Sequence[str] = (), weight: str = "weight", low: float = -1.0, high: float = 1.0, bins: int = 50) -> DataFrame:
+    """(by, bin, low, high, events): events in equal bins of their weight, the last with its right edge, and those below (bin -1) and above (bin ``bins``); NaN and null weights have a null bin. Bins without events have no row."""
+    w = F.col(weight)
+    at = F.coalesce(C.histogram_bin(w, low, high, bins), F.when(w < low, -1).when((w > high) & ~F.isnan(w), bins))
+    width = (high - low) / bins
+    edges = {"low": F.when(F.col("bin") >= 0, F.lit(low) + F.col("bin") * F.lit(width)), "high": F.when(F.col("bin") < bins, F.lit(low) + (F.col("bin") + 1) * F.lit(width))}
+    return df.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("events")).select(*by, "bin", *[c.alias(n) for n, c in edges.items()], "events")

@@ -123,7 +123,7 @@ def _rounded(df, *keys):
 
 
 def _hist(spark, d):
-    return stats.multiplicity(V.nested(spark, d), ["sample"], F.size("jets.pt"))
+    return stats.multiplicity(V.jet_counts(spark, d), ["sample"], F.col("njet"))
 
 
 @register("a1_multiplicity_stats", V.sql(stats_sql("hist", "sample"), JETS, EV, PER, HIST))
@@ -148,8 +148,8 @@ def a4(spark, d):
 
 @register("a5_exact_quantiles", V.sql("SELECT sample, ROUND(quantile_cont(njet, 0.25), 7) AS q25, ROUND(quantile_cont(njet, 0.5), 7) AS q50, ROUND(quantile_cont(njet, 0.99), 7) AS q99 FROM per GROUP BY sample", JETS, EV, PER))
 def a5(spark, d):
-    n = _hist(spark, d).groupBy("sample").agg(F.expr("percentile(n, array(0.25, 0.5, 0.99), events)").alias("q"))
-    return n.select("sample", r6(F.col("q")[0], "q25"), r6(F.col("q")[1], "q50"), r6(F.col("q")[2], "q99"))
+    n = stats.exact_quantiles(_hist(spark, d), ["sample"], {"q25": 0.25, "q50": 0.5, "q99": 0.99})
+    return n.select("sample", r6("q25"), r6("q50"), r6("q99"))
 
 
 @register("a6_masked_multiplicity", V.sql(f"SELECT least(njet, {CAP}) AS n, coalesce(m, 0) AS matched, count(*) AS events FROM per LEFT JOIN (SELECT event_id AS e, CAST(count(*) AS INT) AS m FROM jets WHERE prov > 0 GROUP BY event_id) ON per.event_id = e GROUP BY ALL", JETS, EV, PER))
@@ -286,6 +286,26 @@ def a18_auc(spark, d):
     return evaluate.auc(evaluate.roc_points(_truth_rows(spark, d), "class"), "class").select("class", r6("auc"))
 
 
+#: Two classes only: events of either, by the share of one in both. Then the signal by each derived score.
+TWO = "truth AS (SELECT CAST(1 AS INT) AS class, signal = 1 AS is_true, ROUND(tthbb / (tthbb + ttbb), 9) AS score, abs(weight) AS w FROM wide WHERE signal IN (1, 5))"
+DERIVED = """truth AS (SELECT k AS class, signal = 1 AS is_true, ROUND(CASE k WHEN 'tthbb_vs_ttbb' THEN tthbb / (tthbb + ttbb + 1e-6::DOUBLE) WHEN 'tthbb_vs_qcd_ttbb' THEN tthbb / (tthbb + ttbb + qcd + 1e-6::DOUBLE)
+  ELSE tthbb / (tthbb + ttbb + qcd + ttlf + ttcc + 1e-6::DOUBLE) END, 9) AS score, abs(weight) AS w FROM wide, (SELECT unnest(['tthbb_vs_ttbb', 'tthbb_vs_qcd_ttbb', 'tthbb_vs_qcd_ttbar']) AS k))"""
+
+
+@register("a18_restricted_roc", V.sql("SELECT ROUND(score, 9) AS score, ROUND(fp / neg, 7) AS fpr, ROUND(tp / pos, 7) AS tpr FROM roc", EV, SC, TWO, ROC))
+def a18_two(spark, d):
+    rows = evaluate.two_classes(V.wide(spark, d).withColumn("weight", F.abs("weight")), {1: "tthbb", 5: "ttbb"})
+    points = evaluate.roc_points(rows.withColumn("score", F.round("score", 9)))
+    return points.select(F.round("score", 9).alias("score"), r6("fpr"), r6("tpr"))
+
+
+@register("a18_derived_auc", V.sql("SELECT class AS score_name, ROUND(sum(n / neg * (tp - p / 2) / pos), 7) AS auc FROM roc GROUP BY class", EV, SC, DERIVED, ROC))
+def a18_derived(spark, d):
+    rows = evaluate.named_scores(tensors.derived_scores(V.wide(spark, d)).withColumn("weight", F.abs("weight")), ["tthbb_vs_ttbb", "tthbb_vs_qcd_ttbb", "tthbb_vs_qcd_ttbar"], F.col("signal") == 1)
+    points = evaluate.roc_points(rows.withColumn("score", F.round("score", 9)), "score_name")
+    return evaluate.auc(points, "score_name").select("score_name", r6("auc"))
+
+
 @register("a19_binned_significance", V.sql("SELECT bin, ROUND(CASE WHEN b > 0 THEN s / sqrt(b) ELSE 0 END, 7) AS value FROM (SELECT CAST(least(floor(tthbb * 30), 29) AS INT) AS bin, sum(CASE WHEN signal = 1 THEN weight ELSE 0 END) AS s, sum(CASE WHEN signal = 1 THEN 0 ELSE weight END) AS b FROM wide GROUP BY 1)", EV, SC))
 def a19(spark, d):
     return evaluate.binned_significance(V.wide(spark, d), "tthbb", F.col("signal") == 1).select("bin", r6("value"))
@@ -384,10 +404,13 @@ def a30(spark, d):
 
 @register("a31_unmatched_fraction", V.sql("SELECT sample, ROUND(avg(CASE WHEN prov = -1 THEN 1.0::DOUBLE ELSE 0 END), 7) AS unmatched, (SELECT ROUND(avg(weight), 7) FROM ev e WHERE weight > 0 AND e.sample = ev.sample) AS mean_weight FROM ev JOIN jets USING (event_id) GROUP BY sample", JETS, EV))
 def a31(spark, d):
-    n = V.nested(spark, d)
-    jets_ = n.select("sample", F.explode("jets.prov").alias("prov")).groupBy("sample").agg(r6(F.avg((F.col("prov") == -1).cast("double")), "unmatched"))
-    weights = n.where("weight > 0").groupBy("sample").agg(r6(F.avg("weight"), "mean_weight"))
-    return jets_.join(weights, "sample")
+    return stats.unmatched_fraction(V.nested(spark, d), ["sample"]).select("sample", r6("unmatched"), r6("mean_weight"))
+
+
+@register("a31_weight_histogram", V.sql("""SELECT sample, bin, CASE WHEN bin >= 0 THEN ROUND(-1 + bin * (2 / 50.0::DOUBLE), 7) END AS low, CASE WHEN bin < 50 THEN ROUND(-1 + (bin + 1) * (2 / 50.0::DOUBLE), 7) END AS high, count(*) AS events
+  FROM (SELECT sample, CAST(CASE WHEN weight < -1 THEN -1 WHEN weight > 1 THEN 50 ELSE least(floor((CAST(weight AS DOUBLE) + 1) / (2 / 50.0::DOUBLE)), 49) END AS INT) AS bin FROM ev) GROUP BY sample, bin""", EV))
+def a31_weights(spark, d):
+    return stats.weight_histogram(V.events(spark, d), ["sample"]).select("sample", "bin", r6("low"), r6("high"), "events")
 
 
 QUANT = """dist AS (SELECT ROUND(tthbb, 9) AS x, sum(abs(weight)) AS w FROM wide GROUP BY 1), cum AS (SELECT x, sum(w) OVER (ORDER BY x) / sum(w) OVER () AS sh FROM dist),

@@ -73,10 +73,21 @@ def s4(spark, d):
 def s5(spark, d):
     a, b = tables.workspace(spark), tables.workspace(spark)
     V.events(spark, d).repartition(12).write.parquet(a)
-    io.compact_folder(spark, a, b, 2)
+    io.compact_folder(spark, a, b)
     return spark.read.parquet(b).agg(F.count("*").alias("events"), r6(F.sum("weight"), "weight"))
 
 
+@register("s5_compact_by_bytes", V.sql("SELECT event_id, sample, ROUND(weight, 7) AS weight, 4 AS files, TRUE AS even FROM ev", EV))
+def s5_bytes(spark, d):
+    """All rows after 40 files have become four, and whether each has the mean size to within 20 %."""
+    a, b = tables.workspace(spark), tables.workspace(spark)
+    V.events(spark, d).repartition(40, "event_id").write.parquet(a)
+    total = io.listing(spark, a, "*.parquet").agg(F.sum("n_bytes")).first()[0]
+    files = io.compact_folder(spark, a, b, -(-total // 4))
+    size = io.listing(spark, b, "*.parquet").agg(((F.max("n_bytes") <= 1.2 * F.avg("n_bytes")) & (F.min("n_bytes") >= 0.8 * F.avg("n_bytes"))).alias("even"))
+    return spark.read.parquet(b).select("event_id", "sample", r6("weight"), F.lit(files).alias("files")).crossJoin(F.broadcast(size))
+
+
 @register("s6_standardize_schema", V.sql("SELECT count(*) AS events, CAST(2 * sum(njet) AS BIGINT) AS jets FROM per WHERE event_id % 2 = 0 UNION ALL SELECT count(*), CAST(sum(njet) AS BIGINT) FROM per WHERE event_id % 2 = 1", JETS, EV, PER))
 def s6(spark, d):
     n = _flat(spark, d)
@@ -109,6 +120,16 @@ def s9(spark, d):
     return spark.read.schema("tag string, n long, min_step long, max_step long").json(f"{_series(spark, d)}/summary")
 
 
+@register("s9_series_order", V.sql("SELECT tag, step, ROUND(wall_time, 6) AS wall_time, ROUND(value, 7) AS value, row_number() OVER (PARTITION BY tag ORDER BY step, wall_time, value) AS place FROM met", MET))
+def s9_order(spark, d):
+    """Every row of every tag with its place over the files of its tag in order of name."""
+    path = _series(spark, d)
+    rows = spark.read.schema("step long, wall_time double, value double, tag string").option("header", True).csv(f"{path}/series")
+    lines = rows.select("tag", "step", "wall_time", "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    counted = running_sums(lines.withColumn("one", F.lit(1).cast("long")), [F.col("file"), F.col("at"), F.col("line")], {"place": "one"}, ["tag"])
+    return counted.select("tag", "step", F.round("wall_time", 6).alias("wall_time"), r6("value"), "place")
+
+
 @register("s10_write_scored_events", V.sql("SELECT count(*) AS events, ROUND(sum(tthbb/(tthbb+ttbb+1e-6::DOUBLE)), 4) AS derived FROM wide", EV, SC))
 def s10(spark, d):
     path = tables.workspace(spark)
@@ -122,6 +143,20 @@ def s11(spark, d):
     return found.select(F.regexp_extract("dataset", r"(\w+)\.parquet$", 1).alias("dataset"), "ok", "n_rows")
 
 
+@register("s11_file_health", "SELECT TRUE AS ok, 4 AS files, count(*) AS n_rows, CAST(NULL AS VARCHAR) AS error FROM orders UNION ALL SELECT FALSE, 2, NULL, 'no footer can be read'")
+def s11_files(spark, d):
+    """A folder of four good files and two that are no Parquet: all six are told."""
+    path = tables.workspace(spark)
+    orders = V.table(spark, d, "orders")
+    orders.repartition(4).write.parquet(f"{path}/good")
+    made = orders.select(F.col("o_orderkey").cast("string")).repartition(2)
+    made.write.text(f"{path}/texts")
+    for k, name in enumerate(sorted(r["path"] for r in io.listing(spark, f"{path}/texts", "*.txt").collect())):
+        io.rename(spark, name, f"{path}/bad-{k}.parquet")
+    found = io.file_health(spark, path).groupBy("ok").agg(F.count("*").cast("int").alias("files"), F.sum("n_rows").alias("n_rows"), F.max("error").alias("error"))
+    return found.select("ok", "files", "n_rows", "error")
+
+
 @register("s12_write_report", V.sql("SELECT sample, count(*) AS events FROM ev GROUP BY sample", EV))
 def s12(spark, d):
     path = tables.workspace(spark)
@@ -479,6 +514,14 @@ def w3(spark, d):
     return order.entry_stop(V.events(spark, d), 700, "sample").select("event_id")
 
 
+@register("w3_first_rows", V.sql("SELECT event_id, row_number() OVER (PARTITION BY sample ORDER BY event_id) - 1 AS row_index FROM ev QUALIFY row_number() OVER (ORDER BY sample, event_id) <= 700", EV))
+def w3_files(spark, d):
+    """The budget over files, a sample in each: those beyond it are not opened."""
+    path = tables.workspace(spark)
+    V.events(spark, d).repartition("sample").sortWithinPartitions("sample", "event_id").write.partitionBy("sample").parquet(path)
+    return io.first_rows(spark, path, 700).select("event_id", "row_index")
+
+
 @register("w4_stitch_versions", V.sql("""SELECT version, step, epoch + coalesce(sh, 0) AS global_epoch FROM marks JOIN (SELECT version AS v, CAST(sum(n) OVER (ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS sh
   FROM (SELECT version, max(epoch) + 1 AS n FROM marks GROUP BY version)) ON version = v""", MET))
 def w4(spark, d):
@@ -499,7 +542,7 @@ def w6(spark, d):
 
 @register("w7_local_index", V.sql("SELECT event_id, pos, prov FROM jets", JETS))
 def w7(spark, d):
-    return V.nested(spark, d).select("event_id", F.posexplode("jets.prov").alias("pos", "prov"))
+    return order.local_index(V.nested(spark, d), "jets.prov", value="prov")
 
 
 @register("k1_first_n", V.sql("SELECT event_id, sample FROM ev ORDER BY event_id LIMIT 100", EV))

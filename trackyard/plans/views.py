@@ -76,6 +76,12 @@ def nested(spark: SparkSession, d: str) -> DataFrame:
     return build.nest_objects(events(spark, d), jets(spark, d), "jets", JET_FIELDS)
 
 
+def jet_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events with njet: jets are counted by event, not nested."""
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.count("*").cast("int").alias("njet"))
+    return events(spark, d).join(n, "event_id", "left").fillna(0, ["njet"])
+
+
 def counted(spark: SparkSession, d: str) -> DataFrame:
     """Nested events with njet and nb."""
     n = nested(spark, d)

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackyard.functions import columns as C
 from trackyard.functions.columns import shuffle_key
+from trackyard.sources import tables
 
 METRIC_FILE = "step long, wall_time double, value double"
+NO_FOOTER = "no footer can be read"
 
 
 def read_ntuples(spark: SparkSession, path: str, merge: bool = False) -> DataFrame:
@@ -34,15 +38,32 @@ def write_events(df: DataFrame, path: str, by_sample: bool = False) -> None:
     (writer.partitionBy("sample") if by_sample else writer).parquet(path)
 
 
-def write_training_set(df: DataFrame, path: str, seed: int | str = 0, key: str = "event_id") -> DataFrame:
+def in_hash_buckets(df: DataFrame, seed: int | str, key: str = "event_id", buckets: int | None = None, first: Sequence[str] = ()) -> DataFrame:
+    """``df`` in a seeded random order by one shuffle, without the sampling pass of a sort: partition k holds the k-th of ``buckets`` equal ranges of the key's hash.
+
+    Hashes are even whatever the keys are, so the ranges need no sample, and rows are made once. Within a partition rows are sorted by ``first``, hash and key; written files are in order of name.
+    A key that is there often has all its rows in one bucket: keys are meant to be unique.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The first 60 bits: their order is that of the hash, and a number sorts faster than its 32 digits.
+    mark = F.conv(F.substring(shuffle_key(seed, F.col(key)), 1, 15), 16, 10).cast("long")
+    bucket = F.shiftright(F.shiftright(F.col("__h"), 30) * n, 30).cast("int")
+    return df.withColumn("__h", mark).repartitionById(n, bucket).sortWithinPartitions(*first, "__h", key).drop("__h")
+
+
+def write_training_set(df: DataFrame, path: str, seed: int | str = 0, key: str = "event_id", buckets: int | None = None) -> DataFrame:
     """Train and test rows as nested Parquet by ``split``, those of each split in a seeded random order, and their counts as a table beside them, which is returned.
 
-    The sort starts with the split, as the writer wants it, so no sort of its own comes after. Files of a split follow each other in order of name.
+    Rows are dealt by :func:`in_hash_buckets` and sorted by split within each, so a bucket writes its part of every split in one pass. Files of a split follow each other in order of name;
+    ``buckets`` beside them tells the rows of each.
     """
     split = F.coalesce("split", F.lit("none"))  # never null, so that the writer takes the column as it is
-    rows = df.withColumn("split", split).orderBy("split", shuffle_key(seed, F.col(key)), key)
+    rows = in_hash_buckets(df.withColumn("split", split), seed, key, buckets, ["split"])
     rows.write.mode("errorifexists").partitionBy("split").parquet(f"{path}/rows")
-    counts = df.sparkSession.read.parquet(f"{path}/rows").groupBy("split").agg(F.count("*").alias("rows"))
+    # Files without columns are counted by their footers.
+    files = df.sparkSession.read.parquet(f"{path}/rows").groupBy("split", F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
+    files.coalesce(1).write.mode("errorifexists").parquet(f"{path}/buckets")
+    counts = df.sparkSession.read.parquet(f"{path}/buckets").groupBy("split").agg(F.sum("rows").alias("rows"))
     counts.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
     return df.sparkSession.read.parquet(f"{path}/manifest")
 
@@ -56,9 +77,33 @@ def write_masked(df: DataFrame, path: str, masks: Mapping[str, str]) -> DataFram
     return df.sparkSession.read.parquet(f"{path}/counts")
 
 
-def compact_folder(spark: SparkSession, source: str, target: str, files: int = 8) -> None:
-    """The files of a folder as ``files`` larger ones, under the schema that Spark reads from the folder."""
-    spark.read.option("mergeSchema", "false").parquet(source).coalesce(files).write.mode("errorifexists").parquet(target)
+def listing(spark: SparkSession, paths: str | Sequence[str], glob: str = "*") -> DataFrame:
+    """(path, n_bytes) of each file under the paths: a listing only, contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(paths)
+    return files.select("path", F.col("length").alias("n_bytes"))
+
+
+def rename(spark: SparkSession, path: str, target: str) -> None:
+    """Move a file within its store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(at, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"could not move {path} to {target}")
+
+
+def compact_folder(spark: SparkSession, source: str, target: str, target_bytes: int = 128 << 20) -> int:
+    """The files of a folder as larger ones of about ``target_bytes`` each, under the schema that Spark reads from the folder; returns how many there are.
+
+    The bytes of the listed files are shared evenly over as many groups as they need, and Spark packs whole small files, and row groups of large ones, into a partition for each group. So a task reads its group and writes one file, and no
+    row is shuffled. The packing is set in a session of its own; the caller's settings stay. Rows of a file stay in order.
+    """
+    total, files = listing(spark, source, "*.parquet").agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    groups = max(1, round(total / target_bytes))
+    own = spark.newSession()
+    # A group may go over its share by half a file, else each would stop short of it.
+    for key, value in {"files.maxPartitionBytes": -(-total // groups) + total // max(1, 2 * files) + 1, "files.openCostInBytes": 0, "files.minPartitionNum": 1, "adaptive.enabled": "false"}.items():
+        own.conf.set(f"spark.sql.{key}", str(value))
+    own.read.option("mergeSchema", "false").parquet(source).write.mode("errorifexists").parquet(target)
+    return listing(spark, target, "*.parquet").count()
 
 
 def standardize_schema(df: DataFrame) -> DataFrame:
@@ -103,9 +148,13 @@ def read_metric_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_metric_series(df: DataFrame, path: str) -> None:
-    """A CSV folder for each tag, rows in order of step and time, and a JSON summary of the tags."""
+    """A CSV folder for each tag, rows in order of step and time over its files in order of name, and a JSON summary of the tags.
+
+    Rows are range-partitioned by tag, step and time: small tags share a task, and a tag of most rows is many tasks and files.
+    """
     rows = df.select(C.file_of_tag(F.col("tag")).alias("tag"), "step", "wall_time", "value")
-    rows.repartition("tag").sortWithinPartitions("tag", "step", "wall_time").write.mode("errorifexists").option("header", True).partitionBy("tag").csv(f"{path}/series")
+    order = ("tag", "step", "wall_time", "value")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").option("header", True).partitionBy("tag").csv(f"{path}/series")
     summary = df.groupBy("tag").agg(F.count("*").alias("n"), F.min("step").alias("min_step"), F.max("step").alias("max_step"))
     summary.coalesce(1).write.mode("errorifexists").json(f"{path}/summary")
 
@@ -115,16 +164,76 @@ def write_scored_events(df: DataFrame, path: str, collections: Sequence[str], de
     df.select("event_id", *collections, "scores", F.struct(*derived).alias("outputs")).write.mode("errorifexists").parquet(path)
 
 
+def _schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema of a Parquet file, by its footer; None if it has none that can be read."""
+    try:
+        return spark.read.parquet(path).schema
+    except (PySparkException, Py4JJavaError):
+        return None
+
+
+def file_health(spark: SparkSession, root: str) -> DataFrame:
+    """(file, n_bytes, ok, n_rows, n_read, error) of each Parquet file under ``root``: all that are bad, not only the first.
+
+    Footers tell the rows that a file should have (a scan without columns); a scan of all columns that skips what it can't read tells how many it gives. Both are jobs over all files, and a row a file is left.
+    Files that give no row at all are empty or have no footer: their footers are tried one by one. A file with fewer rows read than its footer says has a bad page. Columns are those of the first file that
+    has a footer; other columns of other files are not looked at.
+    """
+    files = listing(spark, root, "*.parquet")
+    same = lambda c: F.regexp_replace(F.url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    schema = next((x for r in files.orderBy("path").toLocalIterator() if (x := _schema(spark, r["path"])) is not None), None)
+    if schema is None:
+        return files.select(F.col("path").alias("file"), "n_bytes", F.lit(False).alias("ok"), F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("long").alias("n_read"), F.lit(NO_FOOTER).alias("error"))
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
+    at = F.col("_metadata.file_path").alias("p")
+    told = rows.groupBy(at).agg(F.count("*").alias("n_rows"))
+    # A hash of all columns: every page is decoded.
+    read = rows.select(at, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).alias("h")).groupBy("p").agg(F.count("*").alias("n"), F.bit_xor("h").alias("h"))
+    counts = told.join(read.select("p", F.when(F.col("h").isNotNull(), F.col("n")).alias("n_read")), "p", "left").withColumn("f", same("p"))
+    both = tables.cut(files.withColumn("f", same("path")).join(counts, "f", "left").select("path", "n_bytes", "n_rows", "n_read"))
+    empty = [(r["path"], 0) for r in both.where("n_rows IS NULL").toLocalIterator() if _schema(spark, r["path"]) is not None]
+    both = both.join(F.broadcast(spark.createDataFrame(empty, "path string, none long")), "path", "left").withColumns({c: F.coalesce(c, "none") for c in ("n_rows", "n_read")}) if empty else both
+    ok = F.coalesce(F.col("n_read") == F.col("n_rows"), F.lit(False))
+    error = F.when(F.col("n_rows").isNull(), F.lit(NO_FOOTER)).when(~ok, F.concat(F.coalesce("n_read", F.lit(0)).cast("string"), F.lit(" of "), F.col("n_rows").cast("string"), F.lit(" rows can be read")))
+    return both.select(F.col("path").alias("file"), "n_bytes", ok.alias("ok"), "n_rows", "n_read", error.alias("error"))
+
+
 def dataset_health(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """(dataset, ok, n_files, n_rows, error) of each folder: what Spark can read of it to the end."""
-    rows = []
+    """(dataset, ok, n_files, n_bad, n_rows, error) of each folder: whether all its files can be read to the end, and the first error in order of name. :func:`file_health` lists them all."""
+    found = None
     for root in roots:
         try:
-            n = spark.read.parquet(root).groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n")).agg(F.count("*"), F.sum("n")).first()
-            rows.append((root, True, int(n[0]), int(n[1] or 0), None))
-        except PySparkException as e:
-            rows.append((root, False, None, None, str(e).splitlines()[0][:200]))
-    return spark.createDataFrame(rows, "dataset string, ok boolean, n_files long, n_rows long, error string")
+            files = file_health(spark, root)
+        except AnalysisException as e:
+            files = spark.createDataFrame([(None, False, None, str(e).splitlines()[0][:200])], "file string, ok boolean, n_rows long, error string")
+        first = F.min(F.when(~F.col("ok"), F.struct("file", "error")))["error"]
+        own = files.groupBy(F.lit(root).alias("dataset")).agg(F.every("ok").alias("ok"), F.count("file").alias("n_files"), F.count_if(~F.col("ok")).alias("n_bad"), F.sum(F.when(F.col("ok"), F.col("n_rows"))).alias("n_rows"), first.alias("error"))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def first_rows(spark: SparkSession, path: str | Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows over the Parquet files of ``path`` in order of name, with ``path`` and ``row_index``; files beyond the budget are not opened.
+
+    Footers give the rows of each file (a scan without columns); their running sum, one row a file, tells the files that are needed. Those before the last are read whole, and of the last the rows
+    up to the end of the budget. The driver gets the names of the files that are read, as any reader does.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    counts = spark.read.parquet(*paths).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).where((F.col("before") < n) & (F.col("rows") > 0)).orderBy("file").collect()
+    schema = spark.read.parquet(*paths).schema
+    if not needed:
+        return spark.createDataFrame([], schema).select("*", F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("row_index"))
+    base = {} if len(paths) > 1 else {"basePath": paths[0]}
+
+    def read(rows: list) -> DataFrame:
+        files = spark.read.schema(schema).options(**base).parquet(*[unquote(r["file"]) for r in rows])
+        return files.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
+
+    last = needed[-1]
+    cut = read([last]).where(F.col("row_index") < n - last["before"])
+    return read(needed[:-1]).unionByName(cut) if len(needed) > 1 else cut
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
