@@ -122,3 +122,18 @@ def test_small_operators(spark):
     assert [tuple(r) for r in stats.exact_quantiles(h, [], {"q": 0.5}).collect()] == [(1.0,)]
     with pytest.raises(ValueError):
         io.read_events(spark, ["a.csv"])
+
+
+def test_tables_are_removed_by_the_thread_that_made_them(spark):
+    from threading import Thread
+
+    from trackyard.sources import tables
+
+    since, others = tables.mark(), []
+    mine, kept = tables.cut(spark.range(3)), tables.cut(spark.range(4))
+    other = Thread(target=lambda: others.append(tables.cut(spark.range(5))))
+    other.start()
+    other.join()
+    tables.drop_since(spark, since, kept)
+    assert kept.count() == 4 and others[0].count() == 5 and tables.mark() == since + 1
+    assert not os.path.exists(mine.inputFiles()[0].removeprefix("file://"))
