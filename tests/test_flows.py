@@ -53,3 +53,18 @@ def test_report_of_scores(spark):
     assert sum(r["value"] for r in report["confusion"].collect()) == pytest.approx(sum(r["recall"] for r in report["classes"].collect()) + sum(r["value"] for r in report["confusion"].where("`true` <> pred").collect()))
     assert {r["region"] for r in report["regions"].collect()} >= {"inclusive"} and report["scored"].count() == 200
     assert all(0 <= r["fpr"] <= 1 for r in report["roc"].collect())
+
+
+def test_report_by_slices(spark, tmp_path):
+    """A model of several inputs, scored by slices: the same report as without."""
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame(
+        [(k, int(k % 9 + 1), 1.0, [[float(x) for x in rng.random(2)] for _ in range(3)], [bool(x > 0.3) for x in rng.random(3)], [float(rng.random())]) for k in range(60)],
+        "event_id long, signal int, weight double, jets array<array<double>>, mask array<boolean>, event array<double>",
+    )
+    net = scoring.masked_linear(rng.random((2, 10)), rng.random((1, 10)), rng.random(10), "jets", "mask", "event")
+    feed = {x: x for x in ("jets", "mask", "event")}
+    one, two = flows.score_and_report(rows, net, feed), flows.score_and_report(rows, net, feed, slices=(f"{tmp_path}/s", 4))
+    for name in ("confusion", "purity"):
+        assert sorted(map(str, one[name].collect())) == sorted(map(str, two[name].collect()))
+    assert two["scored"].count() == 60

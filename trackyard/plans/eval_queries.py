@@ -456,6 +456,14 @@ def a35(spark, d):
     return stats.weight_invariant(m.withColumn("weight", F.col("weight") * F.col("weight_all")))
 
 
+@register("a35_changed_weights", V.sql("SELECT CAST(sum(dctr) AS BIGINT) AS data_rows, count(*) FILTER (dctr = 1 AND njet >= 4 AND weight <> 0) AS changed FROM per", JETS, EV, PER))
+def a35_changed(spark, d):
+    """A mask that also holds data: the check counts the rows that it must not have touched."""
+    m = _masked(spark, d).withColumns({"is_data": F.col("dctr") == 1, "weight_original": F.col("weight")})
+    m = joins.apply_reweighting(m, stats.njet_ratios(_masked(spark, d), {"all": "mask_all"}), {"all": "mask_all"})
+    return stats.weight_invariant(m.withColumn("weight", F.col("weight") * F.col("weight_all")))
+
+
 # --- scoring and streams
 
 W, B = np.array([[0.5, -0.25, 0.0], [0.0, 0.125, -0.5]]), np.array([0.0, 0.25, 0.5])

@@ -16,6 +16,12 @@ r6 = lambda c, n=None: F.round(F.col(c) if isinstance(c, str) else c, 7).alias(n
 CAP = 8
 
 
+def _elements(df, *keep):
+    """A row for each jet of flat columns, to compare contents."""
+    zipped = F.posexplode(F.arrays_zip(F.col("JetGood_pt").alias("pt"), F.col("JetGood_prov").alias("prov")))
+    return df.select("event_id", *keep, zipped.alias("pos", "j")).select("event_id", *keep, "pos", r6("j.pt", "pt"), "j.prov")
+
+
 def _flat(spark, d):
     """Flat ntuple columns: an array for each jet field, one event a row."""
     n = V.nested(spark, d)
@@ -96,6 +102,16 @@ def s6(spark, d):
     return both.groupBy((F.col("event_id") % 2).alias("k")).agg(F.count("*").alias("events"), F.sum(F.size("JetGood_pt") * F.when(F.col("event_id") % 2 == 0, 2).otherwise(1)).alias("jets")).drop("k")
 
 
+@register("s6_standard_rows", V.sql("SELECT event_id, pos, ROUND(CAST(pt AS DOUBLE), 7) AS pt, prov FROM jets", JETS))
+def s6_rows(spark, d):
+    """Files of two schemas, one without nulls in its arrays, one with, under one schema: all their jets."""
+    n, path = _flat(spark, d), tables.workspace(spark)
+    io.standardize_schema(n.where("event_id % 2 = 0")).write.parquet(f"{path}/k=0")
+    odd = n.where("event_id % 2 = 1").withColumn("JetGood_pt", F.transform("JetGood_pt", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))))
+    io.standardize_schema(odd.withColumn("JetGood_pt", F.col("JetGood_pt").cast(n.schema["JetGood_pt"].dataType))).write.parquet(f"{path}/k=1")
+    return _elements(io.read_ntuples(spark, path))
+
+
 @register("s7_merge_shards", V.sql("SELECT ev.event_id, 8 AS width, ROUND(coalesce(sum(pt), 0), 4) AS total FROM ev LEFT JOIN jets ON ev.event_id = jets.event_id AND pos < 8 GROUP BY ev.event_id", JETS, EV))
 def s7(spark, d):
     rows = V.nested(spark, d).select("event_id", C.pad_clip(F.col("jets.pt"), CAP, 0.0).alias("pt"))
@@ -137,6 +153,13 @@ def s10(spark, d):
     return spark.read.parquet(path).agg(F.count("*").alias("events"), F.round(F.sum("outputs.tthbb_vs_ttbb"), 4).alias("derived"))
 
 
+@register("s10_scored_rows", V.sql("SELECT event_id, sample, ROUND(tthbb, 7) AS tthbb, 10 AS classes, ROUND(tthbb/(tthbb+ttbb+1e-6::DOUBLE), 7) AS derived FROM wide", EV, SC))
+def s10_rows(spark, d):
+    path = tables.workspace(spark)
+    io.write_scored_events(tensors.derived_scores(V.wide(spark, d)), path, ["sample"], ["tthbb_vs_ttbb"])
+    return spark.read.parquet(path).select("event_id", "sample", r6(F.get("scores", F.lit(1)), "tthbb"), F.size("scores").alias("classes"), r6("outputs.tthbb_vs_ttbb", "derived"))
+
+
 @register("s11_dataset_health", "SELECT 'orders' AS dataset, TRUE AS ok, count(*) AS n_rows FROM orders UNION ALL SELECT 'nothing', FALSE, NULL")
 def s11(spark, d):
     found = io.dataset_health(spark, [f"{d}/orders.parquet", f"{d}/nothing.parquet"])
@@ -606,3 +629,9 @@ def u2_masked(spark, d):
 def u4(spark, d):
     e = V.events(spark, d)
     return order.merge_eras({y: e.where(F.col("year") == y) for y in ("2022_preEE", "2023_preBPix", "2024")}).groupBy("era").agg(F.count("*").alias("n"))
+
+
+@register("u4_era_rows", V.sql("SELECT event_id, year AS era, sample, ROUND(weight, 7) AS weight FROM ev", EV))
+def u4_rows(spark, d):
+    e = V.events(spark, d)
+    return order.merge_eras({y: e.where(F.col("year") == y).drop("year") for y in ("2022_preEE", "2023_preBPix", "2024")}).select("event_id", "era", "sample", r6("weight"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackyard.functions import columns as C
-from trackyard.operators import build, evaluate, order, scoring, select, tensors
+from trackyard.operators import build, evaluate, joins, order, scoring, select, tensors
 from trackyard.sources import io, tables
 
 
@@ -104,13 +104,18 @@ def write_training_set(events: DataFrame, config: TrainingConfig, target: str, *
     return io.write_training_set(training_set(events, config, **options), target, config.seed)
 
 
-def score_and_report(rows: DataFrame, factory: Callable, vector: str, truth: str = "signal", weight: str = "weight", thresholds: Mapping[str, float] | None = None) -> dict[str, DataFrame]:
+def score_and_report(rows: DataFrame, factory: Callable, vector: str | Mapping[str, str], truth: str = "signal", weight: str = "weight", thresholds: Mapping[str, float] | None = None, slices: tuple[str, int] | None = None) -> dict[str, DataFrame]:
     """Scores of all events and the report on them, as tables by name.
 
-    Scores are written once, so that the model runs once for all figures.
+    ``vector`` is the column of a model with one input, or names of inputs to columns. Scores are written once, so that the model runs once for all figures; every event must have them once. With ``slices`` (path, number), for models of
+    several inputs, they are made slice by slice under that path, and a run that was ended is taken up there.
     """
-    scores = scoring.score_events(rows, factory, vector)
-    scored = tables.cut(rows.join(scores, "event_id"))
+    if slices:
+        scoring.score_slices(rows, factory, vector, *slices)
+        scores = scoring.merged_slices(rows.sparkSession, slices[0]).drop("slice")
+    else:
+        scores = scoring.score_events(rows, factory, vector) if isinstance(vector, str) else scoring.score_inputs(rows, factory, vector)
+    scored = tables.cut(joins.attach_scores(rows, scores, complete=True).drop("has_score"))
     wide = tensors.derived_scores(tensors.node_scores(scored)).withColumn("predicted", C.argmax(F.col("scores")))
     counts = tables.cut(evaluate.confusion_counts(wide, truth, "predicted", F.col(weight)))
     regions = select.cut_regions(wide, thresholds)
