@@ -1,46 +1,15 @@
-"""Tables that cut a plan in two, in the folder that all executors share."""
+"""Tables that cut a plan in two, in the folder that all executors share: those of the library, and what the operators here ask of the session."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from trackyard.sources.tables import SMALL, drop_since, lookup, mark  # noqa: F401  for the operators
+from trackyard.sources.tables import cut as save  # noqa: F401
 
-#: Rows of a lookup table that are sent to all tasks.
-SMALL = 100_000
 #: Bytes of the batches in which texts go to Python workers, and the setting of the session that says so.
 BATCH_BYTES, BATCH_KEY = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
-_local: list[str] = []
-#: Paths of the tables written so far by this driver, in order.
-_made: list[str] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; on a local master without one, a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="spark-"))
-    return f"file://{_local[0]}"
-
-
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: later plans start from the files.
-
-    Every call takes a new folder. :func:`drop_since` removes those that nothing reads any more; the others are left to the cluster's clean-up of the shared folder.
-    """
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def bound_batches(spark: SparkSession) -> None:
     """Texts go to Python in Arrow batches of :data:`BATCH_BYTES`, so that a worker's memory does not depend on how long 10,000 texts are; a session that sets the limit itself keeps its own.
@@ -49,26 +18,3 @@ def bound_batches(spark: SparkSession) -> None:
     """
     if BATCH_KEY not in spark.conf.getAll:
         spark.conf.set(BATCH_KEY, BATCH_BYTES)
-
-
-def mark() -> int:
-    """How many tables have been written, for :func:`drop_since`."""
-    return len(_made)
-
-
-def drop_since(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
-    """Remove the tables written after :func:`mark` gave ``since``, but for those that ``keep`` reads: its own rows are in files by then."""
-    held = "\n".join(keep.inputFiles()) if keep is not None else ""
-    for path in [p for p in _made[since:] if p.rsplit("/", 1)[1] not in held]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _made.remove(path)
-
-
-def lookup(df: DataFrame, tag: str) -> DataFrame:
-    """A lookup table for a join: kept in the shared folder, its rows counted, and sent to all tasks if there are at most :data:`SMALL`.
-
-    The other side is then not shuffled. A larger table is joined by shuffling, and Spark splits skewed keys.
-    """
-    df = save(df, tag)
-    return F.broadcast(df) if df.count() <= SMALL else df
