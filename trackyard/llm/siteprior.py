@@ -82,19 +82,22 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = LABELLED, z: float = 4.0, penalty: float = 3e-4) -> Model:
-    """Fit on up to ``limit`` labelled documents, those of the least hash of the id: good is quality 1 and not toxic.
+    """Fit on up to ``limit`` labelled rows, those of the least hashes of id and text: good is quality 1 and not toxic.
 
     ``labels`` (doc_id, quality, toxic): rows without id or quality are left out, a null toxic is 0; where labels of one id differ, it is bad.
+    Rows equal in id and text are one; an id with many texts is as many rows, and they count against the bound as others do. Numbers alone are ranked; the texts of the chosen rows are read after that.
     A feature is used if the shares of good and bad texts that have it differ by ``z`` standard errors, for which at least some z squared of the labelled texts must have it;
     a logistic regression with an L1 penalty weighs them. Counts are sums over tasks; what comes to the driver, the names of such features, is bounded by the
     words of the labelled texts over z squared. Without both classes, all documents are good.
     """
     spark = docs.sparkSession
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
-    chosen = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__lid")).agg(F.min(good).alias("__good"))
-    chosen = chosen.orderBy(F.xxhash64("__lid"), "__lid").limit(limit)
-    # At most `limit` rows.
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__lid")).select(F.col(text).cast("binary").alias("text"), F.col("__good").alias("good"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__lid")).agg(F.min(good).alias("__good"))
+    texts = docs.select(F.col(id_col).alias("__lid"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"))
+    marks = texts.select("__lid", "__h").join(known, "__lid").distinct()
+    chosen = marks.orderBy(F.xxhash64("__lid", "__h"), "__lid", "__h").limit(limit)
+    # At most `limit` rows, and as many texts.
+    rows = texts.join(F.broadcast(chosen), ["__lid", "__h"]).groupBy("__lid", "__h").agg(F.first("text").alias("text"), F.first("__good").alias("good")).select("text", "good")
     rows = scratch.save(rows, "quality-sample")
     n = rows.agg(F.count("*").alias("n"), F.sum("good").alias("g")).first()
     g, b = float(n["g"] or 0), float(n["n"] - (n["g"] or 0))
@@ -147,6 +150,7 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     columns of any name are not looked at. A p_good that meets the threshold is kept.
     """
     spark = docs.sparkSession
+    scratch.bound_batches(spark)
     model = fit(docs, labels, id_col, text)
     odds = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), model.log_odds(F.col(text), spark)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(host).alias("host"), F.col(path).alias("path"), odds.alias("odds"))
