@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackyard.llm import scratch
+
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that start a block of text.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that are never text of an article.
-SKIP = frozenset("script style noscript template head title nav footer header aside form button select input textarea iframe object embed svg math canvas audio video dialog menu search map".split())
+SKIP = frozenset("script style noscript template head title nav footer header aside button select input textarea iframe object embed svg math canvas audio video dialog menu search map".split())
 #: Elements whose text the parser takes as it is, up to their end tag.
 RAW = frozenset("script style textarea title noscript iframe template svg xmp noembed noframes".split())
 #: Words in class, id or role that mark what is no article.
@@ -22,6 +24,11 @@ JUNK = frozenset("ad ads advert adverts advertisement advertising adsense adbox
 #: Words that mark an article, which outweigh those above unless they are about readers' comments.
 GOOD = frozenset("article articlebody body content contents entry main story post text hentry".split())
 READERS = frozenset("comment comments discussion disqus replies reply respond shoutbox".split())
+#: Words of those above that may as well be the topic of a part: alone in a class or id they leave out a part without prose only. Of them, those that may be about readers, unless what is in it tells of some.
+TOPIC = frozenset("discussion remark remarks related share sharing social tags tools".split())
+TALK = frozenset("discussion remark remarks".split())
+#: Words in such a part, and an element, that tell of readers.
+VOICES = frozenset("avatar commenter poster replies reply respond timestamp upvote username vote votes".split())
 #: Parts of such words that tell as well where words are run together.
 JUNK_PART = re.compile("comment|disqus|sidebar|cookie|newsletter|advert|sponsor|breadcrumb|navbar|popup")
 #: Words of layout, which may stand beside junk words in an id; with others an id is the slug of a heading.
@@ -54,7 +61,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """An element: its tag, whether it is left out, and its children, elements and strings in page order."""
 
-    __slots__ = ("tag", "up", "kids", "skip", "score", "size", "linked", "commas", "own", "inside", "block", "frame")
+    __slots__ = ("tag", "up", "kids", "skip", "score", "size", "linked", "commas", "own", "inside", "block", "frame", "talk")
 
     def __init__(self, tag: str, up: Node | None, skip: int = 0):
         self.tag, self.up, self.skip = tag, up, skip
@@ -62,13 +69,16 @@ class Node:
         self.inside = up.inside if up else 0
         self.block = self if up is None or tag in BLOCK else up.block
         self.frame = self if up is None or tag in FRAME else up.frame
+        #: The outermost part around it that may be readers' talk.
+        self.talk = up.talk if up else None
         self.kids: list[Node | str] = []
         self.score = 0.0
         self.size = self.linked = self.commas = self.own = 0
 
 
-#: An element is left out for sure, by the words in its attributes unless it turns out to hold the page, or as readers' comments unless it holds the article; a doubtful one if it holds no prose.
-SURE, MARKED, READER, DOUBT = 1, 2, 3, 4
+#: An element is left out for sure, by the words in its attributes unless it turns out to hold the page, or as readers' comments unless it holds the article; a doubtful one if it holds no prose; a form unless it is
+#: a wrapper of the article.
+SURE, MARKED, READER, DOUBT, FORM = 1, 2, 3, 4, 5
 #: Bits of ``inside``: an article, a header of it, a doubtful element.
 ARTICLE, HEADER, WEAK = 1, 2, 4
 
@@ -81,12 +91,14 @@ def _compound(token: str) -> bool:
 
 
 def _reader(words: set[str]) -> bool:
-    return bool(words & READERS) or any(w.startswith("comment") and not w.startswith("commenta") for w in words)
+    return bool(words & READERS and words != words & TALK) or any(w.startswith("comment") and not w.startswith("commenta") for w in words)
 
 
 def _left_out(tag: str, attributes: list[tuple[str, str | None]]) -> int:
     if tag in SKIP:
         return SURE
+    if tag == "form":
+        return SURE if any(name in ("hidden", "inert") for name, _ in attributes) else FORM
     if tag in ("html", "body", "article", "main"):
         return 0
     words: set[str] = set()
@@ -105,6 +117,8 @@ def _left_out(tag: str, attributes: list[tuple[str, str | None]]) -> int:
     known = lambda w: w in JUNK or w in LAYOUT or w in GOOD or w.isdigit() or JUNK_PART.search(w)
     if all(map(known, slug)) and not (section and len(slug) == 1 and not any(map(JUNK_PART.search, slug))):
         words |= slug
+    if words and words <= TOPIC:
+        return DOUBT
     if _reader(words):
         return READER
     if words and not words & GOOD and (words & JUNK or JUNK_PART.search(" ".join(words))):
@@ -124,6 +138,7 @@ class Tree(HTMLParser):
         self.headers: list[Node] = []
         self.heads: list[Node] = []
         self.articles: list[Node] = []
+        self.forms: list[Node] = []
 
     def _close_to(self, node: Node) -> None:
         while self.at is not node:
@@ -134,8 +149,8 @@ class Tree(HTMLParser):
             self.at = node.up
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body"):
-            return  # both are the root
+        if tag in ("html", "body") or tag == "form" and self.open.get("form"):
+            return  # html and body are the root; a form in a form is none
         if tag in BLOCK:
             node = self.at.block
             if node.tag == "p":
@@ -154,6 +169,7 @@ class Tree(HTMLParser):
                 self.at.kids.append(Node("hr", self.at))
             return
         new = Node(tag, self.at, _left_out(tag, attrs))
+        self._hear(new, attrs)
         self.at.kids.append(new)
         self.at = new
         self.open[tag] = self.open.get(tag, 0) + 1
@@ -169,11 +185,23 @@ class Tree(HTMLParser):
             self.doubtful.append(new)
         if new.skip in (MARKED, READER):
             self.marked.append(new)
+        elif new.skip == FORM:
+            self.forms.append(new)
         if tag in ("h1", "main"):
             self.heads.append(new)
         elif tag == "article":
             self.articles.append(new)
 
+    def _hear(self, new: Node, attrs: list[tuple[str, str | None]]) -> None:
+        """A part named by one word of talk starts here; or what starts tells that the part around it is talk of readers."""
+        words = {w.lower() for name, value in attrs if name in ("class", "id") and value for w in _CUT.split(value) if w}
+        part = new.talk
+        if part is not None and not part.skip and (new.tag == "textarea" or new.skip == READER or words & VOICES or any(w.startswith("comment") and not w.startswith("commenta") for w in words)):
+            part.skip = READER
+            self.marked.append(part)
+        if part is None and new.skip == DOUBT and words & TALK:
+            new.talk = new
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in ("svg", "math"):  # others ignore the slash
@@ -246,6 +274,20 @@ def _holders(tree: Tree) -> set[Node]:
     return out
 
 
+def keep_forms(tree: Tree) -> None:
+    """A form around the article is a wrapper, as on pages that are one form: it stays, and its controls go as they do anywhere.
+
+    It is one if a paragraph in it is long enough to score and has few links, and it holds the main heading or the only article, or more than three fifths of the page's text.
+    """
+    if not tree.forms:
+        return
+    holders, sizes = _holders(tree), _text_sizes(tree.root)
+    for form in tree.forms:
+        around = form in holders or 5 * sizes[form] > 3 * sizes[tree.root]
+        if around and any(n.tag in PARAGRAPH and n.own >= 25 and _density(n) <= 1 / 3 for n in _measure(form)):
+            form.skip = 0
+
+
 def keep_wrappers(tree: Tree) -> None:
     """A marked element is a wrapper, not a part to leave out, if it holds the article; of comments that is enough.
 
@@ -282,7 +324,7 @@ def keep_headings(tree: Tree) -> None:
 
 
 def drop_doubtful(tree: Tree) -> None:
-    """Doubtful elements go unless they hold prose: a paragraph that scores, and no more than a third of the text in links."""
+    """Doubtful elements go unless they hold prose: a paragraph that scores, and no more than a third of the text in links. So a word of a topic decides nothing on its own."""
     if not tree.doubtful:
         return
     prose: set[Node] = set()
@@ -402,6 +444,7 @@ def extract(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     keep_headings(tree)
+    keep_forms(tree)
     keep_wrappers(tree)
     drop_doubtful(tree)
     return "\n".join(blocks(main_nodes(tree.root)))
@@ -419,4 +462,5 @@ def with_main_text(pages: DataFrame, html: str = "html", out: str = "main_text")
     Null and empty pages give the empty string; markup that is cut off is read as far as it goes. Pages are independent: no shuffle. Work is
     linear in the length of a page, however deep its elements are. Repeated rows are read each; an existing column ``out`` is replaced; an empty table gives an empty one.
     """
+    scratch.bound_batches(pages.sparkSession)
     return pages.withColumn(out, F.pandas_udf(_extract, "string")(F.col(html)))
