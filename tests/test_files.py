@@ -39,6 +39,17 @@ def test_first_rows_of_odd_folders(spark, tmp_path):
     assert [(r.id, r.s) for r in found] == [(0, "a b/0"), (2, "a b/0"), (4, "a b/0"), (1, "a b/1")]
 
 
+def test_first_kept_reads_runs_of_files(spark, tmp_path):
+    path = f"{tmp_path}/a"
+    spark.range(400).repartitionByRange(20, "id").sortWithinPartitions("id").write.parquet(path)
+    for odd, n in ((3, 0), (3, 1), (3, 20), (3, 21), (3, 133), (3, 134), (3, 500), (401, 5), (1, 40)):
+        found = io.first_kept(spark, path, n, F.col("id") % odd == odd - 1)
+        assert [r.id for r in found.orderBy("path", "row_index").collect()] == [k for k in range(400) if k % odd == odd - 1][:n]
+    assert len(io.first_kept(spark, path, 20, F.col("id") % 3 == 2).inputFiles()) <= 5
+    caps = io.capped_sources(spark, {"a": path, "b": path}, {"a": 0.1}, F.col("id") % 2 == 0)
+    assert {r.source: r["count"] for r in caps.groupBy("source").count().collect()} == {"a": 40, "b": 200}
+
+
 def test_compaction_by_bytes(spark, tmp_path):
     a, b = f"{tmp_path}/a", f"{tmp_path}/b"
     rng = random.Random(1)

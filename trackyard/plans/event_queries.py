@@ -525,13 +525,26 @@ def w1(spark, d):
     return order.train_test_split(V.events(spark, d), "sample").select("event_id", "split")
 
 
-@register("w2_cap_fraction", V.sql("""SELECT event_id FROM (SELECT p.event_id, p.sample, row_number() OVER (PARTITION BY p.sample ORDER BY p.event_id) AS r FROM per p WHERE njet >= 5) x
-  JOIN (SELECT sample, count(*) * CASE sample WHEN 'QCD' THEN 50000 WHEN 'TTH_Hto2B' THEN 200000 ELSE 1000000 END // 1000000 AS cap FROM ev GROUP BY sample) c ON x.sample = c.sample WHERE r <= cap""", JETS, EV, PER))
+CAPPED = V.sql("""SELECT event_id FROM (SELECT p.event_id, p.sample, row_number() OVER (PARTITION BY p.sample ORDER BY p.event_id) AS r FROM per p WHERE njet >= 5) x
+  JOIN (SELECT sample, count(*) * CASE sample WHEN 'QCD' THEN 50000 WHEN 'TTH_Hto2B' THEN 200000 ELSE 1000000 END // 1000000 AS cap FROM ev GROUP BY sample) c ON x.sample = c.sample WHERE r <= cap""", JETS, EV, PER)
+
+
+@register("w2_cap_fraction", CAPPED)
 def w2(spark, d):
     n = V.counted(spark, d).select("event_id", "sample", "njet")
     return order.cap_fraction(n, n.where("njet >= 5"), {"QCD": 0.05, "TTH_Hto2B": 0.2}, "sample").select("event_id")
 
 
+@register("w2_capped_sources", CAPPED)
+def w2_files(spark, d):
+    """The same over files, three of each sample: of a capped sample only those are read that fill its budget."""
+    n, sources = V.counted(spark, d).select("event_id", "sample", "njet"), {}
+    for name in V.SAMPLES:
+        sources[name] = tables.workspace(spark)
+        n.where(F.col("sample") == name).drop("sample").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").write.parquet(sources[name])
+    return io.capped_sources(spark, sources, {"QCD": 0.05, "TTH_Hto2B": 0.2}, F.col("njet") >= 5, "sample").select("event_id")
+
+
 @register("w3_entry_stop", V.sql("SELECT event_id FROM ev ORDER BY sample, event_id LIMIT 700", EV))
 def w3(spark, d):
     return order.entry_stop(V.events(spark, d), 700, "sample").select("event_id")

@@ -7,7 +7,7 @@ from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -212,28 +212,77 @@ def dataset_health(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     return found
 
 
+def _counted(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, rows, before) of the Parquet files of ``path`` in order of name, by their footers (a scan without columns), with the rows of the files before each: a row a file."""
+    counts = spark.read.parquet(*([path] if isinstance(path, str) else path)).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.where("rows > 0").withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+
+
+def _placed(spark: SparkSession, path: str | Sequence[str]):
+    """A reader of some of the files of ``path``, with ``path`` and ``row_index`` of each row; none gives an empty table."""
+    paths = [path] if isinstance(path, str) else list(path)
+    schema = spark.read.parquet(*paths).schema
+    base = {} if len(paths) > 1 else {"basePath": paths[0]}
+
+    def read(files: Sequence[str]) -> DataFrame:
+        if not files:
+            return spark.createDataFrame([], schema).select("*", F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("row_index"))
+        rows = spark.read.schema(schema).options(**base).parquet(*map(unquote, files))
+        return rows.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
+
+    return read
+
+
 def first_rows(spark: SparkSession, path: str | Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows over the Parquet files of ``path`` in order of name, with ``path`` and ``row_index``; files beyond the budget are not opened.
 
-    Footers give the rows of each file (a scan without columns); their running sum, one row a file, tells the files that are needed. Those before the last are read whole, and of the last the rows
+    Footers give the rows of each file; their running sum tells the files that are needed. Those before the last are read whole, and of the last the rows
     up to the end of the budget. The driver gets the names of the files that are read, as any reader does.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    counts = spark.read.parquet(*paths).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    needed = counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).where((F.col("before") < n) & (F.col("rows") > 0)).orderBy("file").collect()
-    schema = spark.read.parquet(*paths).schema
+    read = _placed(spark, path)
+    needed = _counted(spark, path).where(F.col("before") < n).orderBy("file").collect()
     if not needed:
-        return spark.createDataFrame([], schema).select("*", F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("row_index"))
-    base = {} if len(paths) > 1 else {"basePath": paths[0]}
+        return read([])
+    cut = read([needed[-1]["file"]]).where(F.col("row_index") < n - needed[-1]["before"])
+    return read([r["file"] for r in needed[:-1]]).unionByName(cut) if len(needed) > 1 else cut
 
-    def read(rows: list) -> DataFrame:
-        files = spark.read.schema(schema).options(**base).parquet(*[unquote(r["file"]) for r in rows])
-        return files.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
 
-    last = needed[-1]
-    cut = read([last]).where(F.col("row_index") < n - last["before"])
-    return read(needed[:-1]).unionByName(cut) if len(needed) > 1 else cut
+def first_kept(spark: SparkSession, path: str | Sequence[str], n: int, keep: Column) -> DataFrame:
+    """The first ``n`` rows that ``keep`` holds for, over files in order of name as in :func:`first_rows`; files beyond those are not opened.
+
+    How many rows of a file are kept only its rows tell, so files are counted in runs: as many as have ``n`` rows, then twice as many rows, until enough are kept. A count reads the columns of ``keep`` alone,
+    and no file twice. Of the file in which the budget ends, row numbers are ranked: one file's numbers, whatever the size of the table.
+    """
+    read, files = _placed(spark, path), _counted(spark, path).orderBy("file").collect()
+    kept, whole, at, budget = 0, [], 0, n
+    while at < len(files) and kept < n:
+        run = [r["file"] for r in files[at:] if r["before"] < files[at]["before"] + budget]
+        counts = {r["path"]: r["kept"] for r in read(run).where(keep).groupBy("path").agg(F.count("*").alias("kept")).collect()}
+        for name in run:
+            if kept + counts.get(name, 0) > n:
+                last = read([name]).where(keep)
+                end = last.select("row_index").orderBy("row_index").limit(n - kept).agg(F.max("row_index")).first()[0]
+                cut = last.where(F.col("row_index") <= (-1 if end is None else end))
+                return read(whole).where(keep).unionByName(cut) if whole else cut
+            kept += counts.get(name, 0)
+            whole.append(name)
+        at, budget = at + len(run), 2 * budget
+    return read(whole).where(keep)
+
+
+def capped_sources(spark: SparkSession, sources: Mapping[str, str | Sequence[str]], fractions: Mapping[str, float], keep: Column, column: str = "source") -> DataFrame:
+    """Of each source (name to files) the first int(fraction * raw rows) rows that ``keep`` holds for, with the source's name in ``column``. Sources without a fraction are whole; raw rows are those of the footers."""
+    out = None
+    for name, path in sources.items():
+        if name in fractions:
+            raw = _counted(spark, path).agg(F.sum("rows")).first()[0] or 0
+            rows = first_kept(spark, path, raw * round(fractions[name] * 1_000_000) // 1_000_000, keep)
+        else:
+            rows = spark.read.parquet(*([path] if isinstance(path, str) else path)).where(keep).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
+        rows = rows.withColumn(column, F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
