@@ -29,6 +29,8 @@ BANDS, ROWS = 25, 5
 TILE = 4000
 #: Most bytes of texts of a chunk.
 TILE_BYTES = 8 << 20
+#: Texts of a group from which on it is cut in chunks all the same, up to four, so that no task has most of the work.
+SPREAD = 500
 #: Texts, and bytes of them, that are held against the first text of their group in one task.
 LED, LED_BYTES = 200, 8 << 20
 
@@ -395,7 +397,7 @@ def with_similar(docs: DataFrame, id_col: str, text: str, size: int, similarity:
     single = scratch.save(texts.groupBy("node", "root").agg(F.first("text").alias("text")), "similar-texts")
 
     # Each text against the first of its group, which is sent to each chunk: in a group of copies that settles nearly all.
-    number = lambda n, size, of, most: F.greatest(F.lit(1), F.ceil(F.greatest(n / of, size / most))).cast("int")
+    number = lambda n, size, of, most: F.greatest(F.lit(1), F.ceil(F.greatest(n / of, size / most)), F.least(F.lit(4), F.ceil(n / SPREAD))).cast("int")
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     parts = scratch.lookup(single.groupBy("root").agg(number(F.count("*"), F.sum(F.octet_length("text")), LED, LED_BYTES).alias("parts")), "similar-parts")
