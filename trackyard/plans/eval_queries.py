@@ -418,14 +418,14 @@ qt AS (SELECT k, k / 50.0::DOUBLE AS p, CASE WHEN k = 50 THEN (SELECT max(x) FRO
 qv AS (SELECT CAST(k AS INT) AS k, p, CASE WHEN k = 50 OR lo IS NULL THEN hi ELSE lo + (hi - lo) * (p - lsh) / (hsh - lsh) END AS quantile FROM qt)"""
 
 
-def _quantiles(spark, d):
-    w = V.wide(spark, d).select(F.round("tthbb", 9).alias("x"), F.abs("weight").alias("w"))
+def _quantiles(wide):
+    w = wide.select(F.round("tthbb", 9).alias("x"), F.abs("weight").alias("w"))
     return evaluate.weighted_quantiles(w, "x", "w", 51)
 
 
 @register("a32_weighted_quantiles", V.sql("SELECT k, ROUND(quantile, 7) AS quantile, ROUND(p, 7) AS reference FROM qv", EV, SC, QUANT))
 def a32(spark, d):
-    return _quantiles(spark, d).select("k", r6("quantile"), r6("reference"))
+    return _quantiles(V.wide(spark, d)).select("k", r6("quantile"), r6("reference"))
 
 
 THROUGH = """tr AS (SELECT event_id, weight, x, CASE WHEN x <= (SELECT min(quantile) FROM qv) THEN 0 WHEN x >= (SELECT max(quantile) FROM qv) THEN 1 ELSE a.p + (b.p - a.p) * (x - a.quantile) / (b.quantile - a.quantile) END AS u
@@ -433,8 +433,9 @@ THROUGH = """tr AS (SELECT event_id, weight, x, CASE WHEN x <= (SELECT min(quant
 
 
 def _through(spark, d):
-    table = tables.cut(_quantiles(spark, d))
-    return scoring.quantile_transform(V.wide(spark, d).withColumn("weight", F.abs("weight")), table, "tthbb", "u")
+    wide = V.wide(spark, d)
+    table = tables.cut(_quantiles(wide))
+    return scoring.quantile_transform(wide.withColumn("weight", F.abs("weight")), table, "tthbb", "u")
 
 
 @register("a33_uniformity_check", V.sql('SELECT ROUND(max(v) / (sum(v) / 10) - 1, 4) AS "over", ROUND(1 - min(v) / (sum(v) / 10), 4) AS under, count(*) AS filled FROM (SELECT CAST(least(floor(u / (1.0::DOUBLE / 10)), 9) AS INT) AS bin, sum(weight) AS v FROM tr GROUP BY 1)', EV, SC, QUANT, THROUGH))
@@ -524,8 +525,8 @@ NORMAL = "SELECT event_id, u < 1 / 50.0::DOUBLE AS low, u > 49 / 50.0::DOUBLE AS
 @register("x2_merged_quantiles", V.sql(NORMAL, EV, SC, QUANT, THROUGH))
 def x2_merged(spark, d):
     """The same through the merge that tables above the bound take, with the ends of a normal target."""
-    table = tables.cut(_quantiles(spark, d))
-    rows = V.wide(spark, d).select("event_id", "tthbb")
+    wide = V.wide(spark, d)
+    table, rows = tables.cut(_quantiles(wide)), wide.select("event_id", "tthbb")
     both = scoring.quantile_transform(scoring.merge_quantiles(rows, table, "tthbb", "u"), table, "tthbb", "z", "normal", most=1)
     inf = float("inf")
     return both.select("event_id", (F.col("z") == -inf).alias("low"), (F.col("z") == inf).alias("high"), r6("u"))

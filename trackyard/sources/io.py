@@ -94,11 +94,14 @@ def compact_folder(spark: SparkSession, source: str, target: str, target_bytes:
     """The files of a folder as larger ones of about ``target_bytes`` each, under the schema that Spark reads from the folder; returns how many there are.
 
     The bytes of the listed files are shared evenly over as many groups as they need, and Spark packs whole small files, and row groups of large ones, into a partition for each group. So a task reads its group and writes one file, and no
-    row is shuffled. The packing is set in a session of its own; the caller's settings stay. Rows of a file stay in order.
+    row is shuffled. The packing is set in a session of its own, which has the caller's other settings. Rows of a file stay in order.
     """
     total, files = listing(spark, source, "*.parquet").agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     groups = max(1, round(total / target_bytes))
     own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
     # A group may go over its share by half a file, else each would stop short of it.
     for key, value in {"files.maxPartitionBytes": -(-total // groups) + total // max(1, 2 * files) + 1, "files.openCostInBytes": 0, "files.minPartitionNum": 1, "adaptive.enabled": "false"}.items():
         own.conf.set(f"spark.sql.{key}", str(value))
