@@ -90,20 +90,35 @@ def rename(spark: SparkSession, path: str, target: str) -> None:
         raise OSError(f"could not move {path} to {target}")
 
 
+def _even_limit(sizes: list[int], groups: int) -> int:
+    """The bytes of a partition at which Spark's packing of these files (pieces of large ones, largest first, one partition after the other) needs no more than ``groups``; the first such from an even share on."""
+    total = sum(sizes)
+    share, step = -(-total // groups), max(1, total // max(1, 8 * len(sizes)))
+    for limit in range(share, total + step, step):
+        pieces = sorted((min(limit, n - k) for n in sizes for k in range(0, n, limit)), reverse=True)
+        used, held = 1, 0
+        for n in pieces:
+            if held + n > limit:
+                used, held = used + 1, 0
+            held += n
+        if used <= groups:
+            return limit
+    return total
+
+
 def compact_folder(spark: SparkSession, source: str, target: str, target_bytes: int = 128 << 20) -> int:
     """The files of a folder as larger ones of about ``target_bytes`` each, under the schema that Spark reads from the folder; returns how many there are.
 
     The bytes of the listed files are shared evenly over as many groups as they need, and Spark packs whole small files, and row groups of large ones, into a partition for each group. So a task reads its group and writes one file, and no
-    row is shuffled. The packing is set in a session of its own, which has the caller's other settings. Rows of a file stay in order.
+    row is shuffled. The driver sees a size for each file. The packing is set in a session of its own, which has the caller's other settings. Rows of a file stay in order.
     """
-    total, files = listing(spark, source, "*.parquet").agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
-    groups = max(1, round(total / target_bytes))
+    sizes = [r["n_bytes"] for r in listing(spark, source, "*.parquet").select("n_bytes").collect()]
+    groups = max(1, round(sum(sizes) / target_bytes))
     own = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(key):
             own.conf.set(key, value)
-    # A group may go over its share by half a file, else each would stop short of it.
-    for key, value in {"files.maxPartitionBytes": -(-total // groups) + total // max(1, 2 * files) + 1, "files.openCostInBytes": 0, "files.minPartitionNum": 1, "adaptive.enabled": "false"}.items():
+    for key, value in {"files.maxPartitionBytes": max(1, _even_limit(sizes, groups)), "files.openCostInBytes": 0, "files.minPartitionNum": 1, "adaptive.enabled": "false"}.items():
         own.conf.set(f"spark.sql.{key}", str(value))
     own.read.option("mergeSchema", "false").parquet(source).write.mode("errorifexists").parquet(target)
     return listing(spark, target, "*.parquet").count()
