@@ -148,3 +148,10 @@ def test_tables_are_removed_by_the_thread_that_made_them(spark):
     tables.drop_since(spark, since, kept)
     assert kept.count() == 4 and others[0].count() == 5 and tables.mark() == since + 1
     assert not os.path.exists(mine.inputFiles()[0].removeprefix("file://"))
+
+
+def test_split_by_a_narrow_table_of_keys(spark):
+    wide = spark.range(103).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("source"), F.array_repeat("id", 5).alias("payload"))
+    one = order.train_test_split(wide, "source")
+    two = order.train_test_split(wide, "source", keys=wide.select("source", "event_id"))
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))

@@ -29,15 +29,17 @@ def _within(df: DataFrame, source: str, key: str, last: DataFrame) -> DataFrame:
     return joined.withColumn("__in", F.coalesce(F.col(key) <= F.col("__last"), F.lit(False))).drop("__s", "__last")
 
 
-def train_test_split(df: DataFrame, source: str, key: str = "event_id", test_size: float = 0.2, round_up: bool = False) -> DataFrame:
+def train_test_split(df: DataFrame, source: str, key: str = "event_id", test_size: float = 0.2, round_up: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """``split``: of each source the first int((1 - test_size) * n) rows by key are train, the rest test; ``round_up`` takes the next whole number.
 
     Keys are unique within a source. Ranks are made over (source, key) alone; rows themselves are neither sorted nor moved, only compared with their source's last key.
+    ``keys`` is a table of the same sources and keys that is cheaper to read than ``df``: wide rows are then made once, when they are written.
     """
+    narrow = df if keys is None else keys
     # The share of train rows as a ratio of whole numbers, so that no rounding of doubles moves an edge.
     keep = round((1 - test_size) * 1_000_000)
-    limits = df.groupBy(F.col(source).alias("__s")).agg(F.count("*").alias("__n")).selectExpr("__s", f"(__n * {keep} + {999_999 if round_up else 0}) div 1000000 AS __limit")
-    marked = _within(df, source, key, _last_keys(df, source, key, limits))
+    limits = narrow.groupBy(F.col(source).alias("__s")).agg(F.count("*").alias("__n")).selectExpr("__s", f"(__n * {keep} + {999_999 if round_up else 0}) div 1000000 AS __limit")
+    marked = _within(df, source, key, _last_keys(narrow, source, key, limits))
     return marked.withColumn("split", F.when(F.col("__in"), "train").otherwise("test")).drop("__in")
 
 

@@ -69,7 +69,7 @@ def _training(spark, d):
 
 @register("s4_write_training_set", V.sql("SELECT event_id, split, row_number() OVER (PARTITION BY split ORDER BY md5('7-' || CAST(event_id AS VARCHAR)), event_id) AS place, count(*) OVER (PARTITION BY split) AS rows FROM spl", EV, SPLIT))
 def s4(spark, d):
-    rows = order.train_test_split(tables.cut(_training(spark, d)), "sample")
+    rows = order.train_test_split(_training(spark, d), "sample", keys=V.events(spark, d).select("sample", "event_id"))
     path = tables.workspace(spark)
     counts = io.write_training_set(rows, path, seed=7)
     return _placed(spark.read.parquet(f"{path}/rows").select("event_id", "split", "_metadata"), ["split"]).join(counts, "split").select("event_id", "split", "place", "rows")
