@@ -22,6 +22,10 @@ BATCH, SHARD = 2_000_000, 1_000_000
 HEADS = 1 << 14
 #: Most contexts that are dealt by word, and most tasks that shards are dealt to.
 WIDE, TASKS = 1 << 16, 20_000
+#: Messages of a batch, from which on one holds the questions to several shards, and most shards of one message.
+FRAMES, FRAME = 1 << 12, 16
+#: Bytes of a word's hash that tell it from the other words after one context.
+SHORT = 5
 #: What a text ends with; no word is empty.
 END = xxhash.xxh64_intdigest(b"", 42)
 #: Steps of a quantised log10: 1 / 5000 each, down to 10 to the -13.1.
@@ -54,6 +58,36 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as hold the largest."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def planes(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bytes of numbers, those of one place after each other: they are alike and pack well."""
+    return np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.ravel()
+
+
+def from_planes(data: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = data.reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Numbers that rise in stretches, which begin at ``first``: what each adds to the one before, and the first ones as they are."""
+    out = np.diff(values, prepend=values[:1])
+    out[first] = values[first]
+    return out
+
+
+def from_steps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What :func:`steps` was made of, given the sizes of the stretches; sums wrap at 64 bits, and so do their differences."""
+    sums = np.cumsum(values, dtype=np.uint64)
+    before = np.concatenate((np.zeros(1, np.uint64), sums))[np.cumsum(sizes) - sizes]
+    return sums - np.repeat(before, sizes)
+
+
 # --- the trie ---------------------------------------------------------------------------------------------------
 
 
@@ -185,14 +219,14 @@ class Trie:
     def context(self, hashes: np.ndarray) -> np.ndarray:
         return _position(self.contexts, hashes)
 
-    def query(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Positions of pairs among the successors; -1 if a pair isn't seen. ``contexts`` are positions or -1, each with ``sizes`` pairs; ``at`` gives their words among the hashes ``words``."""
+    def query(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Positions of pairs among the successors; -1 if a pair isn't seen. ``contexts`` are positions or -1, each with ``sizes`` pairs of the given words."""
         known = np.maximum(contexts, 0)
         there = contexts >= 0
         first = np.repeat(np.where(there, self.pointers.get(known), 0) if self.pointers.n > 1 else np.zeros(len(known), np.int64), sizes)
         end = np.repeat(np.where(there, self.pointers.get(known + 1), 0) if self.pointers.n > 1 else np.zeros(len(known), np.int64), sizes)
-        word = _position(self.words, words)[at]
-        place = np.full(len(at), -1, np.int64)
+        word = _position(self.words, words)
+        place = np.full(len(word), -1, np.int64)
         ask = np.flatnonzero((first < end) & (word >= 0))
         value = np.repeat(known, sizes)[ask] * np.int64(max(1, len(self.words))) + word[ask]
         place[ask] = self.successors.find(value, first[ask], end[ask])
@@ -216,8 +250,8 @@ class _Numbers(dict):
         return n
 
 
-def _batches(kind: pa.DataType):
-    """Texts as numbers: a row for each batch of documents."""
+def _batches(kind: pa.DataType, most: int):
+    """Texts as numbers: a row for each batch of documents, of ``most`` tokens and one text more."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -248,7 +282,7 @@ def _batches(kind: pa.DataType):
                 ids.append(name)
                 held.append(out)
                 size += len(words)
-                if size >= BATCH:
+                if size >= most:
                     yield row()
         if ids:
             yield row()
@@ -260,9 +294,11 @@ class _Pairs:
     """The distinct (context, word) pairs of a batch, in order, and the shards that they go to.
 
     A context goes to the shard of its hash. One in ``wide`` (hash to parts) is dealt by word to as many shards from there on.
+    Shards that follow each other share a frame, that is a message.
     """
 
-    def __init__(self, data: bytes, shards: int, wide: dict[int, int]):
+    def __init__(self, data: bytes, shards: int, width: int, wide: dict[int, int]):
+        self.width = width
         self.hashes, self.tokens, self.lengths, held = unpack(data)
         self.train = np.repeat(held == 0, self.lengths)
         end = int(np.searchsorted(self.hashes, np.uint64(END)))
@@ -285,51 +321,76 @@ class _Pairs:
         own = ((self.hashes[self.word] >> np.uint64(8)) % parts[self.context].astype(np.uint64)).astype(np.int32)
         own += shard[self.context]
         own %= shards
+        self.shard = own
         self.order = np.argsort(own, kind="stable").astype(np.int32)
-        #: The shards that the batch asks, at most one a pair.
-        self.shards, first = np.unique(own[self.order], return_index=True)
+        #: The frames that the batch sends, at most one a pair.
+        self.frames, first = np.unique(own[self.order] // self.width, return_index=True)
         self.bounds = np.concatenate((first, [len(own)]))
 
-    def of(self, s: int) -> np.ndarray:
-        """Positions of the pairs that go to a shard."""
-        k = int(np.searchsorted(self.shards, s))
+    def of(self, frame: int) -> np.ndarray:
+        """Positions of the pairs that go in a frame, by shard, context and word."""
+        k = int(np.searchsorted(self.frames, frame))
         return self.order[self.bounds[k] : self.bounds[k + 1]]
 
     def contexts_of(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts of pairs that go to one shard, in order, and how many pairs each has."""
-        return np.unique(self.context[own], return_counts=True)
+        """Positions among pairs of one frame at which the contexts of its shards begin, and how many pairs each has."""
+        context, shard = self.context[own], self.shard[own]
+        first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (shard[1:] != shard[:-1]))))
+        return first, np.diff(np.concatenate((first, [len(own)])))
+
+    def question(self, frame: int) -> bytes:
+        """What the batch asks the shards of a frame: contexts of each shard, their hashes and sizes, then for each pair its word and its count in training texts.
+
+        Contexts have all 64 bits; a word is told by :data:`SHORT` bytes, as it is only held to others after the same context.
+        So a pair costs the same bytes whatever the number of shards.
+        """
+        own = self.of(frame)
+        first, sizes = self.contexts_of(own)
+        kinds = np.bincount(self.shard[own[first]] - frame * self.width, minlength=self.width)
+        contexts, words = self.hashes[self.context[own[first]]], self.hashes[self.word[own]] >> np.uint64(64 - 8 * SHORT)
+        starts = np.flatnonzero(np.diff(self.shard[own[first]], prepend=-1))
+        return pack(narrow(kinds), planes(steps(contexts, starts), 8), narrow(sizes), planes(steps(words, first), SHORT), narrow(self.count[own]))
+
 
+def frame_width(shards: int) -> int:
+    """Shards of a frame."""
+    return min(FRAME, -(-shards // FRAMES))
 
-def _ask(shards: int, wide: dict[int, int]):
-    """Each batch's pairs, a row for each shard that it asks: no more rows than pairs, whatever the number of shards."""
+
+def by_shard(question: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each shard of a frame: hashes of contexts, how many pairs each has, and the pairs' words and counts."""
+    kinds, contexts, sizes, words, counts = unpack(question)
+    kinds, sizes = kinds.astype(np.int64), sizes.astype(np.int64)
+    contexts = from_steps(from_planes(contexts, 8), kinds[kinds > 0])
+    words = from_steps(from_planes(words, SHORT), sizes)
+    ends = np.cumsum(kinds)
+    pairs = np.concatenate(([0], np.cumsum(sizes)))
+    return [(contexts[a:b], sizes[a:b], words[pairs[a] : pairs[b]], counts[pairs[a] : pairs[b]]) for a, b in zip((ends - kinds).tolist(), ends.tolist(), strict=True)]
+
+
+def _ask(shards: int, width: int, wide: dict[int, int]):
+    """Each batch's pairs, a row for each frame of shards that it asks: no more rows than pairs, whatever the number of shards."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for batch, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                pairs = _Pairs(data, shards, wide)
-                rows = []
-                for s in pairs.shards.tolist():
-                    own = pairs.of(s)
-                    contexts, sizes = pairs.contexts_of(own)
-                    words, at = np.unique(pairs.word[own], return_inverse=True)
-                    small = np.uint16 if len(words) < 1 << 16 else np.uint32
-                    counts = pairs.count[own]
-                    rows.append((s, batch, pack(pairs.hashes[contexts], sizes.astype(np.int32), pairs.hashes[words], at.astype(small), counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int64))))
-                for k in range(0, len(rows), 64):
-                    s, b, d = zip(*rows[k : k + 64], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(b, pa.int64()), pa.array(d, pa.binary())], names=["shard", "batch", "asked"])
+                pairs = _Pairs(data, shards, width, wide)
+                frames = pairs.frames.tolist()
+                for k in range(0, len(frames), 64):
+                    some = frames[k : k + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([batch] * len(some), pa.int64()), pa.array([pairs.question(f) for f in some], pa.binary())], names=["frame", "batch", "asked"])
 
     return run
 
 
 def _answer(wide: dict[int, int]):
-    """For rows in order of shard: build the shard's trie from what all batches ask, and answer each."""
+    """For rows in order of frame: build the trie of each of its shards from what all batches ask, and answer each."""
     known_wide = np.array(list(wide), np.uint64)
 
-    def answer(shard: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        asked = [unpack(d) for _, d in rows]
+    def answer(asked: list[tuple]) -> tuple[list[tuple], int, int, list]:
+        """One shard's answers to each batch, its tokens, its contexts, and of contexts that other shards share the sums."""
         context = np.concatenate([np.repeat(c, n) for c, n, *_ in asked])
-        word = np.concatenate([w[at] for _, _, w, at, _ in asked])
+        word = np.concatenate([w for _, _, w, _ in asked])
         count = np.concatenate([x.astype(np.int64) for *_, x in asked])
         seen = count > 0
         order = np.flatnonzero(seen)[np.lexsort((word[seen], context[seen]))]
@@ -339,56 +400,66 @@ def _answer(wide: dict[int, int]):
         out = []
         with tempfile.TemporaryFile() as file:
             trie = Trie(c[first], w[first], sums, file)
-            for contexts, sizes, words, at, _ in asked:
+            for contexts, sizes, words, _ in asked:
                 place = trie.context(contexts)
                 known = place >= 0
                 counts = np.where(known, trie.counts[place] if len(trie.counts) else 0, 0)
                 lower = np.where(known, trie.lower[place] if len(trie.lower) else 0, 0).astype(np.uint16)
-                pair = trie.query(place, sizes, words, at)
+                pair = trie.query(place, sizes, words)
                 there = pair >= 0
                 codes, exact = np.zeros(len(pair), np.uint16), np.zeros(len(pair), np.int64)
                 codes[there], exact[there] = trie.own[pair[there]], trie.seen[pair[there]]
                 # Pairs of a context that other shards share go back as counts: its discount is that of all parts.
                 dealt = np.repeat(np.isin(contexts, known_wide), sizes)
-                exact = exact[dealt]
-                out.append(pack(counts, lower, codes[~dealt], exact.astype(np.uint16 if exact.max(initial=0) < 1 << 16 else np.int64)))
+                out.append((counts, lower, codes[~dealt], exact[dealt]))
             shared = np.flatnonzero(np.isin(trie.contexts, known_wide))
             total, kinds = int(trie.counts.sum()), len(trie.contexts) - len(shared)
             some = np.column_stack((trie.contexts[shared].view(np.int64), trie.counts[shared], *(x[shared] for x in trie.spread))).astype(np.int64).tolist()
-        names = ["batch", "shard", "answer", "total", "kinds", "wide"]
-        batches = pa.array([b for b, _ in rows], pa.int64())
+        return out, total, kinds, some
+
+    def answers(frame: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
         n = len(rows)
-        return pa.RecordBatch.from_arrays([batches, pa.array([shard] * n, pa.int32()), pa.array(out, pa.binary()), pa.array([total] + [0] * (n - 1), pa.int64()), pa.array([kinds] + [0] * (n - 1), pa.int64()), pa.array([some] + [[]] * (n - 1), pa.list_(pa.list_(pa.int64())))], names=names)
+        done = [answer(list(shard)) for shard in zip(*(by_shard(d) for _, d in rows), strict=True)]
+        packed = []
+        for k in range(n):
+            counts, lower, codes, exact = (np.concatenate(x) for x in zip(*(out[k] for out, *_ in done), strict=True))
+            packed.append(pack(narrow(counts), lower, codes, narrow(exact)))
+        sums = [sum(x) for x in zip(*(d[1:3] for d in done), strict=True)]
+        names = ["batch", "frame", "answer", "total", "kinds", "wide"]
+        columns = [pa.array([b for b, _ in rows], pa.int64()), pa.array([frame] * n, pa.int32()), pa.array(packed, pa.binary()), *(pa.array([x] + [0] * (n - 1), pa.int64()) for x in sums)]
+        columns.append(pa.array([[w for d in done for w in d[3]]] + [[]] * (n - 1), pa.list_(pa.list_(pa.int64()))))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for part in parts:
-            for shard, batch, data in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                if shard != at and rows:
-                    yield answer(at, rows)
+            for frame, batch, data in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                if frame != at and rows:
+                    yield answers(at, rows)
                     rows = []
-                at = shard
+                at = frame
                 rows.append((batch, data))
         if rows:
-            yield answer(at, rows)
+            yield answers(at, rows)
 
     return run
 
 
-def _score(shards: int, wide: dict[int, int], spread: dict[int, tuple[int, int, int, int]], total: int, kinds: int, kind: pa.DataType):
-    """For rows in order of (batch, shard), a batch's texts first: scores of its documents.
+def _score(shards: int, width: int, wide: dict[int, int], spread: dict[int, tuple[int, int, int, int]], total: int, kinds: int, kind: pa.DataType):
+    """For rows in order of (batch, frame), a batch's texts first: scores of its documents.
 
     ``spread`` has of each wide context the sums over its parts: tokens, pairs, pairs seen once and twice. They give it one discount, as if it were whole.
     """
 
     def score(ids: list, data: bytes, answers: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        pairs = _Pairs(data, shards, wide)
+        pairs = _Pairs(data, shards, width, wide)
         n = len(pairs.hashes)
         counts, lower, own = np.zeros(n), np.ones(n), np.zeros(len(pairs.context))
-        for shard, answer in answers:
+        for frame, answer in answers:
             c, low, codes, exact = unpack(answer)  # in the order in which the batch asked
-            of = pairs.of(shard)
-            at, sizes = pairs.contexts_of(of)
+            of = pairs.of(frame)
+            first, sizes = pairs.contexts_of(of)
+            at = pairs.context[of[first]]
             counts[at] = c
             lower[at] = np.where(low > 0, restore(low), 1.0)
             dealt = np.repeat(np.isin(at, pairs.wide), sizes)
@@ -414,13 +485,13 @@ def _score(shards: int, wide: dict[int, int], spread: dict[int, tuple[int, int,
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, answers = None, []
         for part in parts:
-            for shard, ids, data in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                if shard < 0:
+            for frame, ids, data in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if frame < 0:
                     if texts:
                         yield score(*texts, answers)
                     texts, answers = (ids, data), []
                 else:
-                    answers.append((shard, data))
+                    answers.append((frame, data))
         if texts:
             yield score(*texts, answers)
 
@@ -435,28 +506,30 @@ def with_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     Texts become numbers in batches of some two million tokens, kept as a table. The model is cut into shards by context word, each a trie
     (:class:`Trie`) built in one task from the distinct pairs of all batches and mapped from a temporary file of that task. Batches send their distinct pairs, not
-    their tokens, and get codes back, so traffic is a few bytes a token. A context with over half a shard of tokens is dealt by word to several shards,
-    whose sums give it one discount, so scores do not depend on shards or partitions; the list of those, :data:`WIDE` at most, and two sums are all that goes to the driver. Words are known by their 64-bit XXH64.
+    their tokens, and get codes back, so traffic is a few bytes a token: a context's hash has eight bytes, each word after it five, whatever the number of shards. A context with over half a shard of tokens is dealt by word to several shards,
+    whose sums give it one discount, so scores do not depend on shards or partitions; the list of those, :data:`WIDE` at most, and two sums are all that goes to the driver. Words are known by their 64-bit XXH64, those after one context by its first 40 bits.
 
     A null text is the end alone; a null id counts as the empty string for the split, which holds it out. Rows that repeat an id are scored each. An empty table gives an empty one;
     extra columns are not looked at.
     """
     spark = docs.sparkSession
+    scratch.bound_batches(spark)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"), held.alias("held"))
     name = rows.schema["id"].dataType.simpleString()
     kind = to_arrow_type(rows.schema["id"].dataType)
-    batches = scratch.save(rows.mapInArrow(_batches(kind), f"batch long, ids array<{name}>, data binary, tokens long, heads array<long>, counts array<long>"), "lm-batches")
+    batches = scratch.save(rows.mapInArrow(_batches(kind, BATCH), f"batch long, ids array<{name}>, data binary, tokens long, heads array<long>, counts array<long>"), "lm-batches")
     total, made = batches.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(least, -(-total // SHARD))
+    width = frame_width(shards)
     # Contexts of over half a shard, the largest of them; any other has less than one in WIDE of all tokens.
     heads = batches.select(F.explode(F.arrays_zip("heads", "counts")).alias("h")).groupBy("h.heads").agg(F.sum("h.counts").alias("n")).where(F.col("n") * 2 * shards > total).orderBy(F.desc("n"), "heads").limit(WIDE).collect()
     wide = {r["heads"] % (1 << 64): min(shards, -(-r["n"] * 2 * shards // total)) for r in heads}
 
-    asked = batches.select("batch", "data").mapInArrow(_ask(shards, wide), "shard int, batch long, asked binary")
-    dealt = asked.repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard")
-    answers = scratch.save(dealt.mapInArrow(_answer(wide), "batch long, shard int, answer binary, total long, kinds long, wide array<array<long>>"), "lm-answers")
+    asked = batches.select("batch", "data").mapInArrow(_ask(shards, width, wide), "frame int, batch long, asked binary")
+    dealt = asked.repartition(min(-(-shards // width), TASKS), "frame").sortWithinPartitions("frame")
+    answers = scratch.save(dealt.mapInArrow(_answer(wide), "batch long, frame int, answer binary, total long, kinds long, wide array<array<long>>"), "lm-answers")
     sums = answers.agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).first()
     train = sums["total"] or 0
     parts = answers.select(F.explode("wide").alias("w")).groupBy(F.col("w")[0].alias("context")).agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(1, 5)]).collect()
@@ -464,8 +537,8 @@ def with_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     kinds = (sums["kinds"] or 0) + len(spread)
 
     none = F.lit(None).cast(f"array<{name}>").alias("ids")
-    both = batches.select("batch", F.lit(-1).alias("shard"), "ids", "data").union(answers.select("batch", "shard", none, F.col("answer").alias("data")))
+    both = batches.select("batch", F.lit(-1).alias("frame"), "ids", "data").union(answers.select("batch", "frame", none, F.col("answer").alias("data")))
     # Few large rows: twice as many tasks as batches, so that few get two.
-    dealt = both.repartition(max(least, 2 * made), "batch").sortWithinPartitions("batch", "shard")
-    scored = dealt.mapInArrow(_score(shards, wide, spread, train, kinds, kind), f"id {name}, n_tokens long, n_known long, base_score double, score double, held_out boolean")
+    dealt = both.repartition(max(least, 2 * made), "batch").sortWithinPartitions("batch", "frame")
+    scored = dealt.mapInArrow(_score(shards, width, wide, spread, train, kinds, kind), f"id {name}, n_tokens long, n_known long, base_score double, score double, held_out boolean")
     return scored.withColumn("train_tokens", F.lit(train).cast("long"))
