@@ -55,11 +55,14 @@ def zip_collection(df: DataFrame, collection: str, fields: Sequence[str]) -> Dat
 
 
 def nest_objects(events: DataFrame, objects: DataFrame, name: str, fields: Sequence[str], key: str = "event_id", order: str = "pos") -> DataFrame:
-    """Long object rows gathered into an array of records on each event, in order; events without objects have an empty array."""
+    """Long object rows gathered into an array of records on each event, in order; events without objects have an empty array.
+
+    What is gathered has a row for nearly every event, and lies by key already: a merge join moves the events to it, where an estimate from the bytes of files might send all of it to every task.
+    """
     record = F.struct(order, *fields)
     nested = objects.groupBy(key).agg(F.sort_array(F.collect_list(record)).alias(name))
     kind = nested.schema[name].dataType.simpleString()
-    joined = events.join(nested, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    joined = events.join(nested.hint("merge"), key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
     return joined.withColumn(name, F.transform(name, lambda x: F.struct(*[x[f].alias(f) for f in fields])))
 
 
