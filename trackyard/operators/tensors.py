@@ -107,7 +107,7 @@ def stack_features(df: DataFrame, sequential: Mapping[str, Sequence[str]], singl
 
 
 def log_normalize(df: DataFrame, transforms: Mapping[str, Mapping[str, str]]) -> DataFrame:
-    """log1p of the features whose transform is ``log_normalize``; others stay as they are."""
+    """log1p of the features whose transform is ``log_normalize``, made in double and rounded to float as all vectors are; others stay as they are."""
     return df.withColumns({f"{group}_data": _log_items(f"{group}_data", list(features.values())) for group, features in transforms.items()})
 
 

@@ -384,7 +384,7 @@ def t13(spark, d):
     return n.select("event_id", "pos", F.round(F.col("v")[0].cast("double"), 4).alias("first"), F.round(F.col("v")[1].cast("double"), 2).alias("second"))
 
 
-@register("t14_log_normalize", V.sql("SELECT event_id, pos, CAST(floor(ln(1 + CAST(CAST(pt AS FLOAT) AS DOUBLE)) * 100 + 0.137::DOUBLE) AS BIGINT) AS pt FROM padded", JETS, EV, PAD))
+@register("t14_log_normalize", V.sql("SELECT event_id, pos, CAST(floor(CAST(CAST(ln(1 + CAST(CAST(pt AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE) * 100 + 0.137::DOUBLE) AS BIGINT) AS pt FROM padded", JETS, EV, PAD))
 def t14(spark, d):
     n = tensors.log_normalize(_stacked(spark, d), {"Jet": {"eta": "normalize", "pt": "log_normalize"}})
     return n.select("event_id", F.posexplode("Jet_data").alias("pos", "v")).select("event_id", "pos", F.floor(F.col("v")[1].cast("double") * 100 + 0.137).alias("pt"))
