@@ -2,11 +2,13 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
 from trackyard import registry
+from trackyard.operators import joins
 from trackyard.plans import views as V
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +31,38 @@ def test_log_of_a_float_next_to_an_edge(spark, tmp_path):
     V.table(spark, SF, "orders").write.parquet(f"{tmp_path}/orders.parquet")
     name = "t14_log_normalize"
     same(registry.QUERIES[name](spark, str(tmp_path)), duck(tmp_path, "lineitem", "orders").sql(registry.ORACLE_SQL[name]))
+
+
+def _random_counts(spark):
+    rng = np.random.default_rng(3)
+    big = rng.integers(3_000_000, 3_100_000, 60)
+    a, b = [int(x) for x in [*rng.integers(-3000, 9000, 300), *big, 9_999_950, 0]], [int(x) for x in [*rng.integers(-3000, 9000, 90), *(big[:40] + rng.integers(-45, 45, 40)), 10_000_000]]
+    return a, b, spark.createDataFrame([*enumerate(a), (len(a), None)], "dataset long, n_events long"), spark.createDataFrame([*enumerate(b), (len(b), None)], "sample long, n long")
+
+
+def test_counts_without_a_sample_need_no_pairs(spark):
+    a, b, counts, flow = _random_counts(spark)
+    want = [i for i, x in enumerate(a) if not any(abs(x - y) <= 5 + 1e-5 * abs(y) for y in b)] + [len(a)]
+    assert 20 < len(want) < len(a) - 20
+    assert sorted(r["dataset"] for r in joins.without_sample(counts, flow).collect()) == want
+    # 40,000 rows make 400 million pairs, of which none is made.
+    same = spark.range(20_000)
+    rows = joins.without_sample(same.select(F.col("id").alias("dataset"), F.lit(7).cast("long").alias("n_events")), same.select(F.col("id").alias("sample"), F.lit(9).cast("long").alias("n")))
+    assert rows.count() == 0 and "CartesianProduct" not in rows._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        joins.without_sample(counts, flow, relative=1)
+
+
+def test_pairs_of_equal_counts_are_spread_over_tasks(spark, monkeypatch):
+    """Two hot counts: no task gets more than a few blocks of them, and no pair is lost or doubled."""
+    _, _, counts, flow = _random_counts(spark)
+    counts = counts.union(spark.range(1000, 1300).select("id", (F.col("id") % 2 * 3 + 5000).alias("n_events")))
+    flow = flow.union(spark.range(1000, 1200).select("id", F.lit(5004).cast("long").alias("n")))
+    monkeypatch.setattr(joins, "BLOCK", 20)
+    monkeypatch.setattr(joins, "PAIRS", 4000)
+    found = joins.resolve_sample(counts, flow)
+    close = F.abs(F.col("n_events") - F.col("n")) <= 5 + 1e-5 * F.abs(F.col("n"))
+    want = counts.crossJoin(flow).where(close)
+    assert found.count() == want.count() and found.exceptAll(want.select(*found.columns)).count() == 0
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 10 and max(tasks) < found.count() / 5

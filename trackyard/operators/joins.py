@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackyard.operators.prefix import running_last
+from trackyard.sources.tables import lookup
+
+#: Rows of one side of a cell that meet those of the other at once, and pairs that a task looks at; both about.
+BLOCK, PAIRS = 2_000, 32_000_000
 
 
 def join_predictions(truth: DataFrame, predicted: DataFrame, key: str = "event_id") -> DataFrame:
@@ -42,20 +46,53 @@ def dataset_dimension(df: DataFrame, dimension: DataFrame, key: str = "sample")
     return df.join(dimension, key, "left")
 
 
+def _tolerance_level(n: Column, absolute: float, relative: float) -> Column:
+    """Tolerances of a level are from 2^level to its double."""
+    return F.floor(F.log2(absolute + relative * F.abs(n)))
+
+
 def resolve_sample(counts: DataFrame, cutflow: DataFrame, absolute: float = 5, relative: float = 1e-5) -> DataFrame:
     """(dataset, sample) where a cut-flow count is as good as the dataset's: |a - b| <= absolute + relative * |b|.
 
     Counts are cut into cells as wide as the largest tolerance of their size; each cut-flow row looks into its own cell and the two beside it, so this
-    is an equi-join, whatever the number of rows.
+    is an equi-join, whatever the number of rows. All pairs are asked for, so rows of a cell are the square of its rows: each side of a cell is dealt by hash to blocks of some
+    :data:`BLOCK` rows, a pair of blocks is one key, and the tasks are as many as the pairs to be looked at fill, however few bytes they are made from.
     """
-    level = lambda b: F.floor(F.log2(absolute + relative * F.abs(b)))
     width = lambda lv: F.pow(F.lit(2.0), lv + 1)
-    right = cutflow.withColumn("__level", level(F.col("n")))
+    right = cutflow.select("sample", "n", _tolerance_level(F.col("n"), absolute, relative).alias("__level"))
     levels = right.select("__level").distinct()
-    left = counts.join(F.broadcast(levels)).withColumn("__cell", F.floor(F.col("n_events") / width(F.col("__level"))))
+    left = counts.select("dataset", "n_events").join(F.broadcast(levels)).withColumn("__cell", F.floor(F.col("n_events") / width(F.col("__level"))))
     right = right.withColumn("__cell", F.explode(F.array(*[F.floor(F.col("n") / width(F.col("__level"))) + d for d in (-1, 0, 1)])))
+    cell = ["__level", "__cell"]
+    sizes = left.groupBy(*cell).agg(F.count("*").alias("__l")).join(right.groupBy(*cell).agg(F.count("*").alias("__r")), cell)
+    tiles = lookup(sizes, "tiles")
+    tasks = 1 + int(tiles.agg(F.sum(F.col("__l").cast("double") * F.col("__r"))).first()[0] or 0) // PAIRS
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    key = [*cell, "__a", "__b"]
+    left = left.join(tiles, cell).select("dataset", "n_events", *cell, F.pmod(F.xxhash64("dataset"), blocks("__l")).alias("__a"), each("__r").alias("__b"))
+    right = right.join(tiles, cell).select("sample", "n", *cell, each("__l").alias("__a"), F.pmod(F.xxhash64("sample"), blocks("__r")).alias("__b"))
     close = F.abs(F.col("n_events") - F.col("n")) <= absolute + relative * F.abs(F.col("n"))
-    return left.join(right, ["__level", "__cell"]).where(close).select("dataset", "sample", "n_events", "n")
+    # A number of partitions that is named is not packed by bytes.
+    return left.repartition(tasks, *key).join(right.repartition(tasks, *key), key).where(close).select("dataset", "sample", "n_events", "n")
+
+
+def without_sample(counts: DataFrame, cutflow: DataFrame, absolute: float = 5, relative: float = 1e-5) -> DataFrame:
+    """Rows of ``counts`` that no cut-flow count fits, by the rule of :func:`resolve_sample`, without its pairs.
+
+    Cells are as wide as the least tolerance of their size, so a count reaches two cells either way. Of a cell only the least and the largest cut-flow count are kept: the fit of one further off is no better,
+    as a tolerance grows by less than the distance. Each distinct count meets five rows of a level.
+    """
+    if not 0 <= relative < 1:
+        raise ValueError("a relative tolerance of 1 or more fits anything")
+    width = lambda lv: F.pow(F.lit(2.0), lv)
+    flow = cutflow.select("n", _tolerance_level(F.col("n"), absolute, relative).alias("__level"))
+    ends = flow.groupBy("__level", F.floor(F.col("n") / width(F.col("__level"))).alias("__cell")).agg(F.min("n").alias("__low"), F.max("n").alias("__high"))
+    values = counts.select("n_events").distinct().join(F.broadcast(flow.select("__level").distinct()))
+    values = values.withColumn("__cell", F.explode(F.array(*[F.floor(F.col("n_events") / width(F.col("__level"))) + d for d in range(-2, 3)])))
+    close = lambda n: F.abs(F.col("n_events") - F.col(n)) <= absolute + relative * F.abs(F.col(n))
+    fitting = lookup(values.join(ends, ["__level", "__cell"]).where(close("__low") | close("__high")).select("n_events").distinct(), "fitting")
+    return counts.join(fitting, "n_events", "left_anti").select(*counts.columns)
 
 
 def unresolved(counts: DataFrame, resolved: DataFrame) -> DataFrame:
