@@ -75,8 +75,7 @@ def _counts_and_flow(spark, d):
 
 @register("j4_unresolved", "SELECT c_custkey AS dataset FROM customer WHERE NOT EXISTS (SELECT 1 FROM part WHERE abs(CAST(c_acctbal AS BIGINT) - CAST(p_retailprice * 4 AS BIGINT)) <= 5 + 1e-5::DOUBLE * abs(CAST(p_retailprice * 4 AS BIGINT)))")
 def j4_unresolved(spark, d):
-    counts, flow = _counts_and_flow(spark, d)
-    return joins.unresolved(counts, joins.resolve_sample(counts, flow)).select("dataset")
+    return joins.without_sample(*_counts_and_flow(spark, d)).select("dataset")
 
 
 @register("j5_steps_to_epochs", V.sql("SELECT event_id, epoch FROM asofm", MET))
