@@ -10,6 +10,7 @@ from tests.oracle import connect, same
 from trackyard import registry
 from trackyard.operators import joins
 from trackyard.plans import views as V
+from trackyard.sources import tables
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -66,3 +67,22 @@ def test_pairs_of_equal_counts_are_spread_over_tasks(spark, monkeypatch):
     assert found.count() == want.count() and found.exceptAll(want.select(*found.columns)).count() == 0
     tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert len(tasks) > 10 and max(tasks) < found.count() / 5
+
+
+@pytest.mark.parametrize("name", ["r1_multiplicity_stream", "r1_resumed_stream"])
+def test_arriving_files_are_as_many_as_tasks(spark, monkeypatch, name):
+    """Nested events are written where they lie, so a task writes no fixed share of all of them; there are several files even of one task."""
+    kept, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    monkeypatch.setattr(tables, "workspace", lambda own, tag="table", made=tables.workspace: found.append(made(own, tag)) or found[-1])
+    try:
+        for parts in ("1", "12"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            found.clear()
+            same(registry.QUERIES[name](spark, SF), connect(SF).sql(registry.ORACLE_SQL[name]))
+            files = spark.read.parquet(found[0])
+            assert len(files.inputFiles()) >= (12 if parts == "12" else 3)
+            assert files.count() == V.events(spark, SF).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

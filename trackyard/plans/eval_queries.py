@@ -534,12 +534,19 @@ def x2_merged(spark, d):
 COUNTED = "SELECT sample, njet AS n, count(*) AS events FROM per GROUP BY sample, njet"
 
 
+def _arrive(rows, most, path, mode="errorifexists"):
+    """Nested events as files that arrive under ``path``: those of the tasks that nest them, of at most ``most`` rows; the number of files there."""
+    rows.write.mode(mode).option("maxRecordsPerFile", max(1, most)).parquet(path)
+    return len(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles())
+
+
 @register("r1_multiplicity_stream", V.sql(COUNTED, JETS, EV, PER))
 def r1(spark, d):
+    """Three files at least, in three micro-batches at most, however many files there are."""
     n = V.nested(spark, d).select("event_id", "sample", "jets")
     path = tables.workspace(spark)
-    n.repartition(3).write.parquet(path)
-    return multiplicity_stream(spark, path, n.schema, ["sample"], F.size("jets.pt"), tables.workspace(spark), 1)
+    files = _arrive(n, -(-V.events(spark, d).count() // 3), path)
+    return multiplicity_stream(spark, path, n.schema, ["sample"], F.size("jets.pt"), tables.workspace(spark), -(-files // 3))
 
 
 @register("r1_resumed_stream", V.sql("SELECT c.*, r.rows AS second_read FROM (" + COUNTED + ") c, (SELECT count(*) AS rows FROM ev WHERE event_id % 3 = 0) r", JETS, EV, PER))
