@@ -554,8 +554,8 @@ def r1_resumed(spark, d):
     """Files of a second call are added to the state of the first; ``second_read`` counts the rows that it reads."""
     n = V.nested(spark, d).select("event_id", "sample", "jets")
     path, state = tables.workspace(spark), tables.workspace(spark)
-    n.where("event_id % 3 > 0").repartition(2).write.parquet(path)
+    _arrive(n.where("event_id % 3 > 0"), V.events(spark, d).count() // 3, path)
     multiplicity_stream(spark, path, n.schema, ["sample"], F.size("jets.pt"), state)
-    n.where("event_id % 3 = 0").repartition(2).write.mode("append").parquet(path)
+    _arrive(n.where("event_id % 3 = 0"), V.events(spark, d).count() // 6, path, "append")
     second = fold_multiplicity(spark, path, n.schema, ["sample"], F.size("jets.pt"), state)
     return multiplicity_state(spark, state).withColumn("second_read", F.lit(second).cast("long"))
