@@ -86,3 +86,17 @@ def test_arriving_files_are_as_many_as_tasks(spark, monkeypatch, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", kept)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_capped_sources_count_jets_once(spark, tmp_path, monkeypatch):
+    """Nothing is nested to count jets, object rows are read by one table that is written, and a sample or all may be without events."""
+    made = []
+    monkeypatch.setattr(V, "nested", lambda *_: pytest.fail("jets were nested"))
+    monkeypatch.setattr(V, "jet_counts", lambda *a, own=V.jet_counts: made.append(a) or own(*a))
+    name = "w2_capped_sources"
+    for k, kept in enumerate(["true", "o_orderpriority <> '2-HIGH'", "false"]):
+        d = f"{tmp_path}/{k}"
+        V.table(spark, SF, "orders").where(kept).write.parquet(f"{d}/orders.parquet")
+        V.table(spark, SF, "lineitem").write.parquet(f"{d}/lineitem.parquet")
+        same(registry.QUERIES[name](spark, d), duck(d, "lineitem", "orders").sql(registry.ORACLE_SQL[name]))
+    assert len(made) == 3

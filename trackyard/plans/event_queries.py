@@ -531,18 +531,19 @@ CAPPED = V.sql("""SELECT event_id FROM (SELECT p.event_id, p.sample, row_number(
 
 @register("w2_cap_fraction", CAPPED)
 def w2(spark, d):
-    n = V.counted(spark, d).select("event_id", "sample", "njet")
+    n = V.jet_counts(spark, d).select("event_id", "sample", "njet")
     return order.cap_fraction(n, n.where("njet >= 5"), {"QCD": 0.05, "TTH_Hto2B": 0.2}, "sample").select("event_id")
 
 
 @register("w2_capped_sources", CAPPED)
 def w2_files(spark, d):
-    """The same over files, three of each sample: of a capped sample only those are read that fill its budget."""
-    n, sources = V.counted(spark, d).select("event_id", "sample", "njet"), {}
-    for name in V.SAMPLES:
-        sources[name] = tables.workspace(spark)
-        n.where(F.col("sample") == name).drop("sample").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").write.parquet(sources[name])
-    return io.capped_sources(spark, sources, {"QCD": 0.05, "TTH_Hto2B": 0.2}, F.col("njet") >= 5, "sample").select("event_id")
+    """The same over files, some three of each sample or more: of a capped sample only those are read that fill its budget. Jets are counted once, and all samples are sorted and written at once."""
+    n, path = tables.cut(V.jet_counts(spark, d).select("event_id", "sample", "njet")), tables.workspace(spark)
+    parts = max(3 * len(V.SAMPLES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n.repartitionByRange(parts, "sample", "event_id").sortWithinPartitions("sample", "event_id").write.partitionBy("sample").parquet(path)
+    # A sample without events has no folder.
+    sources = {r["sample"]: f"{path}/sample={r['sample']}" for r in spark.read.schema(n.schema).parquet(path).select("sample").distinct().collect()}
+    return io.capped_sources(spark, sources, {"QCD": 0.05, "TTH_Hto2B": 0.2}, F.col("njet") >= 5, "sample").select("event_id") if sources else n.select("event_id")
 
 
 @register("w3_entry_stop", V.sql("SELECT event_id FROM ev ORDER BY sample, event_id LIMIT 700", EV))
